@@ -31,10 +31,14 @@ from glossweave.llm.common import scratch_path, written
 MAGIC, VERSION = b"GWTF", 1
 #: Ids in a batch's text that are encoded by the library in one call.
 JOINED = 48
-#: Chunks that a worker remembers; beyond that it starts anew.
-REMEMBERED = 400_000
+#: Chunks that a worker remembers; those met later are forgotten after their batch.
+REMEMBERED = 500000
 #: A single space splits a text exactly unless white space is on both of its sides.
 WIDE_SPACE = re.compile(r"\s \s")
+WITH_SPACE = re.compile(r"[^\0]*?\s[^\0]*")
+#: A mark after letters is split off before merging, so that a word's ids serve with and without it.
+MARKS = ".,"
+LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 
 _state: dict[str, tuple] = {}
 
@@ -56,22 +60,33 @@ def _coder(path: str) -> tuple:
     return _state[path]
 
 
-def _learn(tokenizer, known: dict[str, bytes], fresh: list[str], newline: int) -> None:
+def _learn(tokenizer, known: dict[str, bytes], fresh: set[str], newline: int) -> None:
     """Encode chunks not met before, many joined by line ends to one call; a line end is one id and splits words."""
-    plain = [x for x in fresh if not any(c in x for c in "\n\r\t\x0b\x0c") and x.split() == [x]]
-    joined = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
+    odd = set(WITH_SPACE.findall("\0".join(fresh)))
+    odd.add("")
+    odd.intersection_update(fresh)
+    plain = fresh - odd
+    marked = [(x, x[:-1]) for x in plain if x[-1] in MARKS and LETTERS(x, 0, len(x) - 1)]
+    plain.difference_update([x for x, _ in marked])
+    plain.update([stem for _, stem in marked if stem not in known])
+    words = list(plain)
+    joined = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
     for part, got in zip(joined, tokenizer.encode_batch_fast(["\n".join([" " + x for x in p]) for p in joined], add_special_tokens=False)):
         ids = np.array(got.ids, dtype="<u4")
-        cuts = np.flatnonzero(ids == newline)
-        if len(cuts) != len(part) - 1:
+        ends = np.flatnonzero(ids == newline).tolist()
+        if len(ends) != len(part) - 1:
+            odd.update(part)
             continue
         raw, begin = ids.tobytes(), 0
-        for chunk, end in zip(part, [*cuts.tolist(), len(ids)]):
+        ends.append(len(ids))
+        for chunk, end in zip(part, ends):
             known[chunk] = raw[4 * begin : 4 * end]
             begin = end + 1
-    rest = [x for x in fresh if x not in known]
+    rest = list(odd)
     for chunk, got in zip(rest, tokenizer.encode_batch_fast([" " + x for x in rest], add_special_tokens=False)):
         known[chunk] = np.array(got.ids, dtype="<u4").tobytes()
+    mark = {c: np.array(tokenizer.encode(c, add_special_tokens=False).ids, dtype="<u4").tobytes() for c in MARKS}
+    known.update([(x, known[stem] + mark[x[-1]]) for x, stem in marked])
 
 
 def encode_texts(path: str, texts: list[str]) -> list[bytes]:
@@ -87,15 +102,20 @@ def encode_texts(path: str, texts: list[str]) -> list[bytes]:
             split.append((i, first, rest))
     if not split:
         return out
-    if len(known) > REMEMBERED:
-        known.clear()
-    fresh = set().union(*[rest for _, _, rest in split])
-    fresh.difference_update(known)
+    got = [list(map(known.get, rest)) for _, _, rest in split]
+    missed = [k for k, ids in enumerate(got) if None in ids]
+    fresh = {x for k in missed for x, ids in zip(split[k][2], got[k]) if ids is None}
+    full = len(known) > REMEMBERED
     if fresh:
-        _learn(tokenizer, known, list(fresh), newline)
+        _learn(tokenizer, known, fresh, newline)
     heads = tokenizer.encode_batch_fast([first for _, first, _ in split], add_special_tokens=False)
-    for (i, _, rest), head in zip(split, heads):
-        out[i] = np.array(head.ids, dtype="<u4").tobytes() + b"".join(map(known.__getitem__, rest))
+    for k in missed:
+        got[k] = map(known.__getitem__, split[k][2])
+    for (i, _, _), ids, head in zip(split, got, heads):
+        out[i] = np.array(head.ids, dtype="<u4").tobytes() + b"".join(ids)
+    if full:
+        for x in fresh:
+            del known[x]
     return out
 
 
@@ -170,7 +190,7 @@ def read_shard(uri: str, ranked: np.ndarray) -> Iterator[tuple[int, int, np.ndar
         before, c, d = before + k, c + a, d + b
 
 
-def _batches(texts: list, chars: int = 1 << 20) -> Iterator[slice]:
+def _batches(texts: list, chars: int = 1 << 21) -> Iterator[slice]:
     """Runs of texts of about so many characters."""
     begin = held = 0
     for i, text in enumerate(texts):
@@ -207,8 +227,9 @@ def id_counts(encoded: DataFrame) -> DataFrame:
     def count(batches):
         total = np.zeros(1 << 16, dtype=np.int64)
         for batch in batches:
-            for wide, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                got = np.bincount(_unpack(raw, wide), minlength=len(total))
+            flags, raws = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for wide in {*flags}:
+                got = np.bincount(_unpack(b"".join([x for w, x in zip(flags, raws) if w == wide]), wide), minlength=len(total))
                 if len(got) > len(total):
                     total = np.pad(total, (0, len(got) - len(total)))
                 total += got
