@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossweave.llm import chat, language, lsm_dedup, quality, token_file
+from glossweave.llm import chat, language, lsm_dedup, quality, sp_tokenizers, token_file
 from glossweave.llm.common import table
 
 
@@ -45,12 +45,17 @@ def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.token_file_digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp_tokenizers.encode_digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op6_language": op6_language,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_chat": op8_chat,
     "op9_token_file": op9_token_file,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 ORACLES: dict[str, str] = {
     "op7_exact_dedup": """
