@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossweave.llm import chat, decontaminate, language, lsm_dedup, quality, sp_tokenizers, token_file
+from glossweave.llm import chat, decontaminate, language, lsh_forest, lsm_dedup, quality, sp_tokenizers, token_file
 from glossweave.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_quality": op4_quality,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_language": op6_language,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_chat": op8_chat,
