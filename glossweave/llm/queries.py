@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossweave.llm import chat, decontaminate, language, lsh_forest, lsm_dedup, quality, sp_tokenizers, token_file, warc
+from glossweave.llm import chat, decontaminate, language, log_templates, lsh_forest, lsm_dedup, quality, sp_tokenizers, token_file, warc
 from glossweave.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("page_id", F.col("page_id").cast("long"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log_templates.recurring_lines(table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -64,6 +68,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_line_dedup": op2_line_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op4_quality": op4_quality,
     "op5_jaccard_join": op5_jaccard_join,
