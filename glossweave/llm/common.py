@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,3 +55,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def digest_filter(digests: DataFrame, bits: int, probes: int) -> np.ndarray:
+    """Bit filter over the column ``digest``: each seven bytes of a digest set one of ``bits`` (a power of two) bits.
+
+    At most ``bits`` / 64 rows reach the driver; a filter beyond its capacity only lets more rows pass.
+    """
+    at = [F.conv(F.hex(F.substring("digest", 1 + 7 * k, 7)), 16, 10).cast("long").bitwiseAND(bits - 1) for k in range(probes)]
+    spots = digests.select(F.explode(F.array(*at)).alias("at"))
+    words = spots.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 AS int)))").alias("bits")).toPandas()
+    out = np.zeros(bits // 64, dtype="<i8")
+    out[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64)
+    return out.view(np.uint8)
+
+
+def passes(flags: bytes, digest: bytes, probes: int) -> bool:
+    """Whether digest_filter() may have seen ``digest``."""
+    last = len(flags) * 8 - 1
+    for k in range(probes):
+        at = int.from_bytes(digest[7 * k : 7 * k + 7], "big") & last
+        if not flags[at >> 3] >> (at & 7) & 1:
+            return False
+    return True

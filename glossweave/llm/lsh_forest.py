@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossweave.llm.common import written
+from glossweave.llm.common import digest_filter, passes, written
 
 SHINGLE = 5
 TREES, DEPTH = 20, 8
@@ -26,6 +26,8 @@ TARGET_RECALL = 0.999
 #: Classes of one anchor that a block holds on average.
 BLOCK = 128
 REMEMBERED = 300_000
+#: Bits of the filter of candidate classes, a power of two.
+FILTER_BITS = 1 << 24
 
 _WORD = re.compile(r"\w+")
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -87,24 +89,49 @@ def prefix_depth(threshold: float, target: float = TARGET_RECALL, trees: int = T
     return depth
 
 
+def class_key(shingles: np.ndarray) -> bytes:
+    """128 bits that number the class of documents with these shingles."""
+    return xxhash.xxh3_128_digest(shingles.tobytes())
+
+
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, class_key, label, shingles of every row; rows without words have a null key."""
+    """doc_id, key, label of every row; rows without words have a null key."""
 
     def run(batches):
         for batch in batches:
             memo: dict[str | None, tuple] = {}
-            keys, labels, sets = [], [], []
+            keys, labels = [], []
             for text in batch.column(1).to_pylist():
                 got = memo.get(text)
                 if got is None:
                     s = shingle_set(text)
-                    raw = s.tobytes()
-                    got = memo[text] = (xxhash.xxh3_128_digest(raw), label(s), raw) if len(s) else (None, None, None)
-                for out, x in zip((keys, labels, sets), got):
-                    out.append(x)
-            yield pa.record_batch([batch.column(0), *[pa.array(x, pa.binary()) for x in (keys, labels, sets)]], names=["doc_id", "class_key", "label", "shingles"])
+                    got = memo[text] = (class_key(s), label(s)) if len(s) else (None, None)
+                keys.append(got[0])
+                labels.append(got[1])
+            yield pa.record_batch([batch.column(0), pa.array(keys, pa.binary()), pa.array(labels, pa.binary())], names=["doc_id", "key", "label"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key binary, label binary")
+
+
+def shingle_sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """key, shingles of the classes in ``keys`` (key): a filter of bounded size tells each task which documents to ship, a class once."""
+    flags = digest_filter(keys.select(F.col("key").alias("digest")), FILTER_BITS, 2)
+    shared = docs.sparkSession.sparkContext.broadcast(flags)
+
+    def run(batches):
+        bits, sent = shared.value.tobytes(), set()
+        for batch in batches:
+            out: list[tuple[bytes, bytes]] = []
+            for text in set(batch.column(0).to_pylist()):
+                s = shingle_set(text)
+                key = class_key(s)
+                if len(s) and key not in sent and passes(bits, key, 2):
+                    sent.add(key)
+                    out.append((key, s.tobytes()))
+            for i in range(0, len(out), 512):
+                yield pa.record_batch([pa.array(x, pa.binary()) for x in zip(*out[i : i + 512])], names=["key", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, class_key binary, label binary, shingles binary")
+    return docs.select("text").mapInArrow(run, "key binary, shingles binary").groupBy("key").agg(F.first("shingles").alias("shingles"))
 
 
 def forest_candidates(classes: DataFrame, threshold: float) -> DataFrame:
@@ -143,7 +170,7 @@ def verify(candidates: DataFrame, sets: DataFrame, threshold: float) -> DataFram
     group, other = ["anchor", "ga", "gb"], ["anchor_", "ga_", "gb_"]
     need = dealt.select(*[F.col(x).alias(y) for x, y in zip(group, other)], F.explode(F.array("a", "b")).alias("key")).distinct()
     shipped = need.join(sets, "key")
-    return dealt.groupBy(*group).cogroup(shipped.groupBy(*other)).applyInPandas(lambda key, p, s: _jaccard_pairs(key, p, s, threshold), "a long, b long, jaccard double")
+    return dealt.groupBy(*group).cogroup(shipped.groupBy(*other)).applyInPandas(lambda key, p, s: _jaccard_pairs(key, p, s, threshold), "a binary, b binary, jaccard double")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -167,16 +194,15 @@ def components(links: DataFrame) -> DataFrame:
 def similarity_join(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Members (doc_id, key), classes (key, n_docs, rep) and links (a, b, jaccard) between classes.
 
-    ``key`` numbers the classes of rows with equal shingle sets; rows without words have a null key and no links.
+    Rows with equal shingle sets have one key, 128 bits of their hash; rows without words have a null key and no links.
     """
     rows = written(sketch(docs), "sketches")
-    known = rows.where("class_key is not null")
-    # the key's first eight bytes number a class; two classes that share them would meet only at 2**32 classes or more
-    number = F.conv(F.hex(F.substring("class_key", 1, 8)), 16, -10).cast("long")
-    classes = written(known.groupBy(number.alias("key")).agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("rep"), F.first("label").alias("label"), F.first("shingles").alias("shingles")), "classes")
+    known = rows.where("key is not null")
+    classes = written(known.groupBy("key").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("rep"), F.first("label").alias("label")), "classes")
     candidates = written(forest_candidates(classes, threshold), "candidates")
-    links = written(verify(candidates, classes.select("key", "shingles"), threshold), "links")
-    return rows.select("doc_id", number.alias("key")), classes.select("key", "n_docs", "rep"), links
+    ends = candidates.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    links = written(verify(candidates, shingle_sets(docs, ends), threshold), "links")
+    return rows.select("doc_id", "key"), classes.select("key", "n_docs", "rep"), links
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:

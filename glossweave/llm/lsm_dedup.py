@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossweave.llm.common import scratch_path, written
+from glossweave.llm.common import digest_filter, passes, scratch_path, written
 
 #: A-Z to a-z, every other byte as it is.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -83,22 +83,9 @@ def flush_runs(docs: DataFrame, largest: bool, digest_bytes: int, memtable_bytes
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "run long, digest binary, slot long, ids array<long>")
 
 
-def _positions(digest: Column, bits: int) -> list[Column]:
-    return [F.conv(F.hex(F.substring(digest, 1 + 7 * k, 7)), 16, 10).cast("long").bitwiseAND(bits - 1) for k in range(PROBES)]
-
-
-def hit_filter(hits: DataFrame, bits: int) -> np.ndarray:
-    """The bits that the digests of ``hits`` set; at most ``bits`` / 64 rows reach the driver."""
-    spots = hits.select(F.explode(F.array(*_positions(F.col("digest"), bits))).alias("at"))
-    words = spots.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 AS int)))").alias("bits")).toPandas()
-    out = np.zeros(bits // 64, dtype="<i8")
-    out[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64)
-    return out.view(np.uint8)
-
-
 def hit_texts(docs: DataFrame, bits: np.ndarray, digest_bytes: int, memtable_bytes: int) -> DataFrame:
     """digest, text of documents that the filter lets pass, each text once in a memtable's span."""
-    n, shared = len(bits) * 8, docs.sparkSession.sparkContext.broadcast(bits)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
         flags = shared.value.tobytes()
@@ -107,13 +94,7 @@ def hit_texts(docs: DataFrame, bits: np.ndarray, digest_bytes: int, memtable_byt
         held = 0
         for _, text in _rows(batches):
             digest = digest_of(text, digest_bytes)
-            for k in range(PROBES):
-                at = int.from_bytes(digest[7 * k : 7 * k + 7], "big") & (n - 1)
-                if not flags[at >> 3] >> (at & 7) & 1:
-                    break
-            else:
-                if text in seen:
-                    continue
+            if passes(flags, digest, PROBES) and text not in seen:
                 seen.add(text)
                 out.append((digest, text))
                 held += len(text)
@@ -151,7 +132,7 @@ def exact_groups(docs: DataFrame, keep: str = "smallest", digest_bytes: int = 32
     flush_runs(docs, largest, digest_bytes, memtable_bytes).write.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.adaptive.enabled#digest", "true").parquet(path)
     runs = spark.read.schema("run long, digest binary, slot long, ids array<long>").parquet(path)
     hits = runs.groupBy("digest").agg(F.count("*").alias("entries")).where("entries > 1").select("digest")
-    bits = hit_filter(hits, filter_bits)
+    bits = digest_filter(hits, filter_bits, PROBES)
     if bits.any():
         texts = hit_texts(docs, bits, digest_bytes, memtable_bytes)
         clash = written(texts.groupBy("digest").agg(F.min("text").alias("low"), F.max("text").alias("high")).where("low != high").select("digest"), "lsm-clashes")
