@@ -45,7 +45,7 @@ def term_document(token_rows: DataFrame) -> DataFrame:
 def doc_cooccurrence(documents: DataFrame, listed: list[str]) -> DataFrame:
     """term, other, n over documents: ('', t) for a document's distinct listed words and (t, u) for each ordered pair, t = u too."""
     terms = F.array_distinct(F.filter(F.transform(token_array(F.col("text")), lambda t: F.lower(t["word"])), lambda w: w.isin(listed)))
-    rows = documents.select(F.explode(terms).alias("other"), terms.alias("terms"))
+    rows = documents.select(terms.alias("terms")).where(F.size("terms") > 0).select(F.explode("terms").alias("other"), "terms")
     pairs = rows.select(F.explode(F.concat(F.array(F.lit("")), F.col("terms"))).alias("term"), "other")
     return count_by(pairs, "term", "other")
 
