@@ -13,8 +13,9 @@ task ships a line once.
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -120,16 +121,29 @@ def grow_leaf(lines: np.ndarray) -> np.ndarray:
     return out
 
 
-def _grow(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("line")
-    found = []
-    for _, part in pdf.groupby(pdf["tokens"].str.len()):  # one width, unless two leaves share a number
-        lines = np.stack([np.frombuffer(x, dtype="<u4") for x in part["tokens"]])
-        number = grow_leaf(lines)
-        heads = part["line"].to_numpy()[np.unique(number, return_index=True)[1]]
-        size = np.bincount(number)
-        found.append(pd.DataFrame({"line": part["line"].to_numpy(), "template": heads[number]})[size[number] > 1])
-    return pd.concat(found)
+def _grow(batches):
+    """line, template of merged lines, from rows (leaf, line, tokens) that come leaf by leaf, lines in order."""
+
+    def rows():
+        for batch in batches:
+            yield from zip(*(c.to_pylist() for c in batch.columns))
+
+    lines: list[int] = []
+    templates: list[int] = []
+    for _, group in groupby(rows(), key=lambda r: (r[0], len(r[2]))):  # one width, unless two leaves share a number
+        own = list(group)
+        if len(own) > 1:
+            number = grow_leaf(np.stack([np.frombuffer(r[2], dtype="<u4") for r in own]))
+            first = np.unique(number, return_index=True)[1]
+            size = np.bincount(number)
+            for r, k in zip(own, number.tolist()):
+                if size[k] > 1:
+                    lines.append(r[1])
+                    templates.append(own[first[k]][1])
+        if len(lines) >= 10_000:
+            yield pa.record_batch([pa.array(lines, pa.int64()), pa.array(templates, pa.int64())], names=["line", "template"])
+            lines, templates = [], []
+    yield pa.record_batch([pa.array(lines, pa.int64()), pa.array(templates, pa.int64())], names=["line", "template"])
 
 
 def generalised(lines: DataFrame) -> DataFrame:
@@ -139,7 +153,8 @@ def generalised(lines: DataFrame) -> DataFrame:
     shipped = known.where("tokens is not null").select("line", "leaf", "tokens").join(per_leaf, "leaf")
     single = shipped.groupBy("line").agg(F.first("leaf").alias("leaf"), F.first("size").alias("size"), F.first("tokens").alias("tokens"))
     key = F.when(F.col("size") > MAX_LEAF, F.xxhash64("leaf", F.substring("tokens", 1, 4 * DEEP))).otherwise(F.col("leaf"))
-    return single.select(key.alias("leaf"), "line", "tokens").groupBy("leaf").applyInPandas(_grow, "line long, template long")
+    ordered = single.select(key.alias("leaf"), "line", "tokens").repartition("leaf").sortWithinPartitions("leaf", F.length("tokens"), "line")
+    return ordered.mapInArrow(_grow, "line long, template long")
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = 2) -> DataFrame:
@@ -153,9 +168,8 @@ def recurring_lines(docs: DataFrame, min_docs: int = 2) -> DataFrame:
     known = lines.where("line is not null")
     counts = known.groupBy("line").agg(F.count("*").alias("docs"))
     shared = known.select("row", "line").join(merged, "line").select("row", "template").distinct().groupBy("template").agg(F.count("*").alias("template_docs"))
-    recur = (
-        counts.join(merged, "line", "left").join(shared, "template", "left").where(F.coalesce("template_docs", "docs") >= min_docs).select("line", F.lit(True).alias("recurs"))
-    )
+    general = merged.join(shared, "template").select("line", "template_docs")
+    recur = counts.join(general, "line", "left").where(F.coalesce("template_docs", "docs") >= min_docs).select("line", F.lit(True).alias("recurs"))
     marked = lines.select("row", "doc_id", "line", "n", "at").join(recur, "line", "left")
     return marked.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"),
