@@ -2,17 +2,17 @@
 
 Documents with the same set of five-word shingles form a class.  A class's label in each of TREES prefix
 tries is a string of DEPTH MinHash values.  The tries' matched prefixes are shortened from the whole label until
-pairs at the threshold meet in some trie with the target recall; classes under one trie node are candidates.  Candidates
-are verified on their shingle sets: those around one anchor meet in blocks, so that a set is shipped once for
-a block and not once for a pair.
+pairs at the threshold meet in some trie with the target recall.  Classes that trie nodes join form a group; a group's
+classes are dealt to blocks, and any two blocks meet in one task, where all their pairs are verified on their shingle
+sets by matrix products.  Only counts of links and links that keep groups together leave that task, so no row is made for a pair.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -23,8 +23,8 @@ from glossweave.llm.common import digest_filter, passes, written
 SHINGLE = 5
 TREES, DEPTH = 20, 8
 TARGET_RECALL = 0.999
-#: Classes of one anchor that a block holds on average.
-BLOCK = 128
+#: Classes of a group that a block holds on average.
+BLOCK = 256
 REMEMBERED = 300_000
 #: Bits of the filter of candidate classes, a power of two.
 FILTER_BITS = 1 << 24
@@ -134,43 +134,105 @@ def shingle_sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key binary, shingles binary").groupBy("key").agg(F.first("shingles").alias("shingles"))
 
 
-def forest_candidates(classes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs a < b of classes (key, label) that share a trie node, each once."""
+def forest_groups(classes: DataFrame, threshold: float) -> DataFrame:
+    """key, root of the classes (key, label) that trie nodes at the final prefix depth join, directly or through others.
+
+    A node's members are tied to its smallest key only, so rows grow with the members and not with their pairs.
+    """
     depth = prefix_depth(threshold)
     nodes = classes.select("key", F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.substring("label", t * (2 * DEPTH) + 1, F.lit(2 * depth)).alias("prefix")))).alias("node"))
     nodes = nodes.select("key", F.xxhash64("node.tree", "node.prefix").alias("node"))
-    shared = nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
-    nodes = nodes.join(shared, "node")
-    a, b = nodes.select("node", F.col("key").alias("a")), nodes.select("node", F.col("key").alias("b"))
-    return a.join(b, "node").where("a < b").select("a", "b").distinct()
-
-
-def _jaccard_pairs(key, pairs: pd.DataFrame, sets: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    known = {k: np.frombuffer(s, dtype=np.uint64) for k, s in zip(sets["key"], sets["shingles"])}
-    rows = []
-    for a, b in zip(pairs["a"], pairs["b"]):
-        x, y = known[a], known[b]
-        if min(len(x), len(y)) < threshold * max(len(x), len(y)):
-            continue
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        j = both / (len(x) + len(y) - both)
-        if j >= threshold:
-            rows.append((a, b, j))
-    return pd.DataFrame(rows, columns=["a", "b", "jaccard"])
-
-
-def verify(candidates: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """a, b, jaccard of the candidate pairs whose shingle sets (key, shingles) reach the threshold."""
-    ends = candidates.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
-    anchors = ends.groupBy(F.col("e.a").alias("key")).agg(F.min("e.b").alias("other")).select("key", F.least("key", "other").alias("anchor"))
-    anchored = candidates.join(anchors.withColumnRenamed("key", "a"), "a")
-    sizes = anchored.groupBy("anchor").agg(F.approx_count_distinct("b").alias("n")).select("anchor", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    dealt = anchored.join(sizes, "anchor").select("a", "b", "anchor", F.pmod(F.xxhash64("a"), "blocks").alias("ga"), F.pmod(F.xxhash64("b"), "blocks").alias("gb"))
-    dealt = written(dealt, "dealt")
-    group, other = ["anchor", "ga", "gb"], ["anchor_", "ga_", "gb_"]
-    need = dealt.select(*[F.col(x).alias(y) for x, y in zip(group, other)], F.explode(F.array("a", "b")).alias("key")).distinct()
-    shipped = need.join(sets, "key")
-    return dealt.groupBy(*group).cogroup(shipped.groupBy(*other)).applyInPandas(lambda key, p, s: _jaccard_pairs(key, p, s, threshold), "a binary, b binary, jaccard double")
+    hubs = nodes.groupBy("node").agg(F.min("key").alias("hub"), F.count("*").alias("n")).where("n > 1").select("node", "hub")
+    return components(nodes.join(hubs, "node").where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct())
+
+
+def _shared(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set in ``x`` with every set in ``y``: products of 0/1 matrices over the shingles on both sides."""
+    left, right = np.concatenate(x), np.concatenate(y)
+    both = np.intersect1d(left, right)
+    out = np.zeros((len(x), len(y)), dtype=np.float32)
+    if not len(both):
+        return out
+
+    def places(flat: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(both, flat), len(both) - 1)
+        ok = both[at] == flat
+        return np.repeat(np.arange(len(sets)), [len(v) for v in sets])[ok], at[ok]
+
+    (ri, ci), (rj, cj) = places(left, x), places(right, y)
+    for begin in range(0, len(both), 4096):
+        m, n = (np.zeros((k, 4096), dtype=np.float32) for k in (len(x), len(y)))
+        p, q = (ci >= begin) & (ci < begin + 4096), (cj >= begin) & (cj < begin + 4096)
+        m[ri[p], ci[p] - begin] = 1
+        n[rj[q], cj[q] - begin] = 1
+        out += m @ n.T
+    return out
+
+
+def _verified(batches, threshold: float, pairs: bool):
+    """Links of each block pair, from rows (root, ga, gb, key, g, n_docs, shingles) that come block pair by block pair.
+
+    Yields a, null, documents linked to a; and a, b, 0 for links that keep what the block pair's links join
+    together (with ``pairs``: all links).
+    """
+
+    def rows():
+        for batch in batches:
+            yield from zip(*(c.to_pylist() for c in batch.columns))
+
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("n", pa.int64()), ("jaccard", pa.float64())])
+    out: list[tuple] = []
+    for (_, ga, gb), group in groupby(rows(), key=lambda r: r[:3]):
+        own = list(group)
+        sides = [[r for r in own if r[4] == g] for g in ((ga,) if ga == gb else (ga, gb))]
+        left, right = sides[0], sides[-1]
+        if left and right:
+            x, y = ([np.frombuffer(r[6], dtype=np.uint64) for r in side] for side in (left, right))
+            size = np.array([len(v) for v in x], dtype=np.float64)[:, None] + np.array([len(v) for v in y], dtype=np.float64)
+            both = _shared(x, y)
+            jaccard = both / (size - both)
+            linked = jaccard >= threshold
+            if ga == gb:
+                np.fill_diagonal(linked, False)
+            weights = [np.array([r[5] for r in side], dtype=np.int64) for side in (left, right)]
+            out += [(r[3], None, int(n), None) for r, n in zip(left, linked @ weights[1]) if n]
+            if ga != gb:
+                out += [(r[3], None, int(n), None) for r, n in zip(right, linked.T @ weights[0]) if n]
+            i, j = np.nonzero(np.triu(linked) if ga == gb else linked)
+            if pairs:
+                out += [(*sorted((left[p][3], right[q][3])), 0, float(jaccard[p, q])) for p, q in zip(i.tolist(), j.tolist())]
+            else:
+                top: dict[bytes, bytes] = {}
+
+                def find(k: bytes) -> bytes:
+                    while (up := top.get(k, k)) != k:
+                        top[k] = top.get(up, up)
+                        k = up
+                    return k
+
+                for p, q in zip(i.tolist(), j.tolist()):
+                    a, b = find(left[p][3]), find(right[q][3])
+                    if a != b:
+                        top[max(a, b)] = min(a, b)
+                        out.append((left[p][3], right[q][3], 0, None))
+        if len(out) >= 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+            out = []
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+
+
+def verify(groups: DataFrame, sets: DataFrame, threshold: float, pairs: bool = False) -> DataFrame:
+    """a, b, n, jaccard of _verified() over the classes of each group (key, root) with their sets (key, n_docs, shingles).
+
+    A group's classes are dealt to blocks; every two blocks meet in one place, so a class is shipped once for each block of its group.
+    """
+    sizes = groups.groupBy("root").agg(F.count("*").alias("n")).select("root", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    dealt = groups.join(sizes, "root").select("key", "root", "blocks", F.pmod(F.xxhash64("key"), "blocks").alias("g")).join(sets, "key")
+    meets = dealt.select("root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("h"), "key", "g", "n_docs", "shingles")
+    meets = meets.select("root", F.least("g", "h").alias("ga"), F.greatest("g", "h").alias("gb"), "key", "g", "n_docs", "shingles")
+    ordered = meets.repartition("root", "ga", "gb").sortWithinPartitions("root", "ga", "gb", "key")
+    return ordered.mapInArrow(lambda batches: _verified(batches, threshold, pairs), "a binary, b binary, n long, jaccard double")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -179,7 +241,7 @@ def components(links: DataFrame) -> DataFrame:
     Each round hands every key the smallest root next to it and then the root of that root, until nothing changes.
     """
     edges = written(links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b"), "edges")
-    roots = written(edges.groupBy(F.col("a").alias("key")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "roots")
+    roots = written(edges.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("least")).select("key", F.least("key", "least").alias("root")), "roots")
     while True:
         near = edges.join(roots.withColumnRenamed("key", "b"), "b").groupBy("a").agg(F.min("root").alias("near"))
         hop = roots.join(near, roots["key"] == near["a"], "left").select("key", F.col("root").alias("old"), F.least("root", "near").alias("mid"))
@@ -191,17 +253,19 @@ def components(links: DataFrame) -> DataFrame:
             return roots
 
 
-def similarity_join(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Members (doc_id, key), classes (key, n_docs, rep) and links (a, b, jaccard) between classes.
+def similarity_join(docs: DataFrame, threshold: float = 0.8, pairs: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members (doc_id, key), classes (key, n_docs, rep) and links (a, b, n, jaccard).
 
     Rows with equal shingle sets have one key, 128 bits of their hash; rows without words have a null key and no links.
+    Links without b say how many documents of other classes are linked to class a; the others join
+    the classes that links join, and with ``pairs`` are all links between classes.
     """
     rows = written(sketch(docs), "sketches")
     known = rows.where("key is not null")
     classes = written(known.groupBy("key").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("rep"), F.first("label").alias("label")), "classes")
-    candidates = written(forest_candidates(classes, threshold), "candidates")
-    ends = candidates.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    links = written(verify(candidates, shingle_sets(docs, ends), threshold), "links")
+    groups = forest_groups(classes, threshold)
+    sets = shingle_sets(docs, groups.select("key")).join(classes.select("key", "n_docs"), "key")
+    links = written(verify(groups, sets, threshold, pairs), "links")
     return rows.select("doc_id", "key"), classes.select("key", "n_docs", "rep"), links
 
 
@@ -213,9 +277,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     Rows without words link to nothing and are their own class; repeated rows count each; other columns are not read.
     """
     members, classes, links = similarity_join(docs, threshold)
-    ends = links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select(F.col("e.a").alias("key"), F.col("e.b").alias("to"))
-    degree = ends.join(classes.select(F.col("key").alias("to"), "n_docs"), "to").groupBy("key").agg(F.sum("n_docs").alias("linked"))
-    roots = components(links)
+    degree = links.where("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("linked"))
+    roots = components(links.where("b is not null").select("a", "b").distinct())
     ids = roots.join(classes.select("key", "rep"), "key").groupBy("root").agg(F.min("rep").alias("class_id"))
     found = (
         classes.join(degree, "key", "left")
