@@ -19,7 +19,7 @@ from glossweave.llm.common import id_fold
 
 BITS = 18
 #: Labelled documents that the model is fitted on at most: the first in the order of their hashed identifier.
-TRAIN_ROWS = 8192
+TRAIN_ROWS = 6000
 #: Updates that training makes at least, by going over a small sample more often, but never more often than PASSES[1].
 UPDATES, PASSES = 24_000, (3, 40)
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.2
