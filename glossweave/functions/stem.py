@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Callable
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -79,16 +81,18 @@ def stem(word: str) -> str:
     return w
 
 
-@F.pandas_udf("string")
-def stems(words: pd.Series) -> pd.Series:
-    return words.map(stem, na_action="ignore")
+def _each(f: Callable, kind: str) -> Callable[[Column | str], Column]:
+    """A column function of ``f`` over values that are not null; its UDF is made at the first call, in a session."""
 
+    def column(value: Column | str) -> Column:
+        def run(values: pd.Series) -> pd.Series:
+            return values.map(f, na_action="ignore")
 
-@F.pandas_udf("array<string>")
-def stem_all(words: pd.Series) -> pd.Series:
-    return words.map(lambda ws: [stem(w) for w in ws], na_action="ignore")
+        return F.pandas_udf(run, kind)(value)
 
+    return column
 
-@F.pandas_udf("string")
-def unescape_html(text: pd.Series) -> pd.Series:
-    return text.map(html.unescape, na_action="ignore")
+
+stems = _each(stem, "string")
+stem_all = _each(lambda words: [stem(w) for w in words], "array<string>")
+unescape_html = _each(html.unescape, "string")

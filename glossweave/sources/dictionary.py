@@ -45,7 +45,7 @@ def read_data(spark: SparkSession, path: str) -> DataFrame:
     def upto(size, make):
         return F.when(size > 0, F.transform(F.sequence(F.lit(0), size - 1), make)).otherwise(F.expr("array()"))
 
-    parts = F.transform(F.split("gloss", "; "), F.trim)
+    parts = F.transform(F.split("gloss", "; "), lambda x: F.trim(x))
     return rows.select(
         F.col("p")[0].cast("long").alias("offset"), F.col("p")[1].cast("int").alias("lexfile"), F.col("p")[2].alias("pos"),
         F.transform(F.sequence(F.lit(0), F.col("n") - 1), lemma).alias("lemmas"), F.when(F.col("m") > 0, F.transform(F.sequence(F.lit(0), F.col("m") - 1), pointer)).alias("pointers"), F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), frame)).alias("frames"),

@@ -150,7 +150,7 @@ def senseeval2007(rows: DataFrame) -> DataFrame:
     shape = r'(?s)id="(.*?)" corpus.*?>(.*?)<head>(.*?)</head>(.*?)</instance>'
     part = [F.regexp_extract("record", shape, k) for k in range(1, 5)]
     good = rows.where(F.col("record").rlike(shape))
-    text = F.array_join(F.filter(F.array(*[F.trim(x) for x in part[1:]]), lambda x: x != ""), " ")
+    text = F.array_join(F.filter(F.array(*[F.regexp_replace(x, r"^\s+|\s+$", "") for x in part[1:]]), lambda x: x != ""), " ")
     return _document(good, "senseeval2007", raw_text=text, key=part[0], id=F.size(space_tokens(part[1])).cast("long"), title=F.regexp_extract(part[0], r"^([^.]*)", 1))
 
 
