@@ -24,10 +24,12 @@ SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:glossweave:warc")
 #: Date of responses made from pages, whose table has none.
 UNDATED = "1970-01-01T00:00:00Z"
 
-_DROP = re.compile(r"<!--.*?-->|<(script|style|noscript|template|svg|nav|head)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?</\1\s*>", re.S | re.I)
-_BREAK = re.compile(r"<(?:/?(?:p|div|article|section|h[1-6]|ul|ol|li|table|tr|blockquote|pre|header|footer|main|aside|form)\b|br\b|hr\b)[^>]*>", re.I)
-_TAG = re.compile(r"</?[a-zA-Z!?](?:[^>\"']|\"[^\"]*\"|'[^']*')*>")
-_LOOSE = re.compile(r"</?[a-zA-Z!?][^>]*>")
+#: What may stand inside a tag: no angle brackets outside quotes.
+_INSIDE = r"""(?:[^<>"']|"[^"]*"|'[^']*')*"""
+_DROP = re.compile(rf"<!--.*?-->|<(script|style|noscript|template|svg|nav|head)\b{_INSIDE}>.*?</\1\s*>", re.S | re.I)
+_BREAK = re.compile(rf"<(?:/?(?:p|div|article|section|h[1-6]|ul|ol|li|table|tr|blockquote|pre|header|footer|main|aside|form)\b|br\b|hr\b){_INSIDE}>", re.I)
+_TAG = re.compile(rf"</?[a-zA-Z!?]{_INSIDE}>")
+_LOOSE = re.compile(r"</?[a-zA-Z!?][^<>]*>")
 _SPACES = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r" ?\n[\s]*")
 
