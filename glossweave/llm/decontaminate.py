@@ -90,12 +90,11 @@ def window_keys(fingerprint: Column) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("block"), _block(fingerprint, at, width).alias("value")) for k, (at, width) in enumerate(block_layout())])
 
 
-def weighted_jaccard(a: Column, b: Column) -> Column:
-    """Shared counts over united counts of two arrays' elements."""
-    shared = F.aggregate(
-        F.array_distinct(a), F.lit(0), lambda acc, x: acc + F.least(F.size(F.filter(a, lambda y: y == x)), F.size(F.filter(b, lambda y: y == x)))
-    )
-    return shared / (F.size(a) + F.size(b) - shared)
+def weighted_jaccard(pairs: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
+    """The keys of ``pairs`` and similarity: shared counts over united counts of the elements of two array columns."""
+    side = F.concat(F.transform(a, lambda x: F.struct(x.alias("x"), F.lit(1).alias("a"), F.lit(0).alias("b"))), F.transform(b, lambda x: F.struct(x.alias("x"), F.lit(0).alias("a"), F.lit(1).alias("b"))))
+    counts = pairs.select(*keys, F.explode(side).alias("e")).groupBy(*keys, "e.x").agg(F.sum("e.a").alias("na"), F.sum("e.b").alias("nb"))
+    return counts.groupBy(*keys).agg((F.sum(F.least("na", "nb")) / F.sum(F.greatest("na", "nb"))).alias("similarity"))
 
 
 def _marked(docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -122,21 +121,22 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFram
     item; null identifiers are grouped as one.  Other columns are not read.
     """
     own = items.select("item_id", shingles(F.col("text")).alias("item_sh")).where(F.size("item_sh") > 0)
-    own = written(own.withColumn("item_fp", simhash(F.col("item_sh"))), "items")
+    own = written(own.withColumn("item_fp", simhash(F.col("item_sh"))).withColumn("item", F.monotonically_increasing_id()), "items")
     places = own.select(F.size("item_sh").alias("n"), F.posexplode("item_sh").alias("at", "hash")).distinct()
     marked = _marked(docs, places)
     hits = marked.select("uid", F.explode("hits").alias("hit")).select("uid", "hit.pos", "hit.hash")
     spans = hits.join(places, "hash").select("uid", F.greatest(F.col("pos") - F.col("at"), F.lit(0)).alias("start"), "n").distinct()
     windows = spans.join(marked.select("uid", "doc_id", "sh"), "uid").select("uid", "doc_id", "start", F.slice("sh", F.col("start") + 1, F.col("n")).alias("win_sh"))
-    windows = windows.withColumn("fp", simhash(F.col("win_sh")))
-    keyed = windows.withColumn("key", F.explode(window_keys(F.col("fp")))).select("uid", "doc_id", "start", "win_sh", "fp", "key.block", "key.value")
-    index = own.withColumn("key", F.explode(item_keys(F.col("item_fp")))).select("item_id", "item_fp", "key.block", "key.value")
+    windows = written(windows.withColumn("fp", simhash(F.col("win_sh"))).withColumn("window", F.monotonically_increasing_id()), "windows")
+    keyed = windows.select("window", "fp", F.explode(window_keys(F.col("fp"))).alias("key")).select("window", "fp", "key.block", "key.value")
+    index = own.select("item", "item_fp", F.explode(item_keys(F.col("item_fp"))).alias("key")).select("item", "item_fp", "key.block", "key.value")
     hamming = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
-    near = keyed.join(index, ["block", "value"]).withColumn("hamming", hamming).where(F.col("hamming") <= RADIUS)
-    near = near.groupBy("uid", "start", F.size("win_sh").alias("n"), "item_id").agg(F.first("doc_id").alias("doc_id"), F.first("win_sh").alias("win_sh"), F.first("hamming").alias("hamming"))
-    scored = near.join(own.select("item_id", "item_sh"), "item_id").withColumn("similarity", weighted_jaccard(F.col("win_sh"), F.col("item_sh"))).where(F.col("similarity") >= threshold)
+    near = keyed.join(index, ["block", "value"]).where(hamming <= RADIUS).select("window", "item", hamming.alias("hamming")).distinct()
+    near = near.join(windows.select("window", "doc_id", "start", "win_sh"), "window").join(own.select("item", "item_id", "item_sh"), "item")
+    scores = weighted_jaccard(near, ["window", "item"], "win_sh", "item_sh").where(F.col("similarity") >= threshold)
+    found = near.select("window", "item", "item_id", "doc_id", "start", F.size("win_sh").alias("n"), "hamming").join(scores, ["window", "item"])
     best = F.max(F.struct("similarity", (-F.col("start")).alias("before"), F.col("n"), (-F.col("hamming")).alias("close"))).alias("b")
-    return scored.groupBy("doc_id", "item_id").agg(best).select(
+    return found.groupBy("doc_id", "item_id").agg(best).select(
         "doc_id", "item_id", (-F.col("b.before")).alias("start"), (F.col("b.n") + SHINGLE - 1).alias("n_words"), (-F.col("b.close")).cast("int").alias("hamming"), F.col("b.similarity").alias("similarity")
     )
 
