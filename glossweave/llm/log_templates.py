@@ -169,13 +169,12 @@ def recurring_lines(docs: DataFrame, min_docs: int = 2) -> DataFrame:
     counts = known.groupBy("line").agg(F.count("*").alias("docs"))
     shared = known.select("row", "line").join(merged, "line").select("row", "template").distinct().groupBy("template").agg(F.count("*").alias("template_docs"))
     general = merged.join(shared, "template").select("line", "template_docs")
-    recur = counts.join(general, "line", "left").where(F.coalesce("template_docs", "docs") >= min_docs).select("line", F.lit(True).alias("recurs"))
-    marked = lines.select("row", "doc_id", "line", "n", "at").join(recur, "line", "left")
-    return marked.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"),
-        F.max(F.when(F.col("line").isNull(), F.col("n"))).alias("n_lines"),
-        F.sort_array(F.flatten(F.collect_list(F.when(F.col("recurs"), F.col("at"))))).alias("dropped"),
-    ).select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), "dropped")
+    recur = counts.join(general, "line", "left").where(F.coalesce("template_docs", "docs") >= min_docs).select("line")
+    # rows that only count lines have no line to join by; kept apart, they don't meet in one task
+    dropped = known.select("row", "line", "at").join(recur, "line").groupBy("row").agg(F.sort_array(F.flatten(F.collect_list("at"))).alias("dropped"))
+    whole = lines.where("line is null").select("row", "doc_id", F.col("n").alias("n_lines"))
+    found = whole.join(dropped, "row", "left").withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))
+    return found.select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), "dropped")
 
 
 def drop_recurring(docs: DataFrame, min_docs: int = 2) -> DataFrame:
