@@ -15,6 +15,7 @@ one of a document is padded with zero bits.  The rank table is a file of its own
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 import zlib
@@ -46,6 +47,9 @@ _state: dict[str, tuple] = {}
 def _coder(path: str) -> tuple:
     """The tokenizer and the chunk memory of this worker process."""
     if path not in _state:
+        # one task, one core: the library's threads would cost time and memory of their own
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        os.environ["RAYON_NUM_THREADS"] = "1"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
@@ -190,7 +194,7 @@ def read_shard(uri: str, ranked: np.ndarray) -> Iterator[tuple[int, int, np.ndar
         before, c, d = before + k, c + a, d + b
 
 
-def _batches(texts: list, chars: int = 1 << 21) -> Iterator[slice]:
+def _batches(texts: list, chars: int = 1 << 20) -> Iterator[slice]:
     """Runs of texts of about so many characters."""
     begin = held = 0
     for i, text in enumerate(texts):
