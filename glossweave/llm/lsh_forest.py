@@ -26,6 +26,8 @@ TARGET_RECALL = 0.999
 #: Classes of a group that a block holds on average.
 BLOCK = 256
 REMEMBERED = 300_000
+#: Edges up to which the keys and roots of a graph (32 bytes each) are broadcast.
+FEW_EDGES = 500_000
 #: Bits of the filter of candidate classes, a power of two.
 FILTER_BITS = 1 << 24
 
@@ -241,12 +243,20 @@ def components(links: DataFrame) -> DataFrame:
     Each round hands every key the smallest root next to it and then the root of that root, until nothing changes.
     """
     edges = written(links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b"), "edges")
-    roots = written(edges.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("least")).select("key", F.least("key", "least").alias("root")), "roots")
+    n = edges.count()
+    few = n <= FEW_EDGES  # no more keys than edges, so the tables of roots may then be broadcast
+
+    def small(df: DataFrame) -> DataFrame:
+        return written(df.coalesce(1 + n // 250_000) if few else df, "roots")
+
+    def side(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if few else df
+
+    roots = small(edges.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("least")).select("key", F.least("key", "least").alias("root")))
     while True:
-        near = edges.join(roots.withColumnRenamed("key", "b"), "b").groupBy("a").agg(F.min("root").alias("near"))
-        hop = roots.join(near, roots["key"] == near["a"], "left").select("key", F.col("root").alias("old"), F.least("root", "near").alias("mid"))
-        step = hop.join(roots.select(F.col("key").alias("mid"), F.col("root").alias("jump")), "mid", "left").select("key", "old", F.least("mid", "jump").alias("root"))
-        step = written(step, "roots")
+        near = edges.join(side(roots.select(F.col("key").alias("b"), "root")), "b").groupBy("a").agg(F.min("root").alias("near"))
+        hop = near.join(side(roots.select(F.col("key").alias("a"), F.col("root").alias("old"))), "a").select("a", "old", F.least("old", "near").alias("mid"))
+        step = small(hop.join(side(roots.select(F.col("key").alias("mid"), F.col("root").alias("jump"))), "mid").select(F.col("a").alias("key"), "old", F.least("mid", "jump").alias("root")))
         moved = step.where("old != root").limit(1).count()
         roots = step.select("key", "root")
         if not moved:

@@ -50,8 +50,9 @@ def test_against_brute_force(spark):
     assert {i: got[i].n_links for i in root} == {i: sum(i in x for x in links) for i in root}
 
 
-def test_small_blocks_give_the_same(spark, monkeypatch):
+def test_small_blocks_and_large_graphs_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(lsh_forest, "BLOCK", 2)
+    monkeypatch.setattr(lsh_forest, "FEW_EDGES", 0)
     rows = near_rows()
     links, root = brute(rows)
     got = {r.doc_id: r for r in lsh_forest.near_duplicates(spark.createDataFrame(rows, ["doc_id", "text"])).collect()}
