@@ -33,6 +33,10 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), 0)
 
 
+def low_words(text: Column) -> Column:
+    return F.transform(words(text), lambda w: F.lower(w))
+
+
 def word_spans(sentence: Column) -> Column:
     """(start, end) of each word within its sentence, in the order of words()."""
     gaps = F.transform(F.split(sentence, WORD), lambda g: F.length(g))
@@ -49,13 +53,16 @@ def word_spans(sentence: Column) -> Column:
 def rule_pos(word: Column) -> Column:
     """Part of speech by shape and suffix: CD, RB, VB, JJ, else NN."""
     low = F.lower(word)
-    return (
-        F.when(low.rlike("^[0-9]+$"), "CD")
-        .when(low.rlike("ly$"), "RB")
-        .when(low.rlike("(ing|ed)$"), "VB")
-        .when(low.rlike("(ous|ful|ive)$"), "JJ")
-        .otherwise("NN")
-    )
+
+    def ends(*suffixes: str) -> Column:
+        found = [low.endswith(x) for x in suffixes]
+        out = found[0]
+        for more in found[1:]:
+            out = out | more
+        return out
+
+    digit = F.substring(word, 1, 1).between("0", "9") & low.rlike("^[0-9]+$")
+    return F.when(digit, "CD").when(ends("ly"), "RB").when(ends("ing", "ed"), "VB").when(ends("ous", "ful", "ive"), "JJ").otherwise("NN")
 
 
 def overlap(a: Column, b: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glossweave.functions.text import rule_pos, sentences
+from glossweave.functions.text import words as text_words
 from glossweave.sources.corpus import token_array
 
 
@@ -17,23 +19,23 @@ def accept(token_rows: DataFrame, words: DataFrame | None) -> DataFrame:
 
 def one_line_per_doc(documents: DataFrame, listed: list[str] | None = None) -> DataFrame:
     """key, line: a document's accepted words, each followed by a space."""
-    words = F.transform(token_array(F.col("text")), lambda t: t["word"])
+    words = text_words(F.col("text"))
     if listed is not None:
         words = F.filter(words, lambda w: F.lower(w).isin(listed))
     return documents.select(F.col("doc_id").cast("string").alias("key"), F.array_join(F.transform(words, lambda w: F.concat(w, F.lit(" "))), "").alias("line"))
 
 
 def _conll(t: Column) -> Column:
-    return F.concat_ws("\t", (t["tok"] + 1).cast("string"), t["word"], F.lit("_"), t["pos"], t["pos"], F.lit("_"), t["tok"].cast("string"), F.lower(t["pos"]))
+    pos = rule_pos(t["word"])
+    return F.concat_ws("\t", (t["tok"] + 1).cast("string"), t["word"], F.lit("_"), pos, pos, F.lit("_"), t["tok"].cast("string"), F.lower(pos))
 
 
 def conll_lines(documents: DataFrame) -> DataFrame:
     """doc_id, sent, lines: tab-separated index, word, _, pos, pos, _, head, relation of each token."""
-    rows = documents.select("doc_id", token_array(F.col("text")).alias("t")).where(F.size("t") > 0)
-    top = F.element_at("t", -1)["sent"]
-    rows = rows.select("doc_id", "t", F.explode(F.sequence(F.lit(0), top)).alias("sent"))
-    own = F.filter("t", lambda x: x["sent"] == F.col("sent"))
-    return rows.select("doc_id", "sent", own.alias("own")).where(F.size("own") > 0).select("doc_id", "sent", F.array_join(F.transform("own", _conll), "\n").alias("lines"))
+    rows = documents.select("doc_id", F.posexplode(sentences(F.col("text"))).alias("sent", "s"))
+    own = F.transform(text_words(F.col("s")), lambda w, j: F.struct(j.alias("tok"), w.alias("word")))
+    rows = rows.select("doc_id", "sent", own.alias("own")).where(F.size("own") > 0)
+    return rows.select("doc_id", "sent", F.array_join(F.transform("own", _conll), "\n").alias("lines"))
 
 
 def semeval_lines(documents: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossweave.functions.text import clean_term, space_tokens
-from glossweave.sources.corpus import token_array
+from glossweave.functions.text import clean_term, low_words, rule_pos, space_tokens
+from glossweave.functions.text import words as words_of
 
 
 def token_count(documents: DataFrame) -> DataFrame:
@@ -23,19 +23,19 @@ def count_by(rows: DataFrame, *keys: str | Column) -> DataFrame:
 def compound_count(documents: DataFrame, compounds: list[str]) -> DataFrame:
     """word, n of lower-case words, listed two-word compounds taken as one; matching is greedy from the left.
 
-    Compounds overlap in runs of matches; from the left every second match of a run stands, so a match
-    stands when its distance from the last place without a match is odd.
+    The places of matches are the few that a document's array is filtered to; of those, one stands if it
+    begins after the last one that stands has ended.  Words in standing matches are taken off the count of all words.
     """
-    low = F.transform(token_array(F.col("text")), lambda t: F.lower(t["word"]))
-    rows = documents.select(F.monotonically_increasing_id().alias("row"), low.alias("w"))
+    rows = documents.select(low_words(F.col("text")).alias("w")).where(F.size("w") > 0)
     pair = F.transform("w", lambda x, i: F.concat(x, F.lit(" "), F.coalesce(F.get("w", i + 1), F.lit(""))))
-    rows = rows.withColumn("pair", pair).select("row", F.posexplode(F.arrays_zip("w", "pair")).alias("i", "z")).select("row", "i", "z.w", "z.pair")
-    rows = rows.withColumn("hit", F.col("pair").isin(compounds or [""]))
-    order = Window.partitionBy("row").orderBy("i")
-    miss = F.coalesce(F.last(F.when(~F.col("hit"), F.col("i")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
-    rows = rows.withColumn("stands", F.col("hit") & ((F.col("i") - miss) % 2 == 1))
-    rows = rows.withColumn("taken", F.coalesce(F.lag("stands").over(order), F.lit(False)))
-    return count_by(rows.where(~F.col("taken")).select(F.when(F.col("stands"), F.col("pair")).otherwise(F.col("w")).alias("word")), "word")
+    hits = F.filter(F.transform(pair, lambda p, i: F.when(p.isin(compounds or [""]), i)), lambda i: i.isNotNull())
+    start = F.struct(F.lit(-2).alias("last"), F.array().cast("array<int>").alias("stand"))
+    stand = F.aggregate(hits, start, lambda acc, i: F.when(i >= acc["last"] + 2, F.struct(i.alias("last"), F.concat(acc["stand"], F.array(i)).alias("stand"))).otherwise(acc), lambda acc: acc["stand"])
+    single = rows.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    spots = rows.select("w", F.explode(stand).alias("i")).select(F.get("w", F.col("i")).alias("a"), F.get("w", F.col("i") + 1).alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
+    parts = F.array(*[F.struct(word.alias("word"), (F.col("n") * sign).alias("n")) for word, sign in ((F.col("a"), -1), (F.col("b"), -1), (F.concat_ws(" ", "a", "b"), 1))])
+    both = single.unionByName(spots.select(F.explode(parts).alias("p")).select("p.*"))
+    return both.groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
 
 
 def term_document(token_rows: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ def term_document(token_rows: DataFrame) -> DataFrame:
 
 def doc_cooccurrence(documents: DataFrame, listed: list[str]) -> DataFrame:
     """term, other, n over documents: ('', t) for a document's distinct listed words and (t, u) for each ordered pair, t = u too."""
-    terms = F.array_distinct(F.filter(F.transform(token_array(F.col("text")), lambda t: F.lower(t["word"])), lambda w: w.isin(listed)))
+    terms = F.array_distinct(F.filter(low_words(F.col("text")), lambda w: w.isin(listed)))
     rows = documents.select(terms.alias("terms")).where(F.size("terms") > 0).select(F.explode("terms").alias("other"), "terms")
     pairs = rows.select(F.explode(F.concat(F.array(F.lit("")), F.col("terms"))).alias("term"), "other")
     return count_by(pairs, "term", "other")
@@ -56,7 +56,7 @@ def window_pairs(documents: DataFrame, listed: list[str], width: int) -> DataFra
     A document's listed tokens stay in one array in the order of their positions, so a word's right
     neighbours are among the next ``width`` elements and no shuffle or join is needed.
     """
-    near = F.transform(token_array(F.col("text")), lambda t, i: F.struct(i.alias("gpos"), F.lower(t["word"]).alias("word"), t["pos"].alias("pos")))
+    near = F.transform(low_words(F.col("text")), lambda w, i: F.struct(i.alias("gpos"), w.alias("word")))
     rows = documents.select(F.filter(near, lambda t: t["word"].isin(listed)).alias("t")).where(F.size("t") > 1)
     rows = rows.select(F.posexplode("t").alias("i", "f"), "t")
     right = F.filter(F.slice("t", F.col("i") + 2, F.lit(width)), lambda c: c["gpos"] - F.col("f.gpos") <= width)
@@ -64,9 +64,10 @@ def window_pairs(documents: DataFrame, listed: list[str], width: int) -> DataFra
     gap = F.col("c.gpos") - F.col("f.gpos")
 
     def side(a: str, b: str, sign: int) -> Column:
-        return F.struct(F.col(f"{a}.word").alias("word"), F.col(f"{a}.pos").alias("pos"), F.col(f"{b}.word").alias("other"), F.col(f"{b}.pos").alias("other_pos"), (gap * sign).alias("distance"))
+        return F.struct(F.col(f"{a}.word").alias("word"), F.col(f"{b}.word").alias("other"), (gap * sign).alias("distance"))
 
-    return rows.select(F.explode(F.array(side("f", "c", 1), side("c", "f", -1))).alias("p")).select("p.*")
+    rows = rows.select(F.explode(F.array(side("f", "c", 1), side("c", "f", -1))).alias("p")).select("p.*")
+    return rows.select("word", rule_pos(F.col("word")).alias("pos"), "other", rule_pos(F.col("other")).alias("other_pos"), "distance")
 
 
 def window_totals(token_rows: DataFrame, listed: list[str], width: int) -> DataFrame:
@@ -79,7 +80,7 @@ def window_totals(token_rows: DataFrame, listed: list[str], width: int) -> DataF
 
 def context_vectors(documents: DataFrame, listed: list[str], width: int) -> DataFrame:
     """doc_id, gpos, word, context: one row for each listed occurrence with the counts of the listed words in its window, ``n,word`` joined by bars."""
-    near = F.transform(token_array(F.col("text")), lambda t, i: F.struct(i.alias("gpos"), F.lower(t["word"]).alias("word")))
+    near = F.transform(low_words(F.col("text")), lambda w, i: F.struct(i.alias("gpos"), w.alias("word")))
     rows = documents.select("doc_id", F.filter(near, lambda t: t["word"].isin(listed)).alias("t"))
     rows = rows.select("doc_id", F.posexplode("t").alias("i", "f"), "t")
     left = F.greatest(F.col("i") - width, F.lit(0))
@@ -101,7 +102,7 @@ def tag_network(rows: DataFrame) -> DataFrame:
 
 def tag_words(rows: DataFrame) -> DataFrame:
     """tag, word, n: words are counted by document first, then multiplied out to its tags."""
-    words = rows.select("categories", F.explode(F.transform(token_array(F.col("raw_text")), lambda t: t["word"])).alias("word"))
+    words = rows.select("categories", F.explode(words_of(F.col("raw_text"))).alias("word"))
     counted = words.groupBy("categories", "word").agg(F.count("*").alias("n"))
     return counted.select(F.explode("categories").alias("tag"), "word", "n").groupBy("tag", "word").agg(F.sum("n").alias("n"))
 

@@ -7,8 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossweave.functions.text import low_words, rule_pos
 from glossweave.operators.ontology import tag_pos
-from glossweave.sources.corpus import token_array
 
 
 
@@ -36,8 +36,8 @@ def most_frequent(token_rows: DataFrame, senses: DataFrame) -> DataFrame:
 
 def known_tokens(documents: DataFrame, lemmas: list[str]) -> DataFrame:
     """doc_id, t: a document's tokens that the lexicon knows, as (gpos, lemma, tag), in one array."""
-    near = F.transform(token_array(F.col("text")), lambda t, i: F.struct(i.cast("long").alias("gpos"), F.lower(t["word"]).alias("lemma"), F.coalesce(tag_pos(t["pos"]), F.lit("x")).alias("tag")))
-    return documents.select("doc_id", F.filter(near, lambda t: t["lemma"].isin(lemmas)).alias("t"))
+    near = F.filter(F.transform(low_words(F.col("text")), lambda w, i: F.struct(i.cast("long").alias("gpos"), w.alias("lemma"))), lambda t: t["lemma"].isin(lemmas))
+    return documents.select("doc_id", F.transform(near, lambda t: F.struct(t["gpos"].alias("gpos"), t["lemma"].alias("lemma"), F.coalesce(tag_pos(rule_pos(t["lemma"])), F.lit("x")).alias("tag"))).alias("t"))
 
 
 def window_lesk(documents: DataFrame, senses: DataFrame, scores: DataFrame, lemmas: list[str], width: int = 5) -> DataFrame:

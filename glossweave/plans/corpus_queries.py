@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from glossweave.functions.text import clean_term, sentences, space_tokens, word_spans, words
 from glossweave.operators import depend, extract, stats
-from glossweave.sources.corpus import corpus, table, tokens, word_list, word_set
+from glossweave.sources.corpus import corpus, plain_tokens, table, tokens, word_list, word_set
 
 LISTED, WIDTH, HOPS = 200, 5, 3
 
@@ -20,12 +20,16 @@ def _tokens(spark: SparkSession, sf: str) -> DataFrame:
     return tokens(_docs(spark, sf))
 
 
+def _plain(spark: SparkSession, sf: str) -> DataFrame:
+    return plain_tokens(_docs(spark, sf))
+
+
 def _corpus(spark: SparkSession, sf: str, source: str | None = None) -> DataFrame:
     return corpus(_docs(spark, sf), table(spark, sf, "labels"), source)
 
 
 def _listed(spark: SparkSession, sf: str, n: int = LISTED) -> list[str]:
-    return word_set(_tokens(spark, sf), n)
+    return word_set(_docs(spark, sf), n)
 
 
 def noun_paths(spark: SparkSession, sf: str) -> DataFrame:
@@ -63,8 +67,7 @@ def clean_terms(spark, sf):
 
 
 def wordlist_filter(spark, sf):
-    rows = _tokens(spark, sf)
-    return extract.accept(rows, word_list(rows, LISTED)).select("doc_id", F.col("gpos").cast("long").alias("gpos"), "word")
+    return extract.accept(_plain(spark, sf), word_list(_docs(spark, sf), LISTED)).select("doc_id", F.col("gpos").cast("long").alias("gpos"), "word")
 
 
 def import_corpus(spark, sf):
@@ -114,7 +117,7 @@ def dep_cooc(spark, sf):
 
 def wsd_agreement(spark, sf):
     """Three taggers' lines (whole rule, suffix only, always noun) on which two agree."""
-    rows = _tokens(spark, sf).select("doc_id", "gpos", "pos", F.when(F.lower("word").rlike("(ing|ed)$"), "VB").otherwise("NN").alias("p2"))
+    rows = _plain(spark, sf).select("doc_id", "gpos", "pos", F.when(F.lower("word").rlike("(ing|ed)$"), "VB").otherwise("NN").alias("p2"))
     key = F.concat_ws(" ", F.col("doc_id").cast("string"), F.col("gpos").cast("string"))
     votes = rows.select(F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.concat_ws(" ", key, p).alias("line")) for m, p in (("a", F.col("pos")), ("b", F.col("p2")), ("c", F.lit("NN")))])).alias("v")).select("v.*")
     return stats.agreement(votes, 2)
@@ -144,13 +147,13 @@ QUERIES = {
     "tokenize": tokenize,
     "tokenize_ws": tokenize_ws,
     "compound_token_count": lambda s, d: stats.compound_count(_docs(s, d), compounds(s, d)),
-    "pos_count": lambda s, d: stats.count_by(_tokens(s, d), "pos"),
-    "term_document": lambda s, d: stats.term_document(_tokens(s, d)),
+    "pos_count": lambda s, d: stats.count_by(_plain(s, d), "pos"),
+    "term_document": lambda s, d: stats.term_document(_plain(s, d)),
     "term_doc_cooccurrence": lambda s, d: stats.doc_cooccurrence(_docs(s, d), _listed(s, d)),
     "cooc_window": lambda s, d: stats.count_by(cooc(s, d), "word", "other"),
     "cooc_window_ordered": lambda s, d: stats.count_by(cooc(s, d).select("word", F.concat("other", F.lit("-"), F.col("distance").cast("string")).alias("other")), "word", "other"),
     "cooc_window_pos": lambda s, d: stats.count_by(cooc(s, d).select(F.concat("word", F.lit("-"), "pos").alias("word"), F.concat("other", F.lit("-"), "other_pos").alias("other")), "word", "other"),
-    "cooc_window_totals": lambda s, d: stats.window_totals(_tokens(s, d), _listed(s, d), WIDTH),
+    "cooc_window_totals": lambda s, d: stats.window_totals(_plain(s, d), _listed(s, d), WIDTH),
     "dep_cooc": dep_cooc,
     "dep_path_count": lambda s, d: depend.path_count(noun_pairs(s, d)),
     "relation_tuples": relation_tuples,

@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossweave.functions.text import words
+from glossweave.functions.text import low_words, words
 from glossweave.operators import depend, graph, learn, similarity, stats, wsd
 from glossweave.operators import ontology as onto
-from glossweave.plans.corpus_queries import PAIRS, TOK, WIDTH, _docs, _listed, _tokens, listed, noun_pairs, noun_paths
+from glossweave.plans.corpus_queries import PAIRS, TOK, WIDTH, _docs, _listed, _plain, _tokens, listed, noun_pairs, noun_paths
 from glossweave.plans.scratch import checkpointed
-from glossweave.sources.corpus import table, token_array
+from glossweave.sources.corpus import table
 
 DEPTH, LEXICON_DEPTH, NOUN_DEPTH = 4, 12, 3
 
@@ -87,7 +87,7 @@ def lexicon_paths(lex: dict[str, DataFrame]) -> DataFrame:
 
 
 def doc_words(spark, sf):
-    return _tokens(spark, sf).select(F.lower("word").alias("word")).distinct()
+    return _plain(spark, sf).select(F.lower("word").alias("word")).distinct()
 
 
 def phrases(spark, sf):
@@ -321,8 +321,7 @@ def tag_disambig(spark, sf):
     """Each document's first word as its tag: one sense stays, several are told apart by the document's words, of none all synsets are searched."""
     lex = lexicon(spark, sf)
     docs = _docs(spark, sf)
-    low = F.transform(token_array(F.col("text")), lambda t: F.lower(t["word"]))
-    rows = docs.select("doc_id", low.alias("w")).where(F.size("w") > 0)
+    rows = docs.select("doc_id", low_words(F.col("text")).alias("w")).where(F.size("w") > 0)
     tag = rows.select("doc_id", F.col("w")[0].alias("tag"))
     near = lex["synset"].select("id", F.col("id").alias("of")).unionByName(lex_links(lex).select(F.col("src").alias("id"), F.col("dst").alias("of")))
     own = near.join(lex["synset"].select(F.col("id").alias("of"), "words"), "of").select("id", F.explode("words").alias("dim")).groupBy("id", "dim").agg(F.count("*").cast("double").alias("value"))
@@ -347,13 +346,13 @@ def terms_with_parents(spark, sf):
 
 
 def set_union(spark, sf):
-    a, b = (_tokens(spark, sf).where(F.col("source") == s).select(F.lower("word").alias("word")).distinct() for s in ("src1", "src2"))
+    a, b = (_plain(spark, sf).where(F.col("source") == s).select(F.lower("word").alias("word")).distinct() for s in ("src1", "src2"))
     return a.unionByName(b).groupBy("word").agg(F.count("*").alias("copies"))
 
 
 def extended_set(spark, sf):
     """A base set and the additions that it lacks."""
-    a, b = (_tokens(spark, sf).where(F.col("source") == s).select(F.lower("word").alias("word")).distinct() for s in ("src1", "src2"))
+    a, b = (_plain(spark, sf).where(F.col("source") == s).select(F.lower("word").alias("word")).distinct() for s in ("src1", "src2"))
     return a.withColumn("part", F.lit("base")).unionByName(b.join(a, "word", "left_anti").withColumn("part", F.lit("added")))
 
 
@@ -362,7 +361,7 @@ def rounded(df: DataFrame, column: str, digits: int = 9) -> DataFrame:
 
 
 QUERIES = {
-    "wsd_mfs": lambda s, d: wsd.most_frequent(_tokens(s, d), lexicon(s, d)["sense"]),
+    "wsd_mfs": lambda s, d: wsd.most_frequent(_plain(s, d), lexicon(s, d)["sense"]),
     "terms_with_parents": terms_with_parents,
     "morphy": morphy_forms,
     "lookup_synsets": lookup_synsets,

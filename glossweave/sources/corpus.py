@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossweave.functions.text import rule_pos, sentences, words
+from glossweave.functions.text import low_words, rule_pos, sentences, words
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,31 +33,33 @@ def corpus(documents: DataFrame, labels: DataFrame | None = None, source: str |
 
 
 def token_array(text: Column) -> Column:
-    """array<struct<sent, tok, word, pos>> of a text in order; the position in it is the token's place in the document."""
-    per_sentence = F.transform(
-        sentences(text), lambda s, i: F.transform(words(s), lambda w, j: F.struct(i.alias("sent"), j.alias("tok"), w.alias("word"), rule_pos(w).alias("pos")))
-    )
-    return F.flatten(per_sentence)
+    """array<struct<sent, tok, word>> of a text in order; the position in it is the token's place in the document."""
+    return F.flatten(F.transform(sentences(text), lambda s, i: F.transform(words(s), lambda w, j: F.struct(i.alias("sent"), j.alias("tok"), w.alias("word")))))
 
 
 def tokens(documents: DataFrame) -> DataFrame:
     """doc_id, source, sent, tok, gpos, word, pos, head, rel: one row for each token, without a shuffle.
 
     The default parse is a chain: a token's head is the one before it in its sentence (1-based, 0 for the
-    first), its relation its part of speech in lower case.
+    first), its relation its part of speech in lower case.  Columns that a query doesn't use cost nothing.
     """
     rows = documents.select("doc_id", "source", F.posexplode(token_array(F.col("text"))).alias("gpos", "t"))
-    return rows.select(
-        "doc_id", "source", "t.sent", "t.tok", "gpos", "t.word", "t.pos", F.col("t.tok").alias("head"), F.lower("t.pos").alias("rel")
-    )
+    pos = rule_pos(F.col("t.word"))
+    return rows.select("doc_id", "source", "t.sent", "t.tok", "gpos", "t.word", pos.alias("pos"), F.col("t.tok").alias("head"), F.lower(pos).alias("rel"))
+
+
+def plain_tokens(documents: DataFrame) -> DataFrame:
+    """doc_id, source, gpos, word, pos of tokens() without sentences: sentence ends are no part of words, so the words of the whole text are the same."""
+    rows = documents.select("doc_id", "source", F.posexplode(words(F.col("text"))).alias("gpos", "word"))
+    return rows.withColumn("pos", rule_pos(F.col("word")))
 
 
-def word_list(token_rows: DataFrame, n: int) -> DataFrame:
-    """The ``n`` lower-case words in most documents, ties by word."""
-    pairs = token_rows.select("doc_id", F.lower("word").alias("word")).distinct()
-    return pairs.groupBy("word").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "word").limit(n).select("word")
+def word_list(documents: DataFrame, n: int) -> DataFrame:
+    """The ``n`` lower-case words in most documents, ties by word; a document's words are made distinct in its row."""
+    seen = documents.select(F.explode(F.array_distinct(low_words(F.col("text")))).alias("word"))
+    return seen.groupBy("word").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "word").limit(n).select("word")
 
 
-def word_set(token_rows: DataFrame, n: int) -> list[str]:
+def word_set(documents: DataFrame, n: int) -> list[str]:
     """word_list() as at most ``n`` values, for filters inside a document's arrays."""
-    return [r.word for r in word_list(token_rows, n).collect()]
+    return [r.word for r in word_list(documents, n).collect()]
