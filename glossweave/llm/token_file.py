@@ -20,6 +20,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 from urllib.parse import urlparse
 
 import numpy as np
@@ -32,8 +33,10 @@ from glossweave.llm.common import scratch_path, written
 MAGIC, VERSION = b"GWTF", 1
 #: Ids in a batch's text that are encoded by the library in one call.
 JOINED = 48
-#: Chunks that a worker remembers; those met later are forgotten after their batch.
-REMEMBERED = 500000
+#: Chunks that a worker remembers at most; a chunk is remembered from the second batch that has it.
+REMEMBERED = 250_000
+#: Slots, a power of two, that tell whether a chunk was met before.
+MET = 1 << 21
 #: A single space splits a text exactly unless white space is on both of its sides.
 WIDE_SPACE = re.compile(r"\s \s")
 WITH_SPACE = re.compile(r"[^\0]*?\s[^\0]*")
@@ -45,7 +48,7 @@ _state: dict[str, tuple] = {}
 
 
 def _coder(path: str) -> tuple:
-    """The tokenizer and the chunk memory of this worker process."""
+    """The tokenizer, the chunks known, the id of a line end and the slots of chunks met, of this worker process."""
     if path not in _state:
         # one task, one core: the library's threads would cost time and memory of their own
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -60,7 +63,7 @@ def _coder(path: str) -> tuple:
         pieces = [tokenizer.encode(x, add_special_tokens=False).ids for x in ("a", " b\n", " c,", " d.\n\ne  f")]
         # chunking needs a byte-level split that starts words at a space; else texts are encoded whole
         exact = len(newline) == 1 and sum(pieces, []) == whole
-        _state[path] = (tokenizer, {}, newline[0] if exact else None)
+        _state[path] = (tokenizer, {}, newline[0] if exact else None, bytearray(MET))
     return _state[path]
 
 
@@ -95,7 +98,7 @@ def _learn(tokenizer, known: dict[str, bytes], fresh: set[str], newline: int) ->
 
 def encode_texts(path: str, texts: list[str]) -> list[bytes]:
     """Each text's ids as little-endian uint32, the same as the library gives for the whole text."""
-    tokenizer, known, newline = _coder(path)
+    tokenizer, known, newline, met = _coder(path)
     out: list[bytes | None] = [None] * len(texts)
     split: list[tuple[int, str, list[str]]] = []
     for i, text in enumerate(texts):
@@ -109,7 +112,7 @@ def encode_texts(path: str, texts: list[str]) -> list[bytes]:
     got = [list(map(known.get, rest)) for _, _, rest in split]
     missed = [k for k, ids in enumerate(got) if None in ids]
     fresh = {x for k in missed for x, ids in zip(split[k][2], got[k]) if ids is None}
-    full = len(known) > REMEMBERED
+    room, old = REMEMBERED - len(known), len(known)
     if fresh:
         _learn(tokenizer, known, fresh, newline)
     heads = tokenizer.encode_batch_fast([first for _, first, _ in split], add_special_tokens=False)
@@ -117,8 +120,12 @@ def encode_texts(path: str, texts: list[str]) -> list[bytes]:
         got[k] = map(known.__getitem__, split[k][2])
     for (i, _, _), ids, head in zip(split, got, heads):
         out[i] = np.array(head.ids, dtype="<u4").tobytes() + b"".join(ids)
-    if full:
-        for x in fresh:
+    for x in list(islice(reversed(known), len(known) - old)):  # those just learned are the last in the table
+        slot = hash(x) & (MET - 1)
+        if met[slot] and room > 0:
+            room -= 1
+        else:
+            met[slot] = 1
             del known[x]
     return out
 
