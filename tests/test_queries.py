@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from glossweave.plans import corpus_queries, ontology_queries
+from glossweave.plans import corpus_queries, ontology_queries, procedure_queries
 
 QUERIES = {**corpus_queries.QUERIES, **ontology_queries.QUERIES}
 ORACLES = {**corpus_queries.ORACLES, **ontology_queries.ORACLES}
@@ -32,3 +32,8 @@ def test_same_rows(spark, duck, sf_dir, name):
     a, b = (x[columns].astype(str).sort_values(columns).reset_index(drop=True) for x in (got, want))
     assert len(a) == len(b)
     assert a.equals(b)
+
+
+@pytest.mark.parametrize("name", sorted(procedure_queries.QUERIES))
+def test_procedures_run(spark, sf_dir, name):
+    assert procedure_queries.QUERIES[name](spark, sf_dir).count() > 0
