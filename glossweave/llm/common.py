@@ -11,6 +11,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_memories: dict[str, dict] = {}
+
+
+def remember(owner: str, table: dict) -> dict:
+    """``table`` as what an operator remembers in a worker process from batch to batch."""
+    _memories[owner] = table
+    return table
+
+
+def claim(owner: str) -> None:
+    """Called as a task of ``owner`` begins: a worker that serves several operators keeps one memory at a time."""
+    for other, table in _memories.items():
+        if other != owner:
+            table.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossweave.llm.common import written
+from glossweave.llm.common import claim, remember, written
 
 LEADING, DEEP, MAX_LEAF = 4, 16, 4000
 SIMILAR = 0.8
@@ -42,7 +42,7 @@ class _Tokens(dict):
         return got
 
 
-_tokens = _Tokens()
+_tokens = remember("log_templates", _Tokens())
 
 
 def line_tokens(line: str) -> np.ndarray:
@@ -68,6 +68,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
     fields = [("row", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int64()), ("leaf", pa.int64()), ("n", pa.int64()), ("at", pa.list_(pa.int32())), ("tokens", pa.binary())]
 
     def run(batches):
+        claim("log_templates")
         shipped: set[int] = set()
         for batch in batches:
             out: list[tuple] = []

@@ -18,14 +18,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossweave.llm.common import digest_filter, passes, written
+from glossweave.llm.common import claim, digest_filter, passes, remember, written
 
 SHINGLE = 5
 TREES, DEPTH = 20, 8
 TARGET_RECALL = 0.999
 #: Classes of a group that a block holds on average.
 BLOCK = 256
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: Edges up to which the keys and roots of a graph (32 bytes each) are broadcast.
 FEW_EDGES = 500_000
 #: Bits of the filter of candidate classes, a power of two.
@@ -43,7 +43,7 @@ class _Words(dict):
         return got
 
 
-_words = _Words()
+_words = remember("lsh_forest", _Words())
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -100,6 +100,7 @@ def sketch(docs: DataFrame) -> DataFrame:
     """doc_id, key, label of every row; rows without words have a null key."""
 
     def run(batches):
+        claim("lsh_forest")
         for batch in batches:
             memo: dict[str | None, tuple] = {}
             keys, labels = [], []
@@ -121,6 +122,7 @@ def shingle_sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(flags)
 
     def run(batches):
+        claim("lsh_forest")
         bits, sent = shared.value.tobytes(), set()
         for batch in batches:
             out: list[tuple[bytes, bytes]] = []
@@ -182,6 +184,7 @@ def _verified(batches, threshold: float, pairs: bool):
         for batch in batches:
             yield from zip(*(c.to_pylist() for c in batch.columns))
 
+    claim("lsh_forest")
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("n", pa.int64()), ("jaccard", pa.float64())])
     out: list[tuple] = []
     for (_, ga, gb), group in groupby(rows(), key=lambda r: r[:3]):

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossweave.llm.common import id_fold
+from glossweave.llm.common import claim, id_fold, remember
 
 BITS = 18
 #: Labelled documents that the model is fitted on at most: the first in the order of their hashed identifier.
@@ -23,7 +23,7 @@ TRAIN_ROWS = 6000
 #: Updates that training makes at least, by going over a small sample more often, but never more often than PASSES[1].
 UPDATES, PASSES = 24_000, (3, 40)
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.2
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 _WORD = re.compile(r"^([^\w]*)(.*?)([^\w]*)$", re.S)
 
@@ -46,7 +46,7 @@ class _Units(dict):
         return got
 
 
-_units = _Units()
+_units = remember("quality", _Units())
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -96,6 +96,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", folds: int
     chosen = known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
     def run(batches):
+        claim("quality")
         for pdf in batches:
             pairs = [features(x) for x in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "at": [x.tobytes() for x, _ in pairs], "value": [x.tobytes() for _, x in pairs]})
@@ -116,6 +117,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
+        claim("quality")
         w = shared.value.astype(np.float64)
         for pdf in batches:
             dots = np.array([w[at] @ value for at, value in map(features, pdf["text"])]) if len(pdf) else np.zeros(0)
@@ -137,6 +139,7 @@ def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) ->
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
+        claim("quality")
         w = shared.value
         dots = np.array([float(w[at] @ value) for at, value in map(features, texts)]) if len(texts) else np.zeros(0)
         return pd.Series(1 / (1 + np.exp(-np.clip(dots + 0.3 * w[-1], -35, 35))))

@@ -21,14 +21,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from glossweave.llm.common import claim, remember
+
 MARKER = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 JOINED = 32
 #: Chunks that a worker remembers; those met later are forgotten after their batch.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Characters encoded in one call.
-BATCH_CHARS = 1 << 21
+BATCH_CHARS = 1 << 20
 
 _workers: dict[tuple, "Codec"] = {}
 
@@ -176,11 +178,13 @@ class Codec:
 
 
 def codec(path: str, threads: int = 2, verify: bool = True) -> Codec:
-    """This process's codec; the library encodes a batch with so many threads."""
+    """This process's codec, as a task begins; the library encodes a batch with so many threads."""
+    claim("sp_tokenizers")
     if (path, verify) not in _workers:
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true" if threads > 1 else "false")
         _workers[path, verify] = Codec(path, verify)
+        remember("sp_tokenizers", _workers[path, verify].known)
     return _workers[path, verify]
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossweave.llm.common import scratch_path, written
+from glossweave.llm.common import claim, remember, scratch_path, written
 
 MAGIC, VERSION = b"GWTF", 1
 #: Ids in a batch's text that are encoded by the library in one call.
@@ -63,7 +63,7 @@ def _coder(path: str) -> tuple:
         pieces = [tokenizer.encode(x, add_special_tokens=False).ids for x in ("a", " b\n", " c,", " d.\n\ne  f")]
         # chunking needs a byte-level split that starts words at a space; else texts are encoded whole
         exact = len(newline) == 1 and sum(pieces, []) == whole
-        _state[path] = (tokenizer, {}, newline[0] if exact else None, bytearray(MET))
+        _state[path] = (tokenizer, remember("token_file", {}), newline[0] if exact else None, bytearray(MET))
     return _state[path]
 
 
@@ -217,6 +217,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """doc_id, n, ids (uint16 or uint32 little-endian, by ``wide``) of every document, the end id last; a null text is empty."""
 
     def run(batches):
+        claim("token_file")
         for batch in batches:
             ids, texts = batch.column(0), [x or "" for x in batch.column(1).to_pylist()]
             for part in _batches(texts):
