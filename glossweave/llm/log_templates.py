@@ -3,9 +3,9 @@
 A line's tokens are its white-space runs; tokens with a digit, an ``@`` or ``://`` are variable fields.  The tree has
 fixed depth: token count, then the LEADING first tokens (variable fields as one wildcard).  Within a leaf
 the distinct lines, in the order of their hashes, join the most similar template if at least SIMILAR of its positions
-agree (the earliest of equally similar ones); positions that differ become wildcards.  A leaf of more
-than MAX_LEAF lines is split by the tokens up to DEEP.  A template that occurs in at least ``min_docs``
-documents recurs, and its lines are dropped everywhere.
+agree (the earliest of equally similar ones); positions that differ become wildcards.  The rule is the same
+for leaves of every size.  A template that occurs in at least ``min_docs`` documents recurs, and its lines are
+dropped everywhere.
 
 Lines are counted by hash over all documents; only leaves with several distinct lines ship tokens, and each
 task ships a line once.
@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 
 from glossweave.llm.common import claim, remember, written
 
-LEADING, DEEP, MAX_LEAF = 4, 16, 4000
+LEADING = 4
 SIMILAR = 0.8
+#: Templates of a leaf that are all compared with a line; among more, those that share a segment with it are looked up.
+SCANNED = 64
 REMEMBERED = 400_000
 #: Distinct lines whose tokens a task remembers having shipped.
 SHIPPED = 1_000_000
@@ -101,22 +103,46 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def grow_leaf(lines: np.ndarray) -> np.ndarray:
-    """The template's number of each row of ``lines`` (tokens, rows in their order)."""
+    """The template's number of each row of ``lines`` (tokens, rows in their order).
+
+    A line differs from its template in ``spare`` positions at most, so of spare + 1 segments of the positions that
+    vary in the leaf one agrees whole: templates found by segments are all that a scan would take.
+    """
     count, width = lines.shape
+    spare = width - int(np.ceil(SIMILAR * width))
+    segments = np.array_split(np.flatnonzero((lines != lines[0]).any(axis=0)), spare + 1)
+    found: dict[tuple[int, bytes], list[int]] = {}
     templates = np.empty((min(count, 16), width), dtype=lines.dtype)
     used = 0
     out = np.zeros(count, dtype=np.int64)
+
+    def keys(row: np.ndarray) -> list[tuple[int, bytes]]:
+        return [(k, row[s].tobytes()) for k, s in enumerate(segments)]
+
     for i, line in enumerate(lines):
-        if used:
-            same = (templates[:used] == line).sum(axis=1)
+        if used <= SCANNED:
+            near = np.arange(used)
+        else:
+            near = np.array(sorted(set().union(*[found.get(k, ()) for k in keys(line)])), dtype=np.int64)
+        if len(near):
+            same = (templates[near] == line).sum(axis=1)
             best = int(same.argmax())
             if same[best] >= SIMILAR * width:
-                templates[best][templates[best] != line] = WILDCARD
+                best = int(near[best])
+                differs = templates[best] != line
+                if differs.any():
+                    before = keys(templates[best])
+                    templates[best][differs] = WILDCARD
+                    for old, new in zip(before, keys(templates[best])):
+                        if old != new:
+                            found.setdefault(new, []).append(best)
                 out[i] = best
                 continue
         if used == len(templates):
             templates = np.concatenate([templates, np.empty_like(templates)])
         templates[used] = line
+        for key in keys(line):
+            found.setdefault(key, []).append(used)
         out[i] = used
         used += 1
     return out
@@ -152,9 +178,8 @@ def generalised(lines: DataFrame) -> DataFrame:
     known = lines.where("line is not null")
     per_leaf = known.groupBy("line").agg(F.first("leaf").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("size")).where("size > 1")
     shipped = known.where("tokens is not null").select("line", "leaf", "tokens").join(per_leaf, "leaf")
-    single = shipped.groupBy("line").agg(F.first("leaf").alias("leaf"), F.first("size").alias("size"), F.first("tokens").alias("tokens"))
-    key = F.when(F.col("size") > MAX_LEAF, F.xxhash64("leaf", F.substring("tokens", 1, 4 * DEEP))).otherwise(F.col("leaf"))
-    ordered = single.select(key.alias("leaf"), "line", "tokens").repartition("leaf").sortWithinPartitions("leaf", F.length("tokens"), "line")
+    single = shipped.groupBy("line").agg(F.first("leaf").alias("leaf"), F.first("tokens").alias("tokens"))
+    ordered = single.select("leaf", "line", "tokens").repartition("leaf").sortWithinPartitions("leaf", F.length("tokens"), "line")
     return ordered.mapInArrow(_grow, "line long, template long")
 
 

@@ -1,5 +1,7 @@
+import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from glossweave.llm import log_templates as lt
@@ -68,6 +70,28 @@ def test_crowded_leaves_split(spark, monkeypatch):
     assert all(r.n_dropped == 0 for r in got)
 
 
+@pytest.mark.parametrize("others", [10, 4100])
+def test_template_of_two_lines_in_a_leaf_of_any_size(spark, others):
+    rng = random.Random(others)
+    filler = "\n".join("same first four words " + " ".join(f"{''.join(rng.choices('abcdefgh', k=8))}" for _ in range(7)) for _ in range(others))
+    lines = [f"same first four words the user {name} has gone home again" for name in ("ann", "bob")]
+    df = spark.createDataFrame([(0, filler), (1, lines[0]), (2, lines[1])], ["doc_id", "text"])
+    assert {r.doc_id: r.n_dropped for r in lt.recurring_lines(df).collect()} == {0: 0, 1: 1, 2: 1}
+
+
+@pytest.mark.parametrize("width", [5, 6, 10, 17, 40])
+def test_segments_find_what_a_scan_finds(monkeypatch, width):
+    rng = np.random.default_rng(width)
+    base = rng.integers(1, 9, (40, width))
+    lines = base[rng.integers(0, 40, 1500)]
+    lines = np.where(rng.random(lines.shape) < 0.12, rng.integers(0, 9, lines.shape), lines).astype("<u4")
+    lines[:, :4] = 1
+    monkeypatch.setattr(lt, "SCANNED", 10**9)
+    scan = lt.grow_leaf(lines)
+    monkeypatch.setattr(lt, "SCANNED", 0)
+    assert (lt.grow_leaf(lines) == scan).all()
+
+
 def test_odd_rows(odd, none, clashing):
     docs = [(r.doc_id, r.text) for r in odd.collect()]
     check(odd, docs)
