@@ -71,7 +71,7 @@ def lemmas(lex: dict[str, DataFrame]) -> list[str]:
 
 
 def evidence(spark: SparkSession, sf: str) -> DataFrame:
-    """term, id, q: listed words outside the lexicon and the noun synsets of the words they are found with; q grows with the count."""
+    """term, id, q: nouns outside the lexicon and the noun synsets of the words they are found with; q grows with the count."""
     sense = lexicon(spark, sf)["sense"]
     pairs = noun_pairs(spark, sf).groupBy("noun1", "noun2").agg(F.sum("cnt").alias("cnt"))
     rows = pairs.join(sense.select(F.col("lemma").alias("noun1")).distinct(), "noun1", "left_anti")

@@ -26,7 +26,7 @@ def label_spreading(spark, sf):
 
 
 def ontology_built(spark, sf):
-    """Listed words attached to the lexicon one after the other."""
+    """Nouns outside the lexicon attached to it one after the other."""
     lex = lexicon(spark, sf)
     first = lex["sense"].where("pos = 'n' and number = 1").select("lemma", "id")
     by_term = evidence(spark, sf).join(first, "id").groupBy("term", "id").agg(F.min("lemma").alias("parent"), F.max("q").alias("q"))
