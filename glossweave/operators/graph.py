@@ -119,6 +119,41 @@ def hirst_st_onge(starts: DataFrame, relation: DataFrame, depth: int = 5) -> Dat
     return _level_union(levels).groupBy("x", "y").agg((F.greatest(F.max("score"), F.lit(0)) / 8).alias("score"))
 
 
+def pair_hirst_st_onge(pairs: DataFrame, relation: DataFrame, depth: int = 5) -> DataFrame:
+    """x, y, score of hirst_st_onge() for every pair (x, y), 0 without a walk.
+
+    A walk is cut where its last run of links down begins: the first part leads from x, the run is climbed from y
+    against its links, so that no part spreads over all nodes below a common one.
+    """
+    from glossweave.plans.scratch import checkpointed
+
+    spark = relation.sparkSession
+    pairs = checkpointed(pairs.select("x", "y"))
+    way = F.when(F.col("rel").isin(*UP), "u").when(F.col("rel").isin(*DOWN), "d").when(F.col("rel").isin(*SIDE), "s")
+    links = checkpointed(relation.select("src", way.alias("way"), "dst").where("way is not null").distinct())
+    moves = spark.createDataFrame([m for m in MOVES if m[2] != 4], "state int, way string, to int, cost int")
+    # a first link down leads on sideways only; a run of links down from x begins at x itself
+    steps = links.join(moves, "way").select(F.col("src").alias("at"), "state", F.col("dst").alias("next"), "to", "cost")
+    now = pairs.select("x", F.col("x").alias("at"), F.lit(0).alias("state"), F.lit(0).alias("turns")).distinct()
+    first = [now.withColumn("i", F.lit(0))]
+    for i in range(1, depth + 1):
+        now = checkpointed(now.join(steps, ["at", "state"]).select("x", F.col("next").alias("at"), F.col("to").alias("state"), (F.col("turns") + F.col("cost")).alias("turns")).distinct())
+        first.append(now.withColumn("i", F.lit(i)))
+    up = links.where("way = 'd'").select(F.col("dst").alias("at"), F.col("src").alias("next"))
+    now = pairs.select("y", F.col("y").alias("at")).distinct()
+    last = [now.withColumn("j", F.lit(0))]
+    for j in range(1, depth + 1):
+        now = checkpointed(now.join(up, "at").select("y", F.col("next").alias("at")).distinct())
+        last.append(now.withColumn("j", F.lit(j)))
+    head = _level_union(first).groupBy("x", "at", "state", "turns").agg(F.min("i").alias("i"))
+    tail = _level_union(last).groupBy("y", "at", (F.col("j") > 0).alias("down")).agg(F.min("j").alias("j"))
+    met = pairs.select("x", "y").distinct().join(tail, "y").join(head, ["x", "at"])
+    met = met.where("i + j between 1 and " + str(depth)).where("not down or state in (0, 1, 2)")
+    turns = F.col("turns") + F.when(F.col("down") & (F.col("state") > 0), 1).otherwise(0)
+    best = met.groupBy("x", "y").agg((F.greatest(F.max(8 - F.col("i") - F.col("j") - turns), F.lit(0)) / 8).alias("score"))
+    return pairs.join(best, ["x", "y"], "left").select("x", "y", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
 def pagerank(nodes: DataFrame, relation: DataFrame, weight: float, rounds: int, checkpoint_every: int = 10, teleport: str = "sparse") -> DataFrame:
     """id, rank after ``rounds`` rounds from a uniform source of mass.
 

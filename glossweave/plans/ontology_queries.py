@@ -207,8 +207,11 @@ def sim(measure):
 
 
 def sim_hso(spark, sf):
-    rel = taxonomy(spark, sf).where(~F.substring("src", 1, 1).isin("c", "s")).select("src", F.lit("@").alias("rel"), "dst")
-    return graph.hirst_st_onge(nodes(rel).withColumnRenamed("id", "x"), onto.with_inverse(rel))
+    """The traded pairs over the whole taxonomy, as for the other measures, and all pairs of the graph above customers and suppliers."""
+    rel = checkpointed(taxonomy(spark, sf).select("src", F.lit("@").alias("rel"), "dst"))
+    upper = rel.where(~F.substring("src", 1, 1).isin("c", "s"))
+    above = graph.hirst_st_onge(nodes(upper).withColumnRenamed("id", "x"), onto.with_inverse(upper))
+    return graph.pair_hirst_st_onge(traded(spark, sf), onto.with_inverse(rel)).unionByName(above)
 
 
 def lex_glosses(lex):

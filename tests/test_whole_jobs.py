@@ -1,10 +1,12 @@
 """Queries do the operator's whole job where their registered statements carry a bound."""
 
+import random
 from collections import Counter
 
 import duckdb
 import pytest
 
+from glossweave.operators import graph
 from glossweave.plans import corpus_queries, ontology_queries
 
 QUERIES = {**corpus_queries.QUERIES, **ontology_queries.QUERIES}
@@ -54,3 +56,41 @@ def test_same_rows_without_the_list(spark, sf_dir, name):
     columns = sorted(got.columns)
     x, y = (d[columns].astype(str).sort_values(columns).reset_index(drop=True) for d in (got, want))
     assert x.equals(y)
+
+
+def test_hirst_st_onge_of_stated_pairs(spark):
+    """The same scores as walks to everywhere, on a graph with links of all ways."""
+    rng = random.Random(5)
+    nodes = [f"n{k}" for k in range(14)]
+    rel = spark.createDataFrame([(rng.choice(nodes), rng.choice("@@~^"), rng.choice(nodes)) for _ in range(26)], ["src", "rel", "dst"])
+    want = {(r.x, r.y): r.score for r in graph.hirst_st_onge(spark.createDataFrame([(n,) for n in nodes], ["x"]), rel).collect()}
+    pairs = [(a, b) for a in nodes for b in nodes]
+    got = {(r.x, r.y): r.score for r in graph.pair_hirst_st_onge(spark.createDataFrame(pairs, ["x", "y"]), rel).collect()}
+    assert got == {p: want.get(p, 0.0) for p in pairs}
+    assert len(set(got.values())) > 4
+
+
+def test_sim_hso_scores_traded_pairs(spark, sf_dir):
+    rows = ontology_queries.sim_hso(spark, sf_dir).toPandas()
+    leaf = rows.x.str[0].isin(["c", "s"]) | rows.y.str[0].isin(["c", "s"])
+    pairs = ontology_queries.traded(spark, sf_dir).toPandas()
+    got = dict(zip(zip(rows[leaf].x, rows[leaf].y), rows[leaf].score))
+    assert len(got) == leaf.sum() and set(got) == set(zip(pairs.x, pairs.y))
+    rel = ontology_queries.taxonomy(spark, sf_dir).toPandas()
+    parents = rel.groupby("src").dst.apply(set).to_dict()
+
+    def above(node):
+        out, level = {node: 0}, {node}
+        for d in range(1, 5):
+            level = {p for n in level for p in parents.get(n, ())}
+            out = {**{n: d for n in level}, **out}
+        return out
+
+    for (x, y), score in got.items():
+        a, b = above(x), above(y)
+        assert score == max([7 - a[n] - b[n] for n in a if n in b and a[n] + b[n] <= 5], default=0) / 8
+    con = duckdb.connect()
+    for t in ("customer", "supplier", "nation", "region"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    want = con.sql(ORACLES["sim_hso"]).df()
+    assert set(zip(rows[~leaf].x, rows[~leaf].y, rows[~leaf].score)) == set(zip(want.x, want.y, want.score))
