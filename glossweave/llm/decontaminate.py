@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from glossweave.llm.common import written
 
 SHINGLE = 5
-BLOCKS, FLIPS = 6, 2
+BLOCKS, FLIPS = 6, 3
 RADIUS = BLOCKS * (FLIPS + 1) - 1
 #: Benchmark shingles up to which they are looked up in a set inside the scan; beyond, documents' shingles are joined to them.
 SET_LIMIT = 50_000

@@ -90,3 +90,12 @@ def test_odd_rows(spark, odd, none, clashing):
     assert dc.leaks(none, items).count() == 0
     assert dc.leaks(odd, items.limit(0)).count() == 0
     assert dc.decontaminate(odd, items.limit(0)).count() == odd.count()
+
+
+def test_pairs_at_the_threshold_lie_within_the_radius(spark):
+    """1500 items, each leaked with its last three words changed: 24 of 30 shingles in common, which is 0.8."""
+    items = [(k, [f"i{k}w{j}" for j in range(31)]) for k in range(1500)]
+    docs = [(k, " ".join([*w[:28], *[f"d{k}w{j}" for j in range(3)]])) for k, w in items]
+    got = dc.leaks(spark.createDataFrame(docs, ["doc_id", "text"]), spark.createDataFrame([(k, " ".join(w)) for k, w in items], ["item_id", "text"])).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(k, k) for k in range(1500)}
+    assert max(r.hamming for r in got) > 17
