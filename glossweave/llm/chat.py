@@ -38,11 +38,15 @@ def unescape_role(role: Column) -> Column:
     return F.replace(F.replace(unescape(role), F.lit("~1"), F.lit("\n")), F.lit("~0"), F.lit("~"))
 
 
+def _ordered(text: str) -> Column:
+    """The text with an end below all its characters; strings of several such parts sort by the first part, then the next."""
+    return F.concat(F.replace(F.replace(F.col(text), F.lit("\1"), F.lit("\1\2")), F.lit("\0"), F.lit("\1\1")), F.lit("\0"))
+
+
 def conversation_events(turns: DataFrame) -> DataFrame:
     """Events of a table of finished turns (conv_id, turn, role, text): a start and a delta for each row.
 
-    Rows that share a turn are messages of their own, in the order of role and text (of texts that agree
-    in 64 characters: by SHA-1); repeated rows are repeated turns.
+    Rows that share a turn are messages of their own, in the order of role and whole text; repeated rows are repeated turns.
     """
     rows = turns.select(
         "conv_id",
@@ -51,7 +55,7 @@ def conversation_events(turns: DataFrame) -> DataFrame:
         F.coalesce("text", F.lit("")).alias("text"),
         F.monotonically_increasing_id().alias("uid"),
     )
-    rows = rows.withColumn("msg", F.concat_ws("\0", "role", F.substring("text", 1, 64), F.sha1("text"), F.format_string("%020d", "uid")))
+    rows = rows.withColumn("msg", F.concat(_ordered("role"), _ordered("text"), F.format_string("%020d", "uid")))
     return rows.select("conv_id", "msg", F.explode(F.array(F.struct((F.col("turn") * 2).alias("seq"), F.lit("start").alias("kind"), "role", F.lit("").alias("text")), F.struct((F.col("turn") * 2 + 1).alias("seq"), F.lit("delta").alias("kind"), "role", "text"))).alias("e")).select("conv_id", "msg", "e.*")
 
 

@@ -59,3 +59,10 @@ def test_empty_table_and_extra_columns(spark):
     assert chat.digests(chat.format_conversations(empty)).count() == 0
     wide = spark.createDataFrame([(1, 0, "user", "x", "y", "z")], SCHEMA + ", msg string, seq string")
     assert chat.format_conversations(wide).count() == 1
+
+
+def test_tied_turns_are_in_the_order_of_whole_texts(spark):
+    texts = ["x" * 70 + end for end in ("", "\0", "\0b", "\1", "\1a", "\2", "a", "b", "c", "d", "e")]
+    rows = [(1, 0, role, text) for role in ("r", "r\0", "ra") for text in reversed(texts)]
+    got = chat.digests(chat.format_conversations(spark.createDataFrame(rows, SCHEMA).repartition(3))).first()
+    assert got.turns_sha256 == sha("".join(f"{r}\n{t}\n" for _, _, r, t in sorted(rows)))
