@@ -13,7 +13,7 @@ every ``<``, backslashes, ``|`` gets one more backslash, so the marks cannot occ
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -38,43 +38,54 @@ def unescape_role(role: Column) -> Column:
     return F.replace(F.replace(unescape(role), F.lit("~1"), F.lit("\n")), F.lit("~0"), F.lit("~"))
 
 
-def _ordered(text: str) -> Column:
-    """The text with an end below all its characters; strings of several such parts sort by the first part, then the next."""
-    return F.concat(F.replace(F.replace(F.col(text), F.lit("\1"), F.lit("\1\2")), F.lit("\0"), F.lit("\1\1")), F.lit("\0"))
+def conversation_events(turns: DataFrame, piece: int = 400) -> DataFrame:
+    """An event log that leads to a table of finished turns (conv_id, turn, role, text).
 
-
-def conversation_events(turns: DataFrame) -> DataFrame:
-    """Events of a table of finished turns (conv_id, turn, role, text): a start and a delta for each row.
-
-    Rows that share a turn are messages of their own, in the order of role and whole text; repeated rows are repeated turns.
+    A message is streamed as such logs are: a start, a first delta that an edit replaces by the text's first third, a delta up
+    to its middle, a regeneration of all that, the whole text in deltas of ``piece`` code points.  Rows that share a
+    turn are messages of their own, in the order of role and whole text; repeated rows are repeated turns.
     """
     rows = turns.select(
         "conv_id",
         F.col("turn").cast("long").alias("turn"),
         F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
-        F.monotonically_increasing_id().alias("uid"),
     )
-    rows = rows.withColumn("msg", F.concat(_ordered("role"), _ordered("text"), F.format_string("%020d", "uid")))
-    return rows.select("conv_id", "msg", F.explode(F.array(F.struct((F.col("turn") * 2).alias("seq"), F.lit("start").alias("kind"), "role", F.lit("").alias("text")), F.struct((F.col("turn") * 2 + 1).alias("seq"), F.lit("delta").alias("kind"), "role", "text"))).alias("e")).select("conv_id", "msg", "e.*")
+    tie = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
+    rows = rows.withColumn("msg", F.concat_ws(".", "turn", F.format_string("%010d", tie)))
+    length = F.char_length("text")
+    none = F.lit(None).cast("string")
+
+    def event(kind: str, text: Column, role: Column = none) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
+
+    third, half = F.floor(length / 3).cast("int"), F.floor(length / 2).cast("int")
+    drafts = F.array(
+        event("delta", F.lit("...")), event("edit", F.substring("text", F.lit(1), third)), event("delta", F.substring("text", third + 1, half - third)), event("regenerate", none)
+    )
+    deltas = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(length, F.lit(1)) - 1) / piece).cast("int")), lambda k: event("delta", F.substring("text", k * piece + 1, F.lit(piece))))
+    log = F.concat(F.array(event("start", F.lit(""), F.col("role"))), drafts, deltas)
+    return rows.select("conv_id", "msg", "turn", F.posexplode(log).alias("step", "e")).select("conv_id", "msg", F.col("turn").alias("seq"), F.col("step").cast("long").alias("step"), "e.*")
 
 
 def fold_events(events: DataFrame) -> DataFrame:
     """conv_id, seq (of the first event), msg, role (of the first event that has one), text of every message.
 
-    Events of one sequence number are taken by kind (delta, edit, regenerate, start), then text; a null
-    sequence comes first, a null text is empty, an unknown kind changes nothing.
+    Events are in the order of seq and, where the log has that column, of step.  Events of one place are taken by kind
+    (delta, edit, regenerate, start), then text; a null sequence comes first, a null text is empty, an unknown kind changes nothing.
     """
-    kinds = events.select(
-        "conv_id", "msg", "seq", F.col("kind"), "role", F.coalesce("text", F.lit("")).alias("text"), F.floor(F.coalesce("seq", F.lit(-1)) / SPAN).alias("span")
-    )
+    if "step" in events.columns:
+        step, span = F.col("step"), F.struct("seq", F.floor(F.coalesce("step", F.lit(-1)) / SPAN).alias("part"))
+    else:
+        step, span = F.lit(0).cast("long"), F.struct(F.lit(None).cast("long").alias("seq"), F.floor(F.coalesce("seq", F.lit(-1)) / SPAN).alias("part"))
+    kinds = events.select("conv_id", "msg", "seq", step.alias("step"), F.col("kind"), "role", F.coalesce("text", F.lit("")).alias("text"), span.alias("span"))
     reset = F.col("kind").isin(*RESETS)
-    entry = F.struct("seq", "kind", "text", reset.alias("reset"))
+    entry = F.struct("seq", "step", "kind", "text", reset.alias("reset"))
     known = F.col("kind").isin("start", "delta", *RESETS)
     spans = kinds.groupBy("conv_id", "msg", "span").agg(
         F.sort_array(F.collect_list(F.when(known, entry))).alias("log"),
         F.min("seq").alias("seq"),
-        F.min(F.when(F.col("role").isNotNull(), F.struct("seq", "role"))).alias("role"),
+        F.min(F.when(F.col("role").isNotNull(), F.struct("seq", "step", "role"))).alias("role"),
     )
 
     def last_reset(log: Column) -> Column:

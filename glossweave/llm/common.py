@@ -73,6 +73,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, names: list[str]) -> DataFrame:
+    """``docs`` under the column names ``names``, with a column ``_row`` that tells its rows apart, the same each time tasks run.
+
+    A Parquet table's rows have a file and a place in it; any other DataFrame is numbered and written first.
+    """
+    plan = docs._jdf.queryExecution().analyzed()
+    if "_metadata" not in docs.columns and plan.getClass().getSimpleName() == "LogicalRelation" and plan.relation().getClass().getSimpleName() == "HadoopFsRelation" and plan.relation().fileFormat().toString() == "Parquet":
+        place = F.concat_ws(":", F.hex(F.xxhash64("_metadata.file_path")), F.col("_metadata.row_index").cast("string"))
+        return docs.select("*", place).toDF(*names, "_row")
+    return written(docs.toDF(*names).withColumn("_row", F.monotonically_increasing_id().cast("string")), "rows")
+
+
 def digest_filter(digests: DataFrame, bits: int, probes: int) -> np.ndarray:
     """Bit filter over the column ``digest``: each seven bytes of a digest set one of ``bits`` (a power of two) bits.
 

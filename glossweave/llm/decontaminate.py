@@ -23,6 +23,8 @@ BLOCKS, FLIPS = 6, 3
 RADIUS = BLOCKS * (FLIPS + 1) - 1
 #: Benchmark shingles up to which they are looked up in a set inside the scan; beyond, documents' shingles are joined to them.
 SET_LIMIT = 50_000
+#: Elements that could fill a lane of 16 bits, the highest of which has the sign.
+NARROW = 1 << 15
 #: Contaminated identifiers up to which they are broadcast.
 BROADCAST_IDS = 1_000_000
 
@@ -41,23 +43,24 @@ def shingles(text: Column) -> Column:
 
 
 def simhash(hashes: Column) -> Column:
-    """64-bit SimHash of an array of 64-bit hashes, each counted as often as it occurs (up to 65,535 in all).
+    """64-bit SimHash of an array of 64-bit hashes, each counted as often as it occurs.
 
-    Every sum adds four bits at a time, in lanes of 16 bits.
+    Every sum adds several bits at a time, in lanes: four of 16 bits, or two of 32 bits for arrays that could fill the former.
     """
-    lanes = 0x0001000100010001
 
-    def lane_sum(j: int) -> Column:
-        return F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, x: acc + F.shiftrightunsigned(x, j).bitwiseAND(lanes))
+    def in_lanes(width: int) -> Column:
+        lanes, mask = range(64 // width), (1 << width) - 1
+        ones = sum(1 << (width * lane) for lane in lanes)
+        sums = F.array(*[F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, x: acc + F.shiftrightunsigned(x, j).bitwiseAND(ones)) for j in range(width)])
 
-    sums = F.array(*[lane_sum(j) for j in range(16)])
+        def bits(s: Column) -> Column:
+            n = F.size(hashes)
+            spots = [F.when(F.shiftrightunsigned(s[j], width * lane).bitwiseAND(mask) * 2 > n, F.lit(_signed(1 << (width * lane + j)))).otherwise(F.lit(0).cast("long")) for j in range(width) for lane in lanes]
+            return reduce(lambda a, b: a.bitwiseOR(b), spots)
 
-    def bits(s: Column) -> Column:
-        n = F.size(hashes)
-        spots = [F.when(F.shiftrightunsigned(s[j], 16 * lane).bitwiseAND(0xFFFF) * 2 > n, F.lit(_signed(1 << (16 * lane + j)))).otherwise(F.lit(0).cast("long")) for j in range(16) for lane in range(4)]
-        return reduce(lambda a, b: a.bitwiseOR(b), spots)
+        return F.get(F.transform(F.array(sums), bits), F.lit(0))
 
-    return F.get(F.transform(F.array(sums), bits), F.lit(0))
+    return F.when(F.size(hashes) < NARROW, in_lanes(16)).otherwise(in_lanes(32))
 
 
 def _signed(x: int) -> int:
@@ -126,12 +129,13 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFram
     marked = _marked(docs, places)
     hits = marked.select("uid", F.explode("hits").alias("hit")).select("uid", "hit.pos", "hit.hash")
     spans = hits.join(places, "hash").select("uid", F.greatest(F.col("pos") - F.col("at"), F.lit(0)).alias("start"), "n").distinct()
-    windows = spans.join(marked.select("uid", "doc_id", "sh"), "uid").select("uid", "doc_id", "start", F.slice("sh", F.col("start") + 1, F.col("n")).alias("win_sh"))
+    windows = spans.join(marked.select("uid", "doc_id", "sh"), "uid").select("uid", "doc_id", "start", F.col("n").alias("size"), F.slice("sh", F.col("start") + 1, F.col("n")).alias("win_sh"))
     windows = written(windows.withColumn("fp", simhash(F.col("win_sh"))).withColumn("window", F.monotonically_increasing_id()), "windows")
-    keyed = windows.select("window", "fp", F.explode(window_keys(F.col("fp"))).alias("key")).select("window", "fp", "key.block", "key.value")
-    index = own.select("item", "item_fp", F.explode(item_keys(F.col("item_fp"))).alias("key")).select("item", "item_fp", "key.block", "key.value")
+    # a window has the size of the items that it is looked up among
+    keyed = windows.select("window", "size", "fp", F.explode(window_keys(F.col("fp"))).alias("key")).select("window", "size", "fp", "key.block", "key.value")
+    index = own.select("item", F.size("item_sh").alias("size"), "item_fp", F.explode(item_keys(F.col("item_fp"))).alias("key")).select("item", "size", "item_fp", "key.block", "key.value")
     hamming = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
-    near = keyed.join(index, ["block", "value"]).where(hamming <= RADIUS).select("window", "item", hamming.alias("hamming")).distinct()
+    near = keyed.join(index, ["size", "block", "value"]).where(hamming <= RADIUS).select("window", "item", hamming.alias("hamming")).distinct()
     near = near.join(windows.select("window", "doc_id", "start", "win_sh"), "window").join(own.select("item", "item_id", "item_sh"), "item")
     scores = weighted_jaccard(near, ["window", "item"], "win_sh", "item_sh").where(F.col("similarity") >= threshold)
     found = near.select("window", "item", "item_id", "doc_id", "start", F.size("win_sh").alias("n"), "hamming").join(scores, ["window", "item"])
@@ -142,7 +146,11 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFram
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` that leak no item, all their columns as they are."""
+    """The rows of ``docs`` that leak no item, all their columns as they are.
+
+    Rows of one doc_id go together, and so do those of null identifiers; null, empty and short texts stay; extra columns may
+    have any names; without items all rows stay.
+    """
     names = [f"_c{i}" for i in range(len(docs.columns))]
     bad = written(leaks(docs, items, threshold).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
     if bad.count() <= BROADCAST_IDS:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossweave.llm.common import claim, remember, written
+from glossweave.llm.common import claim, numbered, remember, written
 
 LEADING = 4
 SIMILAR = 0.8
@@ -63,11 +63,11 @@ def line_hash(tokens: np.ndarray) -> int:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """row, doc_id, line, leaf, at (line numbers), tokens: one row for each distinct line of a row of ``docs``, and one with a null line that has the number of its lines in ``n``.
+    """row, doc_id, line, leaf, at (line numbers), tokens: one row for each distinct line of a row of ``docs`` (doc_id, text), and one with a null line that has the number of its lines in ``n`` and the row's ``_row``, if there is one.
 
     Tokens are shipped with a line's first occurrence in a task.  Lines without tokens are only counted.
     """
-    fields = [("row", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int64()), ("leaf", pa.int64()), ("n", pa.int64()), ("at", pa.list_(pa.int32())), ("tokens", pa.binary())]
+    fields = [("row", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int64()), ("leaf", pa.int64()), ("n", pa.int64()), ("at", pa.list_(pa.int32())), ("tokens", pa.binary()), ("_row", pa.string())]
 
     def run(batches):
         claim("log_templates")
@@ -75,14 +75,14 @@ def lines_of(docs: DataFrame) -> DataFrame:
         for batch in batches:
             out: list[tuple] = []
             held = 0
-            for row, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for row, doc_id, text, *key in zip(*(c.to_pylist() for c in batch.columns)):
                 lines = (text or "").split("\n") if text else []
                 found: dict[bytes, list[int]] = {}
                 for k, line in enumerate(lines):
                     tokens = [_tokens[t] for t in line.split()]
                     if tokens:
                         found.setdefault(np.array(tokens, dtype="<u4").tobytes(), []).append(k)
-                out.append((row, doc_id, None, None, len(lines), None, None))
+                out.append((row, doc_id, None, None, len(lines), None, None, key[0] if key else None))
                 for raw, at in found.items():
                     tokens = np.frombuffer(raw, dtype="<u4")
                     line = line_hash(tokens)
@@ -91,7 +91,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
                         if len(shipped) > SHIPPED:
                             shipped.clear()
                         shipped.add(line)
-                    out.append((row, doc_id, line, leaf_of(tokens), len(tokens), at, raw if new else None))
+                    out.append((row, doc_id, line, leaf_of(tokens), len(tokens), at, raw if new else None, None))
                     held += len(raw)
                 if held > 8 << 20:
                     yield pa.record_batch([pa.array(x, t) for x, (_, t) in zip(zip(*out), fields)], names=[n for n, _ in fields])
@@ -99,7 +99,9 @@ def lines_of(docs: DataFrame) -> DataFrame:
             if out:
                 yield pa.record_batch([pa.array(x, t) for x, (_, t) in zip(zip(*out), fields)], names=[n for n, _ in fields])
 
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "row long, doc_id long, line long, leaf long, n long, at array<int>, tokens binary")
+    more = [c for c in docs.columns if c == "_row"]
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", *more)
+    return rows.mapInArrow(run, "row long, doc_id long, line long, leaf long, n long, at array<int>, tokens binary, _row string")
 
 
 def grow_leaf(lines: np.ndarray) -> np.ndarray:
@@ -184,7 +186,7 @@ def generalised(lines: DataFrame) -> DataFrame:
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = 2) -> DataFrame:
-    """doc_id, n_lines, n_dropped, dropped (line numbers) for every row of ``docs`` (doc_id, text).
+    """doc_id, n_lines, n_dropped, dropped (line numbers) for every row of ``docs`` (doc_id, text), and its ``_row`` if there is one.
 
     Lines are parts between line ends; a null or empty text has none; lines without tokens stay.  Repeated
     rows are documents of their own, so their lines recur.  Other columns are not read.
@@ -198,16 +200,21 @@ def recurring_lines(docs: DataFrame, min_docs: int = 2) -> DataFrame:
     recur = counts.join(general, "line", "left").where(F.coalesce("template_docs", "docs") >= min_docs).select("line")
     # rows that only count lines have no line to join by; kept apart, they don't meet in one task
     dropped = known.select("row", "line", "at").join(recur, "line").groupBy("row").agg(F.sort_array(F.flatten(F.collect_list("at"))).alias("dropped"))
-    whole = lines.where("line is null").select("row", "doc_id", F.col("n").alias("n_lines"))
+    whole = lines.where("line is null").select("row", "doc_id", F.col("n").alias("n_lines"), "_row")
     found = whole.join(dropped, "row", "left").withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))
-    return found.select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), "dropped")
+    return found.select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), "dropped", *[c for c in docs.columns if c == "_row"])
 
 
 def drop_recurring(docs: DataFrame, min_docs: int = 2) -> DataFrame:
-    """``docs`` with recurring lines cut out of text; doc_id must tell rows apart."""
-    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
-    found = recurring_lines(docs, min_docs).select(F.col("doc_id").alias("_id"), F.col("dropped").alias("_dropped"))
-    rows = docs.toDF(*names.values()).join(found, F.col(names["doc_id"]).eqNullSafe(F.col("_id")), "left")
-    kept = F.array_join(F.filter(F.split(names["text"], "\n"), lambda x, i: ~F.array_contains("_dropped", i)), "\n")
-    text = F.when(F.size("_dropped") > 0, kept).otherwise(F.col(names["text"]))
-    return rows.select(*[(text if c == "text" else F.col(n)).alias(c) for c, n in names.items()])
+    """``docs`` with recurring lines cut out of text, all its rows and other columns as they are.
+
+    Rows are told apart by their place in the table, so repeated identifiers and rows stay rows of their own; null and empty texts stay.
+    """
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    at = dict(zip(docs.columns, names))
+    rows = numbered(docs, names)
+    text = F.col(at["text"])
+    found = recurring_lines(rows.select(F.col(at["doc_id"]).alias("doc_id"), text.alias("text"), "_row"), min_docs).where("n_dropped > 0").select("_row", F.col("dropped").alias("_dropped"))
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("_dropped", i)), "\n")
+    cut = F.when(F.col("_dropped").isNotNull(), kept).otherwise(text)
+    return rows.join(found, "_row", "left").select(*[(cut if c == "text" else F.col(n)).alias(c) for c, n in at.items()])

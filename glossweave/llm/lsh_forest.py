@@ -3,14 +3,15 @@
 Documents with the same set of five-word shingles form a class.  A class's label in each of TREES prefix
 tries is a string of DEPTH MinHash values.  The tries' matched prefixes are shortened from the whole label until
 pairs at the threshold meet in some trie with the target recall.  Classes that trie nodes join form a group; a group's
-classes are dealt to blocks, and any two blocks meet in one task, where all their pairs are verified on their shingle
-sets by matrix products.  Only counts of links and links that keep groups together leave that task, so no row is made for a pair.
+classes are dealt to blocks; blocks are verified within on their shingle sets by matrix products, then a block meets all other
+blocks of its group in one task.  Only a class's count of links and links between trees of linked classes leave a task, so no row
+is made for a pair.
 """
 
 from __future__ import annotations
 
 import re
-from itertools import groupby
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -18,18 +19,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossweave.llm.common import claim, digest_filter, passes, remember, written
+from glossweave.llm.common import claim, digest_filter, numbered, passes, remember, written
 
 SHINGLE = 5
 TREES, DEPTH = 20, 8
 TARGET_RECALL = 0.999
-#: Classes of a group that a block holds on average.
-BLOCK = 256
+#: Classes and bytes of shingles of a group that a block holds at most on average.
+BLOCK, BLOCK_BYTES = 1024, 32 << 20
+#: Classes on a side of the products that verify a block.
+TILE = 256
 REMEMBERED = 150_000
 #: Edges up to which the keys and roots of a graph (32 bytes each) are broadcast.
 FEW_EDGES = 500_000
-#: Bits of the filter of candidate classes, a power of two.
-FILTER_BITS = 1 << 24
+#: Bits of the filter of candidate classes for each class and at most; beyond its capacity more texts are shipped than needed.
+CLASS_BITS, FILTER_BITS = 16, 1 << 26
 
 _WORD = re.compile(r"\w+")
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -97,7 +100,7 @@ def class_key(shingles: np.ndarray) -> bytes:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, key, label of every row; rows without words have a null key."""
+    """doc_id, key, label of every row, and its ``_row`` if ``docs`` has that column; rows without words have a null key."""
 
     def run(batches):
         claim("lsh_forest")
@@ -111,14 +114,16 @@ def sketch(docs: DataFrame) -> DataFrame:
                     got = memo[text] = (class_key(s), label(s)) if len(s) else (None, None)
                 keys.append(got[0])
                 labels.append(got[1])
-            yield pa.record_batch([batch.column(0), pa.array(keys, pa.binary()), pa.array(labels, pa.binary())], names=["doc_id", "key", "label"])
+            yield pa.record_batch([batch.column(0), pa.array(keys, pa.binary()), pa.array(labels, pa.binary()), *batch.columns[2:]], names=["doc_id", "key", "label", *more])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key binary, label binary")
+    more = [c for c in docs.columns if c == "_row"]
+    return docs.select("doc_id", "text", *more).mapInArrow(run, ", ".join(["doc_id long, key binary, label binary", *[f"{c} string" for c in more]]))
 
 
 def shingle_sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """key, shingles of the classes in ``keys`` (key): a filter of bounded size tells each task which documents to ship, a class once."""
-    flags = digest_filter(keys.select(F.col("key").alias("digest")), FILTER_BITS, 2)
+    size = min(FILTER_BITS, max(1 << 10, 1 << (CLASS_BITS * keys.count()).bit_length()))
+    flags = digest_filter(keys.select(F.col("key").alias("digest")), size, 2)
     shared = docs.sparkSession.sparkContext.broadcast(flags)
 
     def run(batches):
@@ -173,71 +178,141 @@ def _shared(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _verified(batches, threshold: float, pairs: bool):
-    """Links of each block pair, from rows (root, ga, gb, key, g, n_docs, shingles) that come block pair by block pair.
+class _Forest(dict):
+    """Which keys links join: the smallest key of each tree is its root."""
 
-    Yields a, null, documents linked to a; and a, b, 0 for links that keep what the block pair's links join
-    together (with ``pairs``: all links).
-    """
+    def find(self, k: bytes) -> bytes:
+        while (up := self.get(k, k)) != k:
+            self[k] = self.get(up, up)
+            k = up
+        return k
 
-    def rows():
-        for batch in batches:
-            yield from zip(*(c.to_pylist() for c in batch.columns))
+    def join(self, a: bytes, b: bytes) -> bool:
+        """Whether ``a`` and ``b`` were in different trees until now."""
+        a, b = self.find(a), self.find(b)
+        self[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _tiles(left: list, right: list, threshold: float):
+    """Row and column offset, weights of the columns and Jaccard (0 below the threshold) of every TILE by TILE part of two lists of (key, n_docs, shingles, ...)."""
+    for i in range(0, len(left), TILE):
+        x = [np.frombuffer(r[2], dtype=np.uint64) for r in left[i : i + TILE]]
+        nx = np.array([len(v) for v in x], dtype=np.float64)[:, None]
+        for j in range(0, len(right), TILE):
+            y = [np.frombuffer(r[2], dtype=np.uint64) for r in right[j : j + TILE]]
+            both = _shared(x, y)
+            jaccard = both / (nx + np.array([len(v) for v in y], dtype=np.float64) - both)
+            jaccard[jaccard < threshold] = 0
+            yield i, j, np.array([r[1] for r in right[j : j + TILE]], dtype=np.int64), jaccard
+
+
+_LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("n", pa.int64()), ("jaccard", pa.float64())])
+
+
+def _batch(out: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _LINKS.types)], schema=_LINKS)
+
+
+def _rows(batches):
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns))
+
+
+def _within(batches, threshold: float, pairs: bool):
+    """From rows (root, g, key, n_docs, shingles) that come block by block: for each class a row a, b, n, null of its
+    block's tree (its smallest key) and the documents of other classes of the block that are linked to it.
 
+    With ``pairs``, also a, b, null, jaccard of every link.
+    """
     claim("lsh_forest")
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("n", pa.int64()), ("jaccard", pa.float64())])
     out: list[tuple] = []
-    for (_, ga, gb), group in groupby(rows(), key=lambda r: r[:3]):
-        own = list(group)
-        sides = [[r for r in own if r[4] == g] for g in ((ga,) if ga == gb else (ga, gb))]
-        left, right = sides[0], sides[-1]
-        if left and right:
-            x, y = ([np.frombuffer(r[6], dtype=np.uint64) for r in side] for side in (left, right))
-            size = np.array([len(v) for v in x], dtype=np.float64)[:, None] + np.array([len(v) for v in y], dtype=np.float64)
-            both = _shared(x, y)
-            jaccard = both / (size - both)
-            linked = jaccard >= threshold
-            if ga == gb:
-                np.fill_diagonal(linked, False)
-            weights = [np.array([r[5] for r in side], dtype=np.int64) for side in (left, right)]
-            out += [(r[3], None, int(n), None) for r, n in zip(left, linked @ weights[1]) if n]
-            if ga != gb:
-                out += [(r[3], None, int(n), None) for r, n in zip(right, linked.T @ weights[0]) if n]
-            i, j = np.nonzero(np.triu(linked) if ga == gb else linked)
-            if pairs:
-                out += [(*sorted((left[p][3], right[q][3])), 0, float(jaccard[p, q])) for p, q in zip(i.tolist(), j.tolist())]
-            else:
-                top: dict[bytes, bytes] = {}
-
-                def find(k: bytes) -> bytes:
-                    while (up := top.get(k, k)) != k:
-                        top[k] = top.get(up, up)
-                        k = up
-                    return k
-
-                for p, q in zip(i.tolist(), j.tolist()):
-                    a, b = find(left[p][3]), find(right[q][3])
-                    if a != b:
-                        top[max(a, b)] = min(a, b)
-                        out.append((left[p][3], right[q][3], 0, None))
+    for _, group in groupby(_rows(batches), key=lambda r: r[:2]):
+        own = [r[2:] for r in group]
+        forest, linked = _Forest(), np.zeros(len(own), dtype=np.int64)
+        for i, j, weight, jaccard in _tiles(own, own, threshold):
+            if i == j:
+                np.fill_diagonal(jaccard, 0)
+            linked[i : i + TILE] += (jaccard > 0) @ weight
+            if i <= j:
+                for p, q in zip(*(x.tolist() for x in np.nonzero(np.triu(jaccard) if i == j else jaccard))):
+                    a, b = own[i + p][0], own[j + q][0]
+                    forest.join(a, b)
+                    if pairs:
+                        out.append((min(a, b), max(a, b), None, float(jaccard[p, q])))
+        out += [(r[0], forest.find(r[0]), n, None) for r, n in zip(own, linked.tolist())]
         if len(out) >= 10_000:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+            yield _batch(out)
             out = []
     if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+        yield _batch(out)
 
 
-def verify(groups: DataFrame, sets: DataFrame, threshold: float, pairs: bool = False) -> DataFrame:
-    """a, b, n, jaccard of _verified() over the classes of each group (key, root) with their sets (key, n_docs, shingles).
+def _across(batches, threshold: float, pairs: bool):
+    """From rows (root, ga, other, g, key, n_docs, shingles, tree) that bring a block and then all other blocks of its
+    group: for each class of the block a row a, null, n of the documents linked to it in other blocks, and for
+    each later block's tree a row a, b, 0 if it is linked to a tree that wasn't joined to it here.
 
-    A group's classes are dealt to blocks; every two blocks meet in one place, so a class is shipped once for each block of its group.
+    With ``pairs``, also a, b, null, jaccard of every link.
     """
-    sizes = groups.groupBy("root").agg(F.count("*").alias("n")).select("root", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    dealt = groups.join(sizes, "root").select("key", "root", "blocks", F.pmod(F.xxhash64("key"), "blocks").alias("g")).join(sets, "key")
-    meets = dealt.select("root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("h"), "key", "g", "n_docs", "shingles")
-    meets = meets.select("root", F.least("g", "h").alias("ga"), F.greatest("g", "h").alias("gb"), "key", "g", "n_docs", "shingles")
-    ordered = meets.repartition("root", "ga", "gb").sortWithinPartitions("root", "ga", "gb", "key")
-    return ordered.mapInArrow(lambda batches: _verified(batches, threshold, pairs), "a binary, b binary, n long, jaccard double")
+    claim("lsh_forest")
+    out: list[tuple] = []
+    for (_, ga), group in groupby(_rows(batches), key=lambda r: r[:2]):
+        own: list[tuple] = []
+        linked = np.zeros(0, dtype=np.int64)
+        forest = _Forest()
+        for other, side in groupby(group, key=lambda r: r[2]):
+            if not other:
+                own = [r[4:] for r in side]
+                linked = np.zeros(len(own), dtype=np.int64)
+                continue
+            while part := list(islice(side, TILE)):  # the other blocks pass by, tile by tile
+                right = [r[4:] for r in part]
+                later = np.array([r[3] > ga for r in part])
+                for i, _, weight, jaccard in _tiles(own, right, threshold):
+                    linked[i : i + TILE] += (jaccard > 0) @ weight
+                    for p, q in zip(*(x.tolist() for x in np.nonzero(jaccard * later))):
+                        a, b = own[i + p], right[q]
+                        if forest.join(a[3], b[3]):
+                            out.append((a[3], b[3], 0, None))
+                        if pairs:
+                            out.append((min(a[0], b[0]), max(a[0], b[0]), None, float(jaccard[p, q])))
+                if len(out) >= 10_000:
+                    yield _batch(out)
+                    out = []
+        out += [(r[0], None, n, None) for r, n in zip(own, linked.tolist()) if n]
+    if out:
+        yield _batch(out)
+
+
+def verify(groups: DataFrame, sets: DataFrame, threshold: float, pairs: bool = False) -> tuple[DataFrame, DataFrame]:
+    """key, root, linked of the classes that groups (key, root) hold, from their sets (key, n_docs, shingles), and the links (a, b, jaccard) that ``pairs`` asks for.
+
+    A group's classes are dealt to blocks of about BLOCK classes and BLOCK_BYTES of shingles.  Blocks are verified within first,
+    which leaves trees of linked classes.  Then each block meets the other blocks of its group in one
+    task, and only links between trees leave it: rows grow with the classes, not with their pairs.
+    """
+    sized = written(groups.join(sets, "key").select("key", "root", "n_docs", "shingles"), "sets")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.octet_length("shingles")) / BLOCK_BYTES)).alias("blocks")
+    counts = written(sized.groupBy("root").agg(blocks), "blocks")
+    dealt = sized.join(counts, "root").withColumn("g", F.pmod(F.xxhash64("key"), "blocks"))
+    schema = "a binary, b binary, n long, jaccard double"
+    ordered = dealt.select("root", "g", "key", "n_docs", "shingles").repartition("root", "g").sortWithinPartitions("root", "g", "key")
+    first = written(ordered.mapInArrow(lambda batches: _within(batches, threshold, pairs), schema), "within")
+    tree = first.where("n is not null").select(F.col("a").alias("key"), F.col("b").alias("tree"), "n")
+    links = first.where("n is null").select("a", "b", "jaccard")
+    if counts.where("blocks > 1").isEmpty():
+        return tree.select("key", F.col("tree").alias("root"), F.col("n").alias("linked")), links
+    large = dealt.where("blocks > 1").join(tree.select("key", "tree"), "key")
+    meets = large.select("root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("ga"), "g", "key", "n_docs", "shingles", "tree")
+    meets = meets.select("root", "ga", (F.col("g") != F.col("ga")).alias("other"), "g", "key", "n_docs", "shingles", "tree")
+    ordered = meets.repartition("root", "ga").sortWithinPartitions("root", "ga", "other", "g", "key")
+    more = written(ordered.mapInArrow(lambda batches: _across(batches, threshold, pairs), schema), "across")
+    joined = components(more.where("n = 0").select("a", "b").distinct())
+    degree = more.where("b is null").select(F.col("a").alias("key"), F.col("n").alias("more"))
+    found = tree.join(degree, "key", "left").join(joined.select(F.col("key").alias("tree"), "root"), "tree", "left")
+    found = found.select("key", F.coalesce("root", "tree").alias("root"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("linked"))
+    return found, links.unionByName(more.where("n is null").select("a", "b", "jaccard"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -267,19 +342,28 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def similarity_join(docs: DataFrame, threshold: float = 0.8, pairs: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Members (doc_id, key), classes (key, n_docs, rep) and links (a, b, n, jaccard).
+    """Members (doc_id, key, and the row's number where ``docs`` has a column ``_row``), classes (key, n_docs, rep, root, linked) and, with ``pairs``, all links between classes (a, b, jaccard).
 
     Rows with equal shingle sets have one key, 128 bits of their hash; rows without words have a null key and no links.
-    Links without b say how many documents of other classes are linked to class a; the others join
-    the classes that links join, and with ``pairs`` are all links between classes.
+    ``rep`` is the smallest identifier of a class, ``root`` the smallest key that links lead to and ``linked`` the number of
+    documents of other classes linked to it; both are null in classes that no other class resembles.
     """
     rows = written(sketch(docs), "sketches")
     known = rows.where("key is not null")
     classes = written(known.groupBy("key").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("rep"), F.first("label").alias("label")), "classes")
     groups = forest_groups(classes, threshold)
     sets = shingle_sets(docs, groups.select("key")).join(classes.select("key", "n_docs"), "key")
-    links = written(verify(groups, sets, threshold, pairs), "links")
-    return rows.select("doc_id", "key"), classes.select("key", "n_docs", "rep"), links
+    verified, links = verify(groups, sets, threshold, pairs)
+    return rows.drop("label"), classes.select("key", "n_docs", "rep").join(verified, "key", "left"), links
+
+
+def _classified(docs: DataFrame, threshold: float) -> DataFrame:
+    """The columns of similarity_join()'s members with group (one for the classes that links join, null without words), class_id, copies_id and n_links."""
+    members, classes, _ = similarity_join(docs, threshold)
+    classes = written(classes.withColumn("group", F.coalesce("root", "key")), "verified")
+    ids = classes.groupBy("group").agg(F.min("rep").alias("class_id"))
+    found = classes.join(ids, "group").select("key", "group", "class_id", F.col("rep").alias("copies_id"), (F.col("n_docs") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    return members.join(written(found, "found"), "key", "left")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -289,21 +373,20 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     ``copies_id`` the smallest one with the same shingles, ``n_links`` the number of other documents linked directly, equal ones included.
     Rows without words link to nothing and are their own class; repeated rows count each; other columns are not read.
     """
-    members, classes, links = similarity_join(docs, threshold)
-    degree = links.where("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("linked"))
-    roots = components(links.where("b is not null").select("a", "b").distinct())
-    ids = roots.join(classes.select("key", "rep"), "key").groupBy("root").agg(F.min("rep").alias("class_id"))
-    found = (
-        classes.join(degree, "key", "left")
-        .join(roots.join(ids, "root").select("key", "class_id"), "key", "left")
-        .select("key", F.coalesce("class_id", "rep").alias("class_id"), F.col("rep").alias("copies_id"), (F.col("n_docs") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
-    )
-    found = written(found, "found")
-    return members.join(found, "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copies_id", "doc_id").alias("copies_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    found = _classified(docs.select("doc_id", "text"), threshold)
+    return found.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copies_id", "doc_id").alias("copies_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` with the smallest doc_id of their class, all their columns as they are."""
-    keep = near_duplicates(docs, threshold).where("class_id is null or doc_id = class_id").select(F.col("doc_id").alias("_keep")).distinct()
+    """One row of ``docs`` for each class of near_duplicates(), all its columns as they are: the one with the smallest doc_id.
+
+    Classes are told apart by their texts, whatever identifiers repeat.  Of rows that share the smallest doc_id one stays;
+    rows without words stay each; null identifiers come last.  Extra columns may have any names; an empty table stays empty.
+    """
     names = [f"_c{i}" for i in range(len(docs.columns))]
-    return docs.toDF(*names).join(keep, F.col(names[docs.columns.index("doc_id")]).eqNullSafe(F.col("_keep")), "left_semi").toDF(*docs.columns)
+    at = dict(zip(docs.columns, names))
+    rows = numbered(docs, names)
+    found = _classified(rows.select(F.col(at["doc_id"]).alias("doc_id"), F.col(at["text"]).alias("text"), "_row"), threshold)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")
+    first = found.groupBy("group", F.when(F.col("group").isNull(), F.col("_row")).alias("alone")).agg(F.min(order)["_row"].alias("_row")).select("_row")
+    return rows.join(first, "_row", "left_semi").select(*[F.col(n).alias(c) for c, n in at.items()])

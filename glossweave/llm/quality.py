@@ -112,36 +112,44 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", folds: int
     return model.weights(slice(None)).astype(np.float32)
 
 
+def _scores(texts, weights: np.ndarray) -> np.ndarray:
+    """Score of each text: a sparse dot product in double precision, so that every caller decides alike."""
+    dots = np.array([weights[at] @ value for at, value in map(features, texts)]) if len(texts) else np.zeros(0)
+    return 1 / (1 + np.exp(-np.clip(dots + 0.3 * weights[-1], -35, 35)))
+
+
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """doc_id, score of every row; a text without words (or null) gets the score of the bias alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float64))
 
     def run(batches):
         claim("quality")
-        w = shared.value.astype(np.float64)
         for pdf in batches:
-            dots = np.array([w[at] @ value for at, value in map(features, pdf["text"])]) if len(pdf) else np.zeros(0)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": 1 / (1 + np.exp(-np.clip(dots + 0.3 * w[-1], -35, 35)))})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": _scores(pdf["text"], shared.value)})
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double")
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row of ``docs``, learned from the other folds' labels."""
+    """doc_id, held_out, score, predicted of every row of ``docs``, learned from the other folds' labels.
+
+    Null and empty texts get the bias's score, repeated rows a row each, null identifiers are in fold 0; without labels
+    every score is 0.5; an empty table gives no rows; other columns are not read.
+    """
     scored = score(docs, fit(docs, labels))
     return scored.select("doc_id", (id_fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, all their columns as they are."""
-    weights = fit(docs, labels)
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    """The rows of ``docs`` that score_quality() predicts as 1, all their columns as they are.
+
+    Rows are judged by their own text, so repeated identifiers and rows don't matter; extra columns may have any names.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels).astype(np.float64))
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
         claim("quality")
-        w = shared.value
-        dots = np.array([float(w[at] @ value) for at, value in map(features, texts)]) if len(texts) else np.zeros(0)
-        return pd.Series(1 / (1 + np.exp(-np.clip(dots + 0.3 * w[-1], -35, 35))))
+        return pd.Series(_scores(texts, shared.value))
 
     return docs.where(scored("text") >= threshold)

@@ -178,11 +178,14 @@ class Codec:
 
 
 def codec(path: str, threads: int = 2, verify: bool = True) -> Codec:
-    """This process's codec, as a task begins; the library encodes a batch with so many threads."""
+    """This process's codec, as a task begins; the library encodes a batch with so many threads.
+
+    The library starts its threads with the first batch that asks for them and then keeps their number.
+    """
     claim("sp_tokenizers")
+    os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
     if (path, verify) not in _workers:
-        os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "true" if threads > 1 else "false")
+        os.environ.setdefault("RAYON_NUM_THREADS", str(max(2, threads)))
         _workers[path, verify] = Codec(path, verify)
         remember("sp_tokenizers", _workers[path, verify].known)
     return _workers[path, verify]
@@ -231,7 +234,11 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
 
 
 def encode_digests(docs: DataFrame, model: str, threads: int = 2) -> DataFrame:
-    """doc_id, n_tokens, ids_crc32 (of the ids as little-endian uint32), round_trip (decoding gives the text back) of every row."""
+    """doc_id, n_tokens, ids_crc32 (of the ids as little-endian uint32), round_trip (decoding gives the text back) of every row.
+
+    Null and empty texts have no ids, repeated rows a row each; other columns are not read; an empty table gives no rows.
+    Every text that is not put together from verified chunks is itself compared with the sentencepiece library.
+    """
 
     def run(batches):
         own = codec(model, threads)

@@ -48,22 +48,21 @@ _state: dict[str, tuple] = {}
 
 
 def _coder(path: str) -> tuple:
-    """The tokenizer, the chunks known, the id of a line end and the slots of chunks met, of this worker process."""
+    """The tokenizer, the chunks known, the id of a line end, the slots of chunks met and the special tokens, of this worker process."""
+    # one task, one core: the library's threads would cost time and memory of their own
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path not in _state:
-        # one task, one core: the library's threads would cost time and memory of their own
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        os.environ["RAYON_NUM_THREADS"] = "1"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         probe = "a b\n c, d.\n\ne  f"
         whole = tokenizer.encode(probe, add_special_tokens=False).ids
         newline = tokenizer.encode("\n", add_special_tokens=False).ids
         pieces = [tokenizer.encode(x, add_special_tokens=False).ids for x in ("a", " b\n", " c,", " d.\n\ne  f")]
         # chunking needs a byte-level split that starts words at a space; else texts are encoded whole
         exact = len(newline) == 1 and sum(pieces, []) == whole
-        _state[path] = (tokenizer, remember("token_file", {}), newline[0] if exact else None, bytearray(MET))
+        _state[path] = (tokenizer, remember("token_file", {}), newline[0] if exact else None, bytearray(MET), special)
     return _state[path]
 
 
@@ -98,11 +97,11 @@ def _learn(tokenizer, known: dict[str, bytes], fresh: set[str], newline: int) ->
 
 def encode_texts(path: str, texts: list[str]) -> list[bytes]:
     """Each text's ids as little-endian uint32, the same as the library gives for the whole text."""
-    tokenizer, known, newline, met = _coder(path)
+    tokenizer, known, newline, met, special = _coder(path)
     out: list[bytes | None] = [None] * len(texts)
     split: list[tuple[int, str, list[str]]] = []
     for i, text in enumerate(texts):
-        if newline is None or WIDE_SPACE.search(text):
+        if newline is None or WIDE_SPACE.search(text) or any(x in text for x in special):
             out[i] = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
         else:
             first, *rest = text.split(" ")
@@ -266,15 +265,9 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int
     rank[ranked] = np.arange(len(ranked))
     shared = spark.sparkContext.broadcast(rank)
 
-    def pack(batches):
-        for batch in batches:
-            coded = [vbyte_encode(shared.value[_unpack(raw, w)]) for w, raw in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([x for x, _ in coded], pa.binary()), pa.array([x for _, x in coded], pa.binary())], names=["doc_id", "n", "control", "data"])
-
     smallest = F.lit(-(1 << 63))
-    packed = encoded.select(F.coalesce("doc_id", smallest).alias("doc_id"), "n", "wide", "ids").mapInArrow(pack, "doc_id long, n long, control binary, data binary")
     parts = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = packed.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "control", "data")
+    ordered = encoded.select(F.coalesce("doc_id", smallest).alias("doc_id"), "n", "wide", "ids").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "wide", "ids")
 
     def store(batches):
         from pyspark import TaskContext
@@ -291,9 +284,10 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int
             held, size, seq, total = [], 0, seq + 1, total + n
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                held.append(row)
-                size += len(row[2]) + len(row[3])
+            for doc_id, n, wide, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                control, data = vbyte_encode(shared.value[_unpack(raw, wide)])
+                held.append((doc_id, n, control, data))
+                size += len(control) + len(data)
                 if size >= 64 << 20:
                     flush()
         if held:

@@ -54,6 +54,25 @@ def test_fold(spark):
     assert got == slow_fold(events) and got[1, "n"] == ("assistant", "good") and got[1, "m"] == ("user", "bye!")
 
 
+def test_logs_of_turns_have_drafts(spark):
+    """The log of finished turns streams deltas, edits and regenerates; its fold by a plain reader gives the turns."""
+    texts = ["", "a", "<|im_end|>🏽", "word " * 700]
+    turns = spark.createDataFrame([(1, k, "assistant", t) for k, t in enumerate(texts)], SCHEMA)
+    events = [tuple(r) for r in chat.conversation_events(turns).collect()]
+    kinds = [e[4] for e in events]
+    assert kinds.count("edit") == kinds.count("regenerate") == 4 and kinds.count("delta") == 8 + 3 + 9
+    plain = slow_fold([(c, m, (q, s), kind, role, text) for c, m, q, s, kind, role, text in events])
+    assert sorted(t for _, t in plain.values()) == sorted(texts)
+
+
+def test_spans_of_steps(spark):
+    """Events of one sequence number in the order of their steps, over several spans."""
+    events = [(1, "m", 5, k, "delta", None, f"{k},") for k in range(700)] + [(1, "m", 5, 300, "edit", None, "E"), (1, "m", 4, 900, "start", "user", "S"), (1, "m", 6, 0, "delta", None, "end"), (1, "m", None, 1, "delta", None, "x")]
+    df = spark.createDataFrame(events, "conv_id long, msg string, seq long, step long, kind string, role string, text string").repartition(4)
+    got = chat.fold_events(df).first()
+    assert got.text == "E" + "".join(f"{k}," for k in range(301, 700)) + "end" and got.role == "user"
+
+
 def test_empty_table_and_extra_columns(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert chat.digests(chat.format_conversations(empty)).count() == 0

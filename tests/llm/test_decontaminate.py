@@ -80,6 +80,13 @@ def test_simhash(spark):
     assert got == dc._signed(want)
 
 
+def test_simhash_of_many_elements(spark):
+    """40,000 and 70,000 elements whose top bits are set: no sum overflows."""
+    for n, high in ((40_000, -1), (70_000, -(1 << 63) + 5)):
+        got = spark.range(1).select(dc.simhash(F.array_repeat(F.lit(high).cast("long"), n))).first()[0]
+        assert got == high
+
+
 def test_odd_rows(spark, odd, none, clashing):
     items = spark.createDataFrame([(1, prose(2, 60)), (2, None), (3, ""), (4, "four words are few"), (None, prose(99, 20_000))], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in dc.leaks(odd, items).collect()}

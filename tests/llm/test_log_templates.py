@@ -62,14 +62,6 @@ def test_test_tables(spark, sf_dir, min_docs):
     check(df.repartition(5), [tuple(r) for r in df.collect()], min_docs)
 
 
-def test_crowded_leaves_split(spark, monkeypatch):
-    monkeypatch.setattr(lt, "MAX_LEAF", 3)
-    docs = [(k, f"same first four words {chr(97 + k) * 3} then more words that are all the same") for k in range(8)]
-    got = lt.recurring_lines(spark.createDataFrame(docs, ["doc_id", "text"])).collect()
-    assert len(got) == 8  # the leaf is split on the varying token, so nothing recurs
-    assert all(r.n_dropped == 0 for r in got)
-
-
 @pytest.mark.parametrize("others", [10, 4100])
 def test_template_of_two_lines_in_a_leaf_of_any_size(spark, others):
     rng = random.Random(others)
@@ -97,3 +89,10 @@ def test_odd_rows(odd, none, clashing):
     check(odd, docs)
     assert lt.recurring_lines(none).count() == 0
     assert lt.drop_recurring(clashing).columns == clashing.columns
+    assert lt.drop_recurring(clashing).count() == clashing.count()
+
+
+def test_repeated_identifiers_stay_rows_of_their_own(spark):
+    rows = [(1, "same line here\nown one"), (1, "same line here\nown two"), (None, "same line here"), (None, None)]
+    got = [tuple(r) for r in lt.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted([(1, "own one"), (1, "own two"), (None, ""), (None, None)], key=str)

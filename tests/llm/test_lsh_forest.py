@@ -3,6 +3,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from glossweave.llm import lsh_forest
 from tests.llm.conftest import WORDS, prose
@@ -67,7 +68,7 @@ def test_all_pairs_on_demand(spark):
     doc = {}
     for r in members.collect():
         doc.setdefault(bytes(r.key), []).append(r.doc_id)
-    got = {tuple(sorted((x, y))) for r in found.where("b is not null").collect() for x in doc[bytes(r.a)] for y in doc[bytes(r.b)]}
+    got = {tuple(sorted((x, y))) for r in found.collect() for x in doc[bytes(r.a)] for y in doc[bytes(r.b)]}
     same = {(x, y) for v in doc.values() for x, y in combinations(sorted(v), 2)}
     assert got | same == links
 
@@ -86,6 +87,40 @@ def test_odd_rows(odd, clashing):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 5, 6, 7, 9, 10, 11, 12]
 
 
+def test_repeated_identifiers(spark):
+    """Classes are told apart by texts: repeated identifiers neither save a near copy nor take a class away."""
+    a, b, c = (prose(k, 60) for k in (21, 22, 23))
+    rows = [(0, a), (1, b), (1, a + " w"), (5, c), (5, b + " w"), (6, c + " w"), (7, "x y"), (7, "x y"), (None, "z y")]
+    want = [(0, a), (1, b), (5, c), (7, "x y"), (None, "z y")]
+    for df in (spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(rows, "doc_id long, text string").repartition(3)):
+        assert sorted((tuple(r) for r in lsh_forest.one_of_each(df).collect()), key=str) == sorted(want, key=str)
+
+
+def test_rows_grow_with_a_group_and_not_with_its_pairs(spark, monkeypatch):
+    """Links and counts that leave the tasks, for one group of 512, 1024 and 2048 near copies in blocks of 128."""
+    monkeypatch.setattr(lsh_forest, "BLOCK", 128)
+    text = prose(31, 60).split()
+    copies = [" ".join([*text, *(WORDS[(k >> s) % 2 + 2 * s] for s in range(11))]) for k in range(2048)]
+    counts = []
+    for n in (512, 1024, 2048):
+        classes = [(f"{k:05d}".encode(), 1, lsh_forest.shingle_set(t).tobytes()) for k, t in enumerate(copies[:n])]
+        sets = spark.createDataFrame(classes, "key binary, n_docs long, shingles binary")
+        kept = {}
+        plain = lsh_forest.written
+
+        def seen(df, name):
+            out = plain(df, name)
+            kept[name] = out.count()
+            return out
+
+        monkeypatch.setattr(lsh_forest, "written", seen)
+        found, _ = lsh_forest.verify(sets.select("key", F.lit(b"r").alias("root")), sets, 0.8)
+        assert found.count() == n and found.select("root").distinct().count() == 1
+        monkeypatch.setattr(lsh_forest, "written", plain)
+        counts.append(kept["within"] + kept["across"])
+    assert counts[1] <= 2.1 * counts[0] and counts[2] <= 2.1 * counts[1]
+
+
 def test_empty_table(none):
     assert lsh_forest.near_duplicates(none).count() == 0
 

@@ -46,3 +46,29 @@ def test_rows_keep_their_columns(clashing):
     assert got.columns == clashing.columns
     ids = sorted([r.doc_id for r in got.collect()], key=str)
     assert ids == sorted([4, 5, 6, 7, 8, 9, 10, 11, 12], key=str)
+
+
+def test_repeated_identifiers(spark):
+    """One row for each text, whatever identifiers repeat."""
+    rows = [(5, "a"), (5, "b"), (9, "b"), (6, "A x"), (6, "a x"), (6, "a x"), (None, "n"), (None, "N")]
+    got = [tuple(r) for r in lsm_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert sorted((i, t.translate(LOWER)) for i, t in got if i) == [(5, "a"), (6, "a x"), (9, "b")] and len(got) == 4
+
+
+def test_filters_hold_what_they_were_made_of():
+    digests = [lsm_dedup.digest_of(str(k).encode(), 32) for k in range(600)]
+    for n in (1, 3, 200):
+        flags = lsm_dedup.run_filter(digests[:n])
+        assert all(lsm_dedup.may_hold(flags, d) for d in digests[:n])
+        assert sum(lsm_dedup.may_hold(flags, d) for d in digests[n:]) < 40
+    assert not lsm_dedup.may_hold(None, digests[0])
+
+
+def test_a_text_in_every_run(spark):
+    """A third of all rows share one text: its identifiers stay with their runs, one row an entry."""
+    docs = spark.range(3000).selectExpr("id AS doc_id", "if(id % 3 = 0, 'same', concat('own ', id)) AS text").repartition(6)
+    runs = lsm_dedup.written(lsm_dedup.flush_runs(docs, True, 32, 4000), "runs")
+    hits = lsm_dedup.compact(runs, True).where("run is not null")
+    assert hits.count() == runs.select("run").distinct().count() > 30
+    got = lsm_dedup.exact_groups(docs, "largest", memtable_bytes=4000)
+    assert {tuple(r) for r in got.where("kept").groupBy("group_size").count().collect()} == {(1000, 1), (1, 2000)}

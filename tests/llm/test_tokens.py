@@ -16,9 +16,7 @@ HARD = ["", " ", "  ", "a", " a", "a ", "a  b", "a\nb", "a \n b", "x\n \ny", "\n
 def library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(BPE)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(BPE)
 
 
 @settings(max_examples=300, deadline=None)
@@ -27,7 +25,6 @@ def test_chunks_encode_as_whole_texts(texts):
     from tokenizers import Tokenizer
 
     whole = _whole.setdefault(0, Tokenizer.from_file(BPE))
-    whole.encode_special_tokens = True
     texts = [t.encode("utf-8", "replace").decode() for t in texts]
     assert [np.frombuffer(x, "<u4").tolist() for x in token_file.encode_texts(BPE, texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
@@ -35,6 +32,12 @@ def test_chunks_encode_as_whole_texts(texts):
 _whole: dict = {}
 
 
+def test_special_tokens_as_the_library_takes_them(library):
+    for text in ("x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|>b c", "a <|endoftext| > b"):
+        assert np.frombuffer(token_file.encode_texts(BPE, [text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(token_file.encode_texts(BPE, ["x <|endoftext|> y"])[0], "<u4").tolist() == [87, 220, 50256, 331]
+
+
 def test_forgetting_chunks_changes_nothing(library, monkeypatch):
     monkeypatch.setattr(token_file, "REMEMBERED", 2)
     texts = [f"the {w} and, {w}. or {w}" for w in ("cat", "dog", "cat", "emu")]
