@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossweave.functions.stem import stem_all
@@ -52,3 +52,56 @@ def parsed(rows: DataFrame, parser: Heads = chain_heads, longest: int = 100) ->
 def unparsed(rows: DataFrame, done: DataFrame) -> DataFrame:
     """Sentences of ``rows`` that ``done`` (doc_id, sent) has no parse of."""
     return rows.join(done.select("doc_id", "sent").distinct(), ["doc_id", "sent"], "left_anti")
+
+
+def header_contexts(rows: DataFrame) -> DataFrame:
+    """header, doc_id, sent, tokens (word, pos) of focus words in context: rows (value) of ``header::start::end::text``.
+
+    The header, blanks as ``_``, stands in the place of the text's characters from start to end as a token tagged NN; the text
+    before and after it is split on its own.  Lines of another shape or with a bad span are left out.
+    """
+    parts = F.split("value", "::", 4)
+    spans = rows.where(F.size(parts) == 4).select(F.regexp_replace(parts[0], r"\s+", "_").alias("header"), *[F.expr(f"try_cast(split(value, '::', 4)[{k}] AS int)").alias(c) for k, c in ((1, "begin"), (2, "end"))], parts[3].alias("text"))
+    spans = spans.where((F.col("begin") >= 0) & (F.col("end") >= F.col("begin")) & (F.col("end") <= F.char_length("text")))
+
+    def tagged(text: Column) -> Column:
+        return F.transform(words(text), lambda w: F.struct(w.alias("word"), rule_pos(w).alias("pos")))
+
+    before = F.substring("text", F.lit(1), F.col("begin"))
+    after = F.substring("text", F.col("end") + 2, F.char_length("text"))
+    tokens = F.concat(tagged(before), F.array(F.struct(F.col("header").alias("word"), F.lit("NN").alias("pos"))), tagged(after))
+    return spans.select("header", F.monotonically_increasing_id().alias("doc_id"), F.lit(0).alias("sent"), tokens.alias("tokens"))
+
+
+def header_parses(rows: DataFrame, parser: Heads = chain_heads) -> DataFrame:
+    """header, text of header_contexts() parsed: a line of tab-separated columns for each token, between line ends."""
+    heads = _heads(parser)
+    made = header_contexts(rows).withColumn("h", heads(F.col("tokens.word"), F.col("tokens.pos")))
+    return made.select("header", F.concat(F.lit("\n"), _conll(F.col("tokens"), F.col("h")), F.lit("\n")).alias("text"))
+
+
+def _heads(parser: Heads):
+    @F.pandas_udf("array<struct<head:int,rel:string>>")
+    def heads(forms: pd.Series, tags: pd.Series) -> pd.Series:
+        return pd.Series([[{"head": h, "rel": r} for h, r in parser(list(f), list(t))] for f, t in zip(forms, tags)])
+
+    return heads
+
+
+def _conll(tokens: Column, heads: Column) -> Column:
+    both = F.zip_with(tokens, heads, lambda t, h: F.struct(t["word"].alias("word"), t["pos"].alias("pos"), h["head"].alias("head"), h["rel"].alias("rel")))
+    return F.array_join(F.transform(both, lambda x, i: F.concat_ws("\t", (i + 1).cast("string"), x["word"], F.lit("_"), x["pos"], x["pos"], F.lit("_"), x["head"].cast("string"), x["rel"])), "\n")
+
+
+def reparse_marked(rows: DataFrame, parser: Heads = chain_heads) -> DataFrame:
+    """key, text of marked-up corpus texts (key, text), parsed anew: lines of markup are copied, the words (first columns) of each ``<s>`` block are parsed."""
+    blocks = F.split("text", r"(?<=<s>\n)|(?=</s>)")
+    parts = rows.select("key", F.posexplode(blocks).alias("k", "part"))
+    inside = F.startswith(F.lead("part").over(Window.partitionBy("key").orderBy("k")), F.lit("</s>")) & F.endswith(F.lag("part").over(Window.partitionBy("key").orderBy("k")), F.lit("<s>\n"))
+    parts = parts.withColumn("inside", F.coalesce(inside, F.lit(False)))
+    forms = F.transform(F.filter(F.split("part", "\n"), lambda x: F.trim(x) != ""), lambda x: F.split(x, r"\s+")[0])
+    tokens = F.when(F.col("inside"), F.transform(forms, lambda w: F.struct(w.alias("word"), rule_pos(w).alias("pos")))).otherwise(F.array().cast("array<struct<word:string,pos:string>>"))
+    parts = parts.withColumn("tokens", tokens).withColumn("h", _heads(parser)(F.col("tokens.word"), F.col("tokens.pos")))
+    text = F.when(F.col("inside"), F.concat(_conll(F.col("tokens"), F.col("h")), F.lit("\n"))).otherwise(F.col("part"))
+    joined = parts.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("k", text.alias("text")))).alias("p"))
+    return joined.select("key", F.array_join(F.col("p.text"), "").alias("text"))

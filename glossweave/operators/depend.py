@@ -1,45 +1,74 @@
-"""Dependency paths: simple walks of at most L undirected edges of a sentence's tree."""
+"""Dependency paths: simple walks of at most L undirected edges of a sentence's tree.
+
+A sentence is a row (doc_id, sent, source, t) whose tokens stay in one array of (word, pos, head, rel), so walks are
+made inside the row: no join and no shuffle but the count's own.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossweave.functions.text import rule_pos, sentences, words
+
 AT = ["doc_id", "sent"]
+Test = Callable[[Column], Column]
+
+
+def trees(documents: DataFrame) -> DataFrame:
+    """The sentences of documents with the default parse: a token's head is the one before it, its relation its part of speech."""
+    rows = documents.select("doc_id", "source", F.posexplode(sentences(F.col("text"))).alias("sent", "s")).select("doc_id", "sent", "source", words(F.col("s")).alias("w")).where(F.size("w") > 0)
+    tagged = F.transform("w", lambda w: F.struct(w.alias("word"), rule_pos(w).alias("pos")))
+    rows = rows.select(*AT, "source", tagged.alias("w"))
+    return rows.select(*AT, "source", F.transform("w", lambda x, i: F.struct(x["word"].alias("word"), x["pos"].alias("pos"), i.alias("head"), F.lower(x["pos"]).alias("rel"))).alias("t"))
+
+
+def trees_of(token_rows: DataFrame) -> DataFrame:
+    """The sentences of token rows (doc_id, sent, source, tok, word, pos, head, rel); tokens are numbered from 0 without gaps."""
+    got = token_rows.groupBy(*AT).agg(F.first("source").alias("source"), F.sort_array(F.collect_list(F.struct("tok", "word", "pos", F.col("head").cast("int").alias("head"), "rel"))).alias("t"))
+    return got.withColumn("t", F.transform("t", lambda x: F.struct(x["word"].alias("word"), x["pos"].alias("pos"), x["head"].alias("head"), x["rel"].alias("rel"))))
 
 
-def edges(token_rows: DataFrame) -> DataFrame:
-    """doc_id, sent, src, dst, rel in both directions: an edge for every token with a head."""
-    rows = token_rows.where("head > 0").select(*AT, F.col("tok").alias("a"), (F.col("head") - 1).alias("b"), "rel")
-    both = F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))
-    return rows.select(*AT, "rel", F.explode(both).alias("e")).select(*AT, "e.src", "e.dst", "rel")
+def _with_edges(rows: DataFrame) -> DataFrame:
+    """``rows`` with e: for each token the edges (next, rel) at it, in both directions."""
+    none = F.array().cast("array<struct<at:int,next:int,rel:string>>")
 
+    def both(x: Column, i: Column) -> Column:
+        up = x["head"] - 1
+        return F.when(up >= 0, F.array(F.struct(i.alias("at"), up.alias("next"), x["rel"].alias("rel")), F.struct(up.alias("at"), i.alias("next"), x["rel"].alias("rel")))).otherwise(none)
 
-def paths(token_rows: DataFrame, starts: DataFrame, length: int) -> DataFrame:
-    """doc_id, sent, src, dst, hops, path (``rel:`` for each edge), last_rel of every path from a start (doc_id, sent, tok).
+    rows = rows.withColumn("_all", F.array_sort(F.flatten(F.transform("t", both))))
+    rows = rows.withColumn("_at", F.transform("_all", lambda e: e["at"])).withColumn("_ta", F.reverse("_at"))
 
-    Starts are filtered before the walk; each step joins the ends of the paths so far with the edges there.
+    def own(_: Column, i: Column) -> Column:
+        first = F.array_position("_at", i).cast("int")
+        count = F.size("_at") + 2 - F.array_position("_ta", i).cast("int") - first
+        return F.when(first > 0, F.slice("_all", first, count)).otherwise(none)
+
+    return rows.withColumn("e", F.transform("t", own)).drop("_all", "_at", "_ta")
+
+
+def word_paths(sentence_rows: DataFrame, keep: Test, length: int, keep_end: Test | None = None) -> DataFrame:
+    """doc_id, sent, source, src, dst, hops, path (``rel:`` for each edge), last_rel, and word and pos of both ends, of every path of at most ``length`` edges.
+
+    Paths lead from tokens that satisfy ``keep`` to those that satisfy ``keep_end``.
     """
-    step = edges(token_rows)
-    now = starts.select(*AT, F.col("tok").alias("src"), F.col("tok").alias("dst"), F.array("tok").alias("seen"), F.lit("").alias("path"), F.lit("").alias("last_rel"))
-    out = None
-    for hops in range(1, length + 1):
-        e = step.select(*AT, F.col("src").alias("dst"), F.col("dst").alias("next"), F.col("rel").alias("by"))
-        now = now.join(e, [*AT, "dst"]).where(~F.array_contains("seen", F.col("next")))
-        now = now.select(*AT, "src", F.col("next").alias("dst"), F.concat("seen", F.array("next")).alias("seen"), F.concat("path", "by", F.lit(":")).alias("path"), F.col("by").alias("last_rel"))
-        rows = now.select(*AT, "src", "dst", F.lit(hops).alias("hops"), "path", "last_rel")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    rows = _with_edges(sentence_rows).select(*AT, "source", "t", "e", F.posexplode("t").alias("src", "a")).where(keep(F.col("a")))
+    rows = rows.withColumn("l0", F.array(F.struct(F.col("src").alias("dst"), F.array("src").alias("seen"), F.lit("").alias("path"), F.lit("").alias("last_rel"), F.lit(0).alias("hops"))))
 
+    def step(f: Column) -> Column:
+        onward = F.filter(F.get("e", f["dst"]), lambda e: ~F.array_contains(f["seen"], e["next"]))
+        return F.transform(onward, lambda e: F.struct(e["next"].alias("dst"), F.concat(f["seen"], F.array(e["next"])).alias("seen"), F.concat(f["path"], e["rel"], F.lit(":")).alias("path"), e["rel"].alias("last_rel"), (f["hops"] + 1).alias("hops")))
 
-def word_paths(token_rows: DataFrame, keep: Column, length: int, keep_end: Column | None = None) -> DataFrame:
-    """paths() from tokens that satisfy ``keep`` to those that satisfy ``keep_end``, with source, word and pos of both ends."""
-    first = token_rows.where(keep)
-    found = paths(token_rows, first, length)
-    a = first.select(*AT, F.col("tok").alias("src"), "source", F.col("word").alias("word_a"), F.col("pos").alias("pos_a"))
-    ends = token_rows if keep_end is None else token_rows.where(keep_end)
-    b = ends.select(*AT, F.col("tok").alias("dst"), F.col("word").alias("word_b"), F.col("pos").alias("pos_b"))
-    return found.join(a, [*AT, "src"]).join(b, [*AT, "dst"])
+    for hops in range(1, length + 1):
+        rows = rows.withColumn(f"l{hops}", F.flatten(F.transform(f"l{hops - 1}", step)))
+    found = rows.select(*AT, "source", "t", "src", "a", F.explode(F.concat(*[f"l{k}" for k in range(1, length + 1)])).alias("p"))
+    found = found.select(*AT, "source", "src", "a", "p.dst", "p.hops", "p.path", "p.last_rel", F.get("t", F.col("p.dst")).alias("b"))
+    if keep_end is not None:
+        found = found.where(keep_end(F.col("b")))
+    return found.select(*AT, "source", "src", "dst", "hops", "path", "last_rel", F.col("a.word").alias("word_a"), F.col("a.pos").alias("pos_a"), F.col("b.word").alias("word_b"), F.col("b.pos").alias("pos_b"))
 
 
 def cooccurrence(found: DataFrame, with_relation: bool = True) -> DataFrame:
@@ -61,11 +90,11 @@ def path_count(evidence: DataFrame) -> DataFrame:
     return evidence.groupBy("path").agg(F.sum("cnt").alias("n"))
 
 
-def relation_tuples(token_rows: DataFrame, heads: Column) -> DataFrame:
+def relation_tuples(sentence_rows: DataFrame, heads: Test) -> DataFrame:
     """head_word, rel, dependent, n of edges whose head satisfies ``heads`` and has a noun, verb or adjective tag."""
-    head = token_rows.where(heads & F.substring("pos", 1, 1).isin("N", "V", "J")).select(*AT, (F.col("tok") + 1).alias("head"), F.lower("word").alias("head_word"))
-    child = token_rows.where("head > 0").select(*AT, "head", "rel", F.lower("word").alias("dependent"))
-    return head.join(child, [*AT, "head"]).groupBy("head_word", "rel", "dependent").agg(F.count("*").alias("n"))
+    rows = sentence_rows.select("t", F.explode(F.filter("t", lambda x: x["head"] > 0)).alias("c")).select("c", F.get("t", F.col("c.head") - 1).alias("h"))
+    rows = rows.where(F.substring("h.pos", 1, 1).isin("N", "V", "J") & heads(F.col("h")))
+    return rows.groupBy(F.lower("h.word").alias("head_word"), F.col("c.rel").alias("rel"), F.lower("c.word").alias("dependent")).agg(F.count("*").alias("n"))
 
 
 def first_paths(found: DataFrame) -> DataFrame:

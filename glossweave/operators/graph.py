@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glossweave.plans.scratch import checkpointed
+
 
 def _level_union(levels: list[DataFrame]) -> DataFrame:
     out = levels[0]
@@ -16,27 +18,33 @@ def _level_union(levels: list[DataFrame]) -> DataFrame:
 def closure(nodes: DataFrame, parents: DataFrame, depth: int) -> DataFrame:
     """id, anc, dmin, dmax: ancestors of every node (itself at 0) over child-parent rows (src, dst), at most ``depth`` links away.
 
-    Each level is distinct, so the many paths of a wide graph don't multiply rows; ``depth`` also ends cycles.
+    Each level is distinct, so the many paths of a wide graph don't multiply rows; ``depth`` also ends cycles.  Levels
+    are checkpointed two by two, so that no plan repeats more than a few steps, and end where no ancestor is left.
     """
-    now = nodes.select("id", F.col("id").alias("anc"))
+    up = checkpointed(parents.select(F.col("src").alias("anc"), F.col("dst").alias("next")).distinct())
+    now = checkpointed(nodes.select("id", F.col("id").alias("anc")))
     levels = [now.withColumn("d", F.lit(0).cast("long"))]
-    up = parents.select(F.col("src").alias("anc"), F.col("dst").alias("next"))
     for d in range(1, depth + 1):
         now = now.join(up, "anc").select("id", F.col("next").alias("anc")).distinct()
+        if d % 2 == 0:
+            now = checkpointed(now)
         levels.append(now.withColumn("d", F.lit(d).cast("long")))
-    return _level_union(levels).groupBy("id", "anc").agg(F.min("d").alias("dmin"), F.max("d").alias("dmax"))
+        if d % 2 == 0 and now.isEmpty():
+            break
+    return checkpointed(_level_union(levels).groupBy("id", "anc").agg(F.min("d").alias("dmin"), F.max("d").alias("dmax")))
 
 
 def parent_paths(nodes: DataFrame, parents: DataFrame, depth: int) -> DataFrame:
-    """id, path (array from a root to the node) of every simple path to a root."""
+    """id, path (array from a root to the node) of every simple path to a root; levels are checkpointed as in closure()."""
     now = nodes.select("id", F.array("id").alias("path"))
-    up = parents.select(F.col("src").alias("top"), F.col("dst").alias("next"))
+    up = checkpointed(parents.select(F.col("src").alias("top"), F.col("dst").alias("next")))
     levels = []
     for d in range(depth + 1):
-        grown = now.withColumn("top", F.col("path")[0]).join(up, "top", "left")
+        grown = checkpointed(now.withColumn("top", F.col("path")[0]).join(up, "top", "left"))
         levels.append(grown.where("next is null").select("id", "path"))
-        if d < depth:
-            now = grown.where("next is not null").where(~F.array_contains("path", F.col("next"))).select("id", F.concat(F.array("next"), "path").alias("path"))
+        now = grown.where("next is not null").where(~F.array_contains("path", F.col("next"))).select("id", F.concat(F.array("next"), "path").alias("path"))
+        if d < depth and now.isEmpty():
+            break
     return _level_union(levels)
 
 
@@ -125,8 +133,6 @@ def pair_hirst_st_onge(pairs: DataFrame, relation: DataFrame, depth: int = 5) ->
     A walk is cut where its last run of links down begins: the first part leads from x, the run is climbed from y
     against its links, so that no part spreads over all nodes below a common one.
     """
-    from glossweave.plans.scratch import checkpointed
-
     spark = relation.sparkSession
     pairs = checkpointed(pairs.select("x", "y"))
     way = F.when(F.col("rel").isin(*UP), "u").when(F.col("rel").isin(*DOWN), "d").when(F.col("rel").isin(*SIDE), "s")
@@ -154,16 +160,16 @@ def pair_hirst_st_onge(pairs: DataFrame, relation: DataFrame, depth: int = 5) ->
     return pairs.join(best, ["x", "y"], "left").select("x", "y", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def pagerank(nodes: DataFrame, relation: DataFrame, weight: float, rounds: int, checkpoint_every: int = 10, teleport: str = "sparse") -> DataFrame:
+def pagerank(nodes: DataFrame, relation: DataFrame, weight: float, rounds: int, checkpoint_every: int = 3, teleport: str = "sparse") -> DataFrame:
     """id, rank after ``rounds`` rounds from a uniform source of mass.
 
     A link passes on rank over the number of all relation rows of its source, to distinct targets; with
     ``sparse`` teleport only nodes that got rank get (1 - weight) of the source mass, with ``standard`` all.
     """
-    from glossweave.plans.scratch import checkpointed
-
+    nodes, relation = checkpointed(nodes), checkpointed(relation.select("src", "dst"))
     source = 1.0 / max(1, nodes.count())
-    out = relation.groupBy("src").agg(F.count("*").alias("deg")).join(relation.select("src", "dst").distinct(), "src").select("src", "dst", "deg")
+    out = relation.groupBy("src").agg(F.count("*").alias("deg")).join(relation.distinct(), "src").select("src", "dst", "deg")
+    out = checkpointed(out.repartition("src"))
     rank = nodes.select("id", F.lit(source).alias("rank"))
     for k in range(rounds):
         got = rank.withColumnRenamed("id", "src").join(out, "src").groupBy("dst").agg((F.sum(F.col("rank") / F.col("deg")) * weight).alias("got"))

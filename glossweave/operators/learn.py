@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossweave.operators.ontology import remove_relations, remove_synsets
+from glossweave.plans.scratch import checkpointed
+
 
 def _ratio(q: Column, d: Column, decay: float) -> Column:
     p = F.pow(F.lit(decay), d - 1) * q
@@ -88,12 +91,79 @@ def classify(model, features: DataFrame, columns: list[str]) -> DataFrame:
     return rows.withColumn("p", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def propagate(vectors: DataFrame, parents: DataFrame, levels: int, least: int = 3) -> DataFrame:
-    """id, dim, value: leaf vectors and, level by level, those of parents: dimensions in at least min(least, children) children, summed."""
+def propagate(vectors: DataFrame, parents: DataFrame, levels: int, least: int = 3, weights: DataFrame | None = None) -> DataFrame:
+    """id, dim, value: leaf vectors and, level by level, those of parents: dimensions in at least min(least, children) children, summed.
+
+    With ``weights`` (id, weight) of leaves, values are summed times their child's weight, and a parent weighs what its children weigh together.
+    """
     sizes = parents.groupBy("dst").agg(F.count("*").alias("children"))
+    links = parents.select(F.col("src").alias("id"), "dst")
     out = now = vectors.select("id", "dim", "value")
+    heavy = weights.select("id", "weight") if weights is not None else vectors.select("id").distinct().withColumn("weight", F.lit(1.0))
     for _ in range(levels):
-        up = now.join(parents.select(F.col("src").alias("id"), "dst"), "id").groupBy("dst", "dim").agg(F.sum("value").alias("value"), F.count("*").alias("n"))
+        now = checkpointed(now)
+        share = F.col("value") * (F.col("weight") if weights is not None else F.lit(1.0))
+        up = now.join(heavy, "id").join(links, "id").groupBy("dst", "dim").agg(F.sum(share).alias("value"), F.count("*").alias("n"))
+        had = now.select("id").distinct()  # only children with a vector weigh
+        heavy = checkpointed(heavy.join(had, "id").join(links, "id").groupBy(F.col("dst").alias("id")).agg(F.sum("weight").alias("weight")))
         now = up.join(sizes, "dst").where(F.col("n") >= F.least(F.lit(least), F.col("children"))).select(F.col("dst").alias("id"), "dim", "value")
         out = out.unionByName(now)
     return out.groupBy("id", "dim").agg(F.sum("value").alias("value"))
+
+
+def zero_alternatives(vectors: DataFrame, leaves: DataFrame, parents: DataFrame, senses: DataFrame) -> DataFrame:
+    """``vectors`` (id, dim, value) without those dimensions of leaves (id) that belong to other senses of their words.
+
+    A dimension goes if a parent of another sense (lemma, id) of one of the leaf's lemmas has it and no parent of the leaf does.
+    """
+    up = parents.select(F.col("src").alias("id"), F.col("dst").alias("parent"))
+    held = vectors.select(F.col("id").alias("parent"), "dim").distinct()
+    own = leaves.select("id").join(up, "id").join(held, "parent").select("id", "dim").distinct()
+    same = senses.select("lemma", "id").distinct()
+    other = leaves.select("id").join(same, "id").join(same.select("lemma", F.col("id").alias("rival")), "lemma").where("id <> rival").select("id", "rival").distinct()
+    strange = other.join(up.select(F.col("id").alias("rival"), "parent"), "rival").join(held, "parent").select("id", "dim").distinct()
+    return vectors.join(strange.join(own, ["id", "dim"], "left_anti"), ["id", "dim"], "left_anti")
+
+
+def attribute_features(pairs: DataFrame, attributes: DataFrame) -> DataFrame:
+    """``pairs`` (x, y, ...) with a column for each attribute name: the cosine of both ends' vectors (id, name, dim, value), 0 where one has none.
+
+    Names are those of the ontology's attributes, a few.
+    """
+    sizes = attributes.groupBy("id", "name").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("size"))
+    a = attributes.select(F.col("id").alias("x"), "name", "dim", F.col("value").alias("u"))
+    b = attributes.select(F.col("id").alias("y"), "name", "dim", F.col("value").alias("w"))
+    ends = pairs.select("x", "y").distinct()
+    dots = ends.join(a, "x").join(b, ["y", "name", "dim"]).groupBy("x", "y", "name").agg(F.sum(F.col("u") * F.col("w")).alias("dot"))
+    dots = dots.join(sizes.toDF("x", "name", "nx"), ["x", "name"]).join(sizes.toDF("y", "name", "ny"), ["y", "name"])
+    names = sorted(r.name for r in attributes.select("name").distinct().collect())
+    wide = dots.groupBy("x", "y").pivot("name", names).agg(F.first(F.col("dot") / (F.col("nx") * F.col("ny"))))
+    return pairs.join(wide, ["x", "y"], "left").fillna(0.0, names)
+
+
+def sparse_vectors(rows: DataFrame, size: int) -> DataFrame:
+    """id, features: long vectors (id, dim from 0, value) as the sparse vectors that the model library takes."""
+    from pyspark.ml.linalg import SparseVector, VectorUDT
+
+    made = F.udf(lambda entries: SparseVector(size, [(e.dim, e.value) for e in entries]), VectorUDT())
+    summed = rows.groupBy("id", "dim").agg(F.sum("value").alias("value"))
+    return summed.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("dim", "value"))).alias("e")).select("id", made("e").alias("features"))
+
+
+def held_out(senses: DataFrame, relation: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What an ontology knew of test nouns (lemma, parent of their synsets), and senses and relations without those synsets."""
+    gone = senses.where("pos = 'n'").join(terms.select("lemma").distinct(), "lemma", "left_semi").select("lemma", "id").distinct()
+    truth = gone.join(relation.where("rel = '@'").select(F.col("src").alias("id"), F.col("dst").alias("parent")), "id").select("lemma", "parent").distinct()
+    ids = gone.select("id").distinct()
+    return truth, remove_synsets(senses, ids), remove_relations(relation, ids)
+
+
+def save_model(model, path: str) -> None:
+    """Write a model of train(); load_model() reads it."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str):
+    from pyspark.ml.classification import LogisticRegressionModel
+
+    return LogisticRegressionModel.load(path)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from glossweave.plans.scratch import checkpointed
+
 # Endings of inflected forms and what replaces them, by part of speech, in order.
 SUFFIXES = {
     "n": [("s", ""), ("ses", "s"), ("ves", "f"), ("xes", "x"), ("zes", "z"), ("ches", "ch"), ("shes", "sh"), ("men", "man"), ("ies", "y")],
@@ -125,21 +127,75 @@ def add_synsets(senses: DataFrame, new: DataFrame) -> DataFrame:
     return rows.withColumn("number", turn)
 
 
-def merge_synsets(synset: DataFrame, relation: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Synsets and relations after each (keep, gone) pair is merged; both must have one part of speech.
+def merge_targets(pairs: DataFrame, rounds: int = 32) -> DataFrame:
+    """id, to: where each merged synset ends up, over chains of merges (keep, gone) and several into one.
 
-    Links between the two go, all others of the gone one move to the kept one; definitions are joined by ``; ``.
+    Of several targets of one synset the smallest counts; a merge that would close a circle is left out where its
+    kept synset is the smallest of the circle.
+    """
+    hop = checkpointed(pairs.where("keep <> gone").groupBy(F.col("gone").alias("id")).agg(F.min("keep").alias("to")))
+    for _ in range(rounds):  # each round doubles the links that a target is ahead
+        step = hop.join(hop.select(F.col("id").alias("to"), F.col("to").alias("next")), "to", "left")
+        moved = checkpointed(step.select("id", F.coalesce("next", "to").alias("to"), (F.col("next").isNotNull() & (F.col("id") != F.col("to"))).alias("on")))
+        hop = moved.where("id <> to").select("id", "to")
+        if moved.where("on").isEmpty():
+            break
+    return hop
+
+
+def merge_synsets(synset: DataFrame, relation: DataFrame, pairs: DataFrame, lemma: DataFrame | None = None, attributes: DataFrame | None = None) -> tuple[DataFrame, ...]:
+    """Synsets and relations after each (keep, gone) pair is merged, and with them lemmas (id, lemma, rank) and attributes (id, name, value).
+
+    Both of a pair must have one part of speech.  Chains end at their last synset, several may go into one: one row stays.
+    Links between the merged go, all others move to the kept one; definitions, and examples if there is such a
+    column, are joined by ``; ``, the kept one's first and then by id.  Lemmas follow in the order of the merged synsets, each once;
+    of attributes of one name the kept synset's counts, then that of the smallest id.
     """
     pos = synset.select("id", "pos")
     pairs = pairs.join(pos.toDF("keep", "_a"), "keep").join(pos.toDF("gone", "_b"), "gone").where("_a = _b").select("keep", "gone")
+    to = merge_targets(pairs)
+
+    def target(rows: DataFrame, column: str) -> DataFrame:
+        return rows.join(to.select(F.col("id").alias(column), F.col("to").alias("_to")), column, "left")
+
     moved = relation
     for end in ("src", "dst"):
-        new = pairs.select(F.col("gone").alias(end), F.col("keep").alias("_to"))
-        moved = moved.join(new, end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
+        moved = target(moved, end).withColumn(end, F.coalesce("_to", end)).drop("_to")
     moved = moved.select("src", "rel", "dst").where("src <> dst").distinct()
-    tail = pairs.join(synset.select(F.col("id").alias("gone"), F.col("definition").alias("_more")), "gone").select(F.col("keep").alias("id"), "_more")
-    kept = synset.join(pairs.select(F.col("gone").alias("id")), "id", "left_anti").join(tail, "id", "left")
-    return kept.select("id", "pos", F.concat_ws("; ", "definition", "_more").alias("definition")), moved
+    texts = [c for c in ("definition", "examples") if c in synset.columns]
+    rows = target(synset.select("id", "pos", *texts), "id").select(F.coalesce("_to", "id").alias("into"), F.col("_to").isNotNull().alias("gone"), "id", "pos", *texts)
+    joined = [F.array_join(F.transform(F.filter(F.sort_array(F.collect_list(F.struct("gone", "id", F.col(c).alias("text")))), lambda x: x["text"].isNotNull()), lambda x: x["text"]), "; ").alias(c) for c in texts]
+    kept = rows.groupBy(F.col("into").alias("id")).agg(F.first("pos").alias("pos"), *joined)
+    out: list[DataFrame] = [kept, moved]
+    if lemma is not None:
+        rows = target(lemma.select("id", "lemma", "rank"), "id").select(F.coalesce("_to", "id").alias("into"), F.struct(F.col("_to").isNotNull().alias("gone"), "id", "rank").alias("place"), "lemma")
+        rows = rows.groupBy("into", "lemma").agg(F.min("place").alias("place"))
+        turn = F.row_number().over(Window.partitionBy("into").orderBy("place", "lemma")) - 1
+        out.append(rows.select(F.col("into").alias("id"), "lemma", turn.alias("rank")))
+    if attributes is not None:
+        rows = target(attributes.select("id", "name", "value"), "id").select(F.coalesce("_to", "id").alias("into"), "name", F.struct(F.col("_to").isNotNull().alias("gone"), "id", "value").alias("v"))
+        out.append(rows.groupBy(F.col("into").alias("id"), "name").agg(F.min("v")["value"].alias("value")))
+    return tuple(out)
+
+
+def replace_synset(senses: DataFrame, relation: DataFrame, old: str, new: str) -> tuple[DataFrame, DataFrame]:
+    """Senses and relations with synset ``new`` in the place of ``old``: its senses keep their numbers, its links lead to the new one."""
+
+    def swap(column: str) -> Column:
+        return F.when(F.col(column) == old, F.lit(new)).otherwise(F.col(column)).alias(column)
+
+    return senses.select("lemma", "pos", swap("id"), "number"), relation.select(swap("src"), "rel", swap("dst")).distinct()
+
+
+def external_relations(lines: DataFrame, sense_keys: DataFrame, relation: DataFrame) -> DataFrame:
+    """``relation`` with links between sense keys that a file adds: rows (value) of ``key rel key``, the keys named by (key, id).
+
+    Lines of other shapes, unknown keys and links of a synset to itself add nothing.
+    """
+    parts = F.split(F.trim("value"), r"\s+")
+    rows = lines.where(F.size(parts) == 3).select(parts[0].alias("a"), parts[1].alias("rel"), parts[2].alias("b"))
+    new = rows.join(sense_keys.select(F.col("key").alias("a"), F.col("id").alias("src")), "a").join(sense_keys.select(F.col("key").alias("b"), F.col("id").alias("dst")), "b")
+    return relation.select("src", "rel", "dst").unionByName(new.where("src <> dst").select("src", "rel", "dst")).distinct()
 
 
 def sense_key_for(forms: DataFrame, keys: DataFrame) -> DataFrame:

@@ -51,10 +51,12 @@ def lin(ic1: Column, ic2: Column, res: Column) -> Column:
 
 
 def gloss_pairs(glosses: DataFrame, kernel: str) -> DataFrame:
-    """x, y, score of every ordered pair of glosses (id, words); a stated set of all pairs of the ontology's synsets."""
+    """x, y, score of the ordered pairs of glosses (id, words) that share a word; of all others the score is 0."""
+    words = glosses.select("id", F.explode(F.array_distinct("words")).alias("w"))
+    met = words.select(F.col("id").alias("x"), "w").join(words.select(F.col("id").alias("y"), "w"), "w").select("x", "y").distinct()
     a, b = glosses.select(F.col("id").alias("x"), F.col("words").alias("wx")), glosses.select(F.col("id").alias("y"), F.col("words").alias("wy"))
     score = overlap(F.col("wx"), F.col("wy")) if kernel == "lesk" else overlap_exp(F.col("wx"), F.col("wy"))
-    return a.join(b).select("x", "y", score.cast("long").alias("score"))
+    return met.join(a, "x").join(b, "y").select("x", "y", score.cast("long").alias("score"))
 
 
 def extended_lesk(glosses: DataFrame, relation: DataFrame) -> DataFrame:

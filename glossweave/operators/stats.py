@@ -21,20 +21,30 @@ def count_by(rows: DataFrame, *keys: str | Column) -> DataFrame:
 
 
 def compound_count(documents: DataFrame, compounds: list[str]) -> DataFrame:
-    """word, n of lower-case words, listed two-word compounds taken as one; matching is greedy from the left.
+    """word, n of lower-case words, listed compounds of two words or more taken as one; matching is greedy from the left, the longest first.
 
     The places of matches are the few that a document's array is filtered to; of those, one stands if it
     begins after the last one that stands has ended.  Words in standing matches are taken off the count of all words.
     """
     rows = documents.select(low_words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    pair = F.transform("w", lambda x, i: F.concat(x, F.lit(" "), F.coalesce(F.get("w", i + 1), F.lit(""))))
-    hits = F.filter(F.transform(pair, lambda p, i: F.when(p.isin(compounds or [""]), i)), lambda i: i.isNotNull())
-    start = F.struct(F.lit(-2).alias("last"), F.array().cast("array<int>").alias("stand"))
-    stand = F.aggregate(hits, start, lambda acc, i: F.when(i >= acc["last"] + 2, F.struct(i.alias("last"), F.concat(acc["stand"], F.array(i)).alias("stand"))).otherwise(acc), lambda acc: acc["stand"])
+    sizes = sorted({len(c.split(" ")) for c in compounds} - {1}, reverse=True)
+
+    def longest(x: Column, i: Column) -> Column:
+        out = F.lit(None).cast("int")
+        for n in reversed(sizes):
+            own = [c for c in compounds if c.count(" ") == n - 1]
+            first = x.isin(sorted({c.split(" ")[0] for c in own}))
+            text = F.concat_ws(" ", x, *[F.get("w", i + k) for k in range(1, n)])
+            out = F.when(first & text.isin(own), F.lit(n)).otherwise(out)
+        return F.when(out.isNotNull(), F.struct(i.alias("at"), out.alias("size")))
+
+    hits = F.filter(F.transform("w", longest), lambda h: h.isNotNull())
+    start = F.struct(F.lit(0).alias("free"), F.array().cast("array<struct<at:int,size:int>>").alias("stand"))
+    stand = F.aggregate(hits, start, lambda acc, h: F.when(h["at"] >= acc["free"], F.struct((h["at"] + h["size"]).alias("free"), F.concat(acc["stand"], F.array(h)).alias("stand"))).otherwise(acc), lambda acc: acc["stand"])
     single = rows.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    spots = rows.select("w", F.explode(stand).alias("i")).select(F.get("w", F.col("i")).alias("a"), F.get("w", F.col("i") + 1).alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
-    parts = F.array(*[F.struct(word.alias("word"), (F.col("n") * sign).alias("n")) for word, sign in ((F.col("a"), -1), (F.col("b"), -1), (F.concat_ws(" ", "a", "b"), 1))])
-    both = single.unionByName(spots.select(F.explode(parts).alias("p")).select("p.*"))
+    spots = rows.select("w", F.explode(stand).alias("h")).select(F.slice("w", F.col("h.at") + 1, F.col("h.size")).alias("parts")).groupBy("parts").agg(F.count("*").alias("n"))
+    less = F.transform("parts", lambda x: F.struct(x.alias("word"), (-F.col("n")).alias("n")))
+    both = single.unionByName(spots.select(F.explode(F.concat(less, F.array(F.struct(F.array_join("parts", " ").alias("word"), "n")))).alias("p")).select("p.*"))
     return both.groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
 
 
@@ -78,18 +88,34 @@ def window_totals(token_rows: DataFrame, listed: list[str], width: int) -> DataF
     return rows.groupBy("word").agg(F.sum(slots).cast("long").alias("n"))
 
 
-def context_vectors(documents: DataFrame, listed: list[str], width: int) -> DataFrame:
-    """doc_id, gpos, word, context: one row for each listed occurrence with the counts of the listed words in its window, ``n,word`` joined by bars."""
+def context_vectors(documents: DataFrame, listed: list[str], width: int, by: str = "word") -> DataFrame:
+    """doc_id, gpos, word, context: one row for each listed occurrence with the counts of the listed words in its window, ``n,word`` joined by bars.
+
+    ``by`` tells what is counted: the ``word``, the word and its part of speech (``pos``), or the word and its distance (``order``).
+    """
     near = F.transform(low_words(F.col("text")), lambda w, i: F.struct(i.alias("gpos"), w.alias("word")))
     rows = documents.select("doc_id", F.filter(near, lambda t: t["word"].isin(listed)).alias("t"))
     rows = rows.select("doc_id", F.posexplode("t").alias("i", "f"), "t")
     left = F.greatest(F.col("i") - width, F.lit(0))
     around = F.filter(F.slice("t", left + 1, F.lit(2 * width + 1)), lambda c: (F.abs(c["gpos"] - F.col("f.gpos")) <= width) & (c["gpos"] != F.col("f.gpos")))
-    rows = rows.select("doc_id", "f.gpos", "f.word", F.transform(around, lambda c: c["word"]).alias("w"))
+
+    def counted(c: Column) -> Column:
+        mark = {"word": None, "pos": rule_pos(c["word"]), "order": (c["gpos"] - F.col("f.gpos")).cast("string")}[by]
+        return c["word"] if mark is None else F.concat(c["word"], F.lit("-"), mark)
+
+    rows = rows.select("doc_id", "f.gpos", "f.word", F.transform(around, counted).alias("w"))
     counts = F.transform(F.array_sort(F.array_distinct("w")), lambda x: F.concat(F.size(F.filter("w", lambda y: y == x)).cast("string"), F.lit(","), x))
     return rows.select("doc_id", "gpos", "word", F.array_join(counts, "|").alias("context"))
 
 
+def path_contexts(found: DataFrame) -> DataFrame:
+    """doc_id, sent, src, word, context of the starts of dependency paths: the words at their ends with the last relation, counted as in context_vectors()."""
+    rows = found.groupBy("doc_id", "sent", "src", F.lower("word_a").alias("word"), F.concat(F.lower("word_b"), F.lit("-"), "last_rel").alias("other")).agg(F.count("*").alias("n"))
+    one = F.struct("other", F.concat(F.col("n").cast("string"), F.lit(","), "other").alias("text"))
+    rows = rows.groupBy("doc_id", "sent", "src", "word").agg(F.sort_array(F.collect_list(one)).alias("c"))  # a sentence's words at most
+    return rows.select("doc_id", "sent", "src", "word", F.array_join(F.col("c.text"), "|").alias("context"))
+
+
 def tag_occurrence(rows: DataFrame) -> DataFrame:
     return count_by(rows.select(F.explode("categories").alias("tag")), "tag")
 

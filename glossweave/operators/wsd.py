@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -9,7 +12,7 @@ from pyspark.sql import functions as F
 
 from glossweave.functions.text import low_words, rule_pos
 from glossweave.operators.ontology import tag_pos
-
+from glossweave.plans.scratch import checkpointed
 
 
 def candidates(senses: DataFrame) -> DataFrame:
@@ -62,64 +65,90 @@ def window_lesk(documents: DataFrame, senses: DataFrame, scores: DataFrame, lemm
     return scored.groupBy("doc_id", "gpos").agg(best).select("doc_id", "gpos", F.col("b.x").alias("id"))
 
 
-def rank_vector(links: list[tuple[int, int]], n: int, source: np.ndarray, weight: float, rounds: int = 30) -> np.ndarray:
+class Net:
+    """An ontology's directed links as arrays: built once, used for every sentence."""
+
+    def __init__(self, links: list[tuple[str, str]]):
+        self.names = list(dict.fromkeys(x for link in links for x in link))
+        self.ids = {s: k for k, s in enumerate(self.names)}
+        self.src, self.dst = (np.array([self.ids[link[k]] for link in links], dtype=np.int64) for k in (0, 1))
+        self.near: dict[str, list[str]] = {}
+        self.back: dict[str, list[str]] = {}
+        for a, b in dict.fromkeys(links):
+            self.near.setdefault(a, []).append(b)
+            self.back.setdefault(b, []).append(a)
+
+
+def rank_vector(src: np.ndarray, dst: np.ndarray, source: np.ndarray, weight: float, rounds: int = 30) -> np.ndarray:
     """Ranks after ``rounds`` rounds: links pass rank over the count of all links of their start to distinct ends; nodes that got some get their share of the source."""
-    deg = np.zeros(n)
-    for a, _ in links:
-        deg[a] += 1
-    once = sorted(set(links))
-    a, b = (np.array(x, dtype=int) for x in zip(*once)) if once else (np.zeros(0, int), np.zeros(0, int))
+    n = len(source)
+    degree = np.bincount(src, minlength=n)
+    a, b = np.unique(np.stack([src, dst]), axis=1) if len(src) else (src, dst)
     rank = source.copy()
     for _ in range(rounds):
-        new = np.bincount(b, weights=weight * rank[a] / deg[a], minlength=n) if len(a) else np.zeros(n)
+        new = np.bincount(b, weights=weight * rank[a] / degree[a], minlength=n)
         rank = np.where(new != 0, new + (1 - weight) * source, 0.0)
     return rank
 
 
-def search_paths(start: str, goals: set[str], near: dict[str, list[str]], depth: int) -> list[list[str]]:
-    """Simple paths of at most ``depth`` links from a start to a goal, by depth-first search that stops at goals."""
+def search_paths(start: str, goals: set[str], net: Net, far: dict[str, int], depth: int) -> list[list[str]]:
+    """Simple paths of at most ``depth`` links from a start to a goal, by depth-first search that stops at goals.
+
+    ``far`` tells how many links a node is from its nearest goal; walks that can't end in time are not followed.
+    """
     found, stack = [], [[start]]
     while stack:
         walk = stack.pop()
-        for nxt in near.get(walk[-1], []):
+        for nxt in net.near.get(walk[-1], []):
             if nxt in walk:
                 continue
             if nxt in goals:
                 found.append([*walk, nxt])
-            elif len(walk) < depth:
+            elif len(walk) + far.get(nxt, depth) <= depth:
                 stack.append([*walk, nxt])
     return found
 
 
-def connected_senses(words: list[tuple[int, list[str]]], near: dict[str, list[str]], depth: int = 5) -> set[tuple[str, str]]:
+def goal_distances(goals: set[str], net: Net, depth: int) -> dict[str, int]:
+    far, level = dict.fromkeys(goals, 0), goals
+    for d in range(1, depth + 1):
+        level = {x for s in level for x in net.back.get(s, []) if x not in far}
+        far.update(dict.fromkeys(level, d))
+    return far
+
+
+def connected_senses(words: list[tuple[int, list[str]]], net: Net, depth: int = 5) -> set[tuple[str, str]]:
     """Directed links of the subgraph on paths between the candidate senses of different words."""
     owner = {s: i for i, senses in words for s in senses}
     links: set[tuple[str, str]] = set()
     for i, senses in words:
+        goals = {g for g, j in owner.items() if j != i}
+        far = goal_distances(goals, net, depth)
         for s in senses:
-            for walk in search_paths(s, {g for g, j in owner.items() if j != i}, near, depth):
+            for walk in search_paths(s, goals, net, far, depth):
                 links.update(zip(walk, walk[1:]))
     return links
 
 
-def disambiguate_sentence(words: list[tuple[int, list[str]]], near: dict[str, list[str]], method: str) -> dict[int, str]:
+def disambiguate_sentence(words: list[tuple[int, list[str]]], near: Net | dict[str, list[str]], method: str) -> dict[int, str]:
     """Sense of each word (position, candidates) of a sentence; equal scores go to the later candidate.
 
     ``degree``: links in and out within the connecting subgraph; ``pagerank``: rank in that subgraph without
     directions; ``personal``: rank over the whole graph with the mass on the sentence's words.
     """
+    net = near if isinstance(near, Net) else Net([(a, b) for a, v in near.items() for b in v])
     if method == "personal":
-        ids = {s: k for k, s in enumerate(dict.fromkeys([*near, *(x for v in near.values() for x in v), *(x for _, v in words for x in v)]))}
-        links = [(ids[a], ids[b]) for a, v in near.items() for b in v]
-        n = len(ids) + len(words)
-        for k, (_, senses) in enumerate(words):
-            links += [(len(ids) + k, ids[s]) for s in senses]
-        source = np.zeros(n)
-        source[len(ids) :] = 1 / max(1, len(words))
-        rank = rank_vector(links, n, source, 0.85)
+        lone = list(dict.fromkeys(s for _, senses in words for s in senses if s not in net.ids))
+        ids = {**{s: net.ids[s] for _, senses in words for s in senses if s in net.ids}, **{s: len(net.names) + k for k, s in enumerate(lone)}}
+        first = len(net.names) + len(lone)
+        more = [(first + k, ids[s]) for k, (_, senses) in enumerate(words) for s in senses]
+        src, dst = (np.concatenate([x, np.array([link[k] for link in more], dtype=np.int64)]) for k, x in enumerate((net.src, net.dst)))
+        source = np.zeros(first + len(words))
+        source[first:] = 1 / max(1, len(words))
+        rank = rank_vector(src, dst, source, 0.85)
         score = {s: rank[k] for s, k in ids.items()}
     else:
-        graph = connected_senses(words, near)
+        graph = connected_senses(words, net)
         nodes = sorted({x for e in graph for x in e} | {x for _, v in words for x in v})
         ids = {s: k for k, s in enumerate(nodes)}
         if method == "degree":
@@ -129,38 +158,57 @@ def disambiguate_sentence(words: list[tuple[int, list[str]]], near: dict[str, li
                 score[b] += 1
         else:
             links = sorted({(ids[a], ids[b]) for a, b in graph} | {(ids[b], ids[a]) for a, b in graph})
-            rank = rank_vector(links, len(nodes), np.full(len(nodes), 1 / max(1, len(nodes))), 0.15)
+            src, dst = (np.array([x[k] for x in links], dtype=np.int64) for k in (0, 1))
+            rank = rank_vector(src, dst, np.full(len(nodes), 1 / max(1, len(nodes))), 0.15)
             score = {s: rank[k] for s, k in ids.items()}
     out = {}
     for i, senses in words:
         best = None
         for s in senses:
-            if best is None or score.get(s, 0.0) >= score.get(best, 0.0):
+            # ranks that differ by rounding alone are equal
+            if best is None or score.get(s, 0.0) >= score.get(best, 0.0) * (1 - 1e-9):
                 best = s
         if best is not None:
             out[i] = best
     return out
 
 
-def graph_senses(token_rows: DataFrame, senses: DataFrame, relation: DataFrame, method: str) -> DataFrame:
+def gloss_links(synset: DataFrame, senses: DataFrame) -> DataFrame:
+    """src, dst: from each synset (id, definition) to the senses of those of its definition's words that have one sense only."""
+    single = senses.groupBy("lemma").agg(F.count_distinct("id").alias("n"), F.min("id").alias("dst")).where("n = 1")
+    words = synset.select(F.col("id").alias("src"), F.explode(F.split(F.lower("definition"), r"\s+")).alias("lemma"))
+    return words.join(single, "lemma").where("src <> dst").select("src", "dst").distinct()
+
+
+#: Links of an ontology that go to every worker at most (some 100 bytes each).
+MOST_LINKS = 5_000_000
+
+
+def graph_senses(token_rows: DataFrame, senses: DataFrame, relation: DataFrame, method: str, synset: DataFrame | None = None) -> DataFrame:
     """doc_id, sent, tok, id by a graph method, sentence by sentence; the ontology's links go to every worker once.
 
-    ``relation`` must fit the driver; it is as large as the ontology.
+    With ``synset`` (id, definition) the graph also has gloss_links().  The links are counted first: an ontology of more than
+    MOST_LINKS is refused, since each worker needs the graph whole.
     """
-    near: dict[str, list[str]] = {}
-    for row in relation.select("src", "dst").collect():
-        near.setdefault(row.src, []).append(row.dst)
-    shared = relation.sparkSession.sparkContext.broadcast(near)
+    links = relation.select("src", "dst")
+    if synset is not None:
+        links = links.unionByName(gloss_links(synset, senses))
+    links = checkpointed(links)
+    if links.count() > MOST_LINKS:
+        raise ValueError(f"the graph has more than {MOST_LINKS} links")
+    shared = relation.sparkSession.sparkContext.broadcast(Net(sorted((r.src, r.dst) for r in links.collect())))
     rows = token_rows.select("doc_id", F.col("sent").cast("long").alias("sent"), F.col("tok").cast("long").alias("tok"), F.lower("word").alias("lemma"), F.coalesce(tag_pos(F.col("pos")), F.lit("x")).alias("tag"))
-    rows = rows.join(candidates(senses), ["lemma", "tag"]).select("doc_id", "sent", "tok", "id", "rank")
+    rows = rows.join(candidates(senses), ["lemma", "tag"]).groupBy("doc_id", "sent").agg(F.sort_array(F.collect_list(F.struct("tok", "rank", "id"))).alias("c"))  # a sentence
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["tok", "rank"])
-        words = [(tok, list(part["id"])) for tok, part in pdf.groupby("tok")]
-        got = disambiguate_sentence(words, shared.value, method)
-        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[0], "sent": pdf["sent"].iloc[0], "tok": list(got), "id": list(got.values())})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for doc, sent, found in zip(pdf["doc_id"], pdf["sent"], pdf["c"]):
+                words = [(tok, [x["id"] for x in part]) for tok, part in groupby(found, key=lambda x: x["tok"])]
+                out += [(doc, sent, tok, s) for tok, s in disambiguate_sentence(words, shared.value, method).items()]
+            yield pd.DataFrame(out, columns=["doc_id", "sent", "tok", "id"])
 
-    return rows.groupBy("doc_id", "sent").applyInPandas(run, "doc_id long, sent long, tok long, id string")
+    return rows.mapInPandas(run, "doc_id long, sent long, tok long, id string")
 
 
 def all_words_lines(token_rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -170,5 +218,3 @@ def all_words_lines(token_rows: DataFrame, found: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy("gpos")
     first = rows.withColumn("before", F.lag("id").over(order)).where("before is null or before <> id")
     return first.select("doc_id", F.concat_ws(" ", F.concat_ws(".", "doc_id", "gpos"), "id").alias("line"))
-
-

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossweave.functions.text import clean_term, sentences, space_tokens, word_spans, words
@@ -34,8 +34,11 @@ def _listed(spark: SparkSession, sf: str, n: int = LISTED) -> list[str]:
 
 def noun_paths(spark: SparkSession, sf: str) -> DataFrame:
     """Paths between nouns, whatever the words."""
-    noun = F.lower("pos").startswith("n")
-    return depend.word_paths(_tokens(spark, sf), noun, HOPS, noun)
+
+    def noun(x: Column) -> Column:
+        return F.lower(x["pos"]).startswith("n")
+
+    return depend.word_paths(depend.trees(_docs(spark, sf)), noun, HOPS, noun)
 
 
 def noun_pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -106,11 +109,18 @@ def compounds(spark, sf) -> list[str]:
 
 
 def relation_tuples(spark, sf):
-    return depend.relation_tuples(_tokens(spark, sf), F.lower("word").isin(_listed(spark, sf)))
+    listed = _listed(spark, sf)
+    return depend.relation_tuples(depend.trees(_docs(spark, sf)), lambda x: F.lower(x["word"]).isin(listed))
 
 
 def dep_cooc(spark, sf):
-    return depend.cooccurrence(depend.word_paths(_tokens(spark, sf), F.lit(True), 2))
+    return depend.cooccurrence(depend.word_paths(depend.trees(_docs(spark, sf)), lambda x: F.lit(True), 2))
+
+
+def dep_contexts(spark, sf):
+    listed = _listed(spark, sf, 40)
+    found = depend.word_paths(depend.trees(_docs(spark, sf)), lambda x: F.lower(x["word"]).isin(listed), 2)
+    return stats.path_contexts(found).select("doc_id", F.col("sent").cast("long").alias("sent"), F.col("src").cast("long").alias("src"), "word", "context")
 
 
 def wsd_agreement(spark, sf):
@@ -160,6 +170,9 @@ QUERIES = {
     "tag_word_stats": lambda s, d: stats.tag_words(_corpus(s, d)),
     "noun_pairs": noun_pairs,
     "wordsi_contexts": lambda s, d: stats.context_vectors(_docs(s, d), _listed(s, d, 40), WIDTH).withColumn("gpos", F.col("gpos").cast("long")),
+    "wordsi_contexts_pos": lambda s, d: stats.context_vectors(_docs(s, d), _listed(s, d, 40), WIDTH, "pos").withColumn("gpos", F.col("gpos").cast("long")),
+    "wordsi_contexts_order": lambda s, d: stats.context_vectors(_docs(s, d), _listed(s, d, 40), WIDTH, "order").withColumn("gpos", F.col("gpos").cast("long")),
+    "wordsi_contexts_dep": dep_contexts,
     "term_frequency": lambda s, d: stats.frequencies(stats.token_count(_docs(s, d))),
     "wsd_agreement": wsd_agreement,
     "cluster_sim_stats": cluster_sim_stats,
@@ -196,7 +209,7 @@ NEAR = f"""{TOK}, {listed()}, hits AS (SELECT doc_id, gpos, low, pos FROM toks W
 
 def paths_sql(hops: int, start: str, end: str) -> str:
     """Simple paths over undirected head edges, by recursion."""
-    return f"""{TOK}, {listed()}, edges AS (SELECT doc_id, sent, tok AS src, head - 1 AS dst, lower(pos) AS rel FROM toks WHERE head > 0
+    return f"""{TOK}, edges AS (SELECT doc_id, sent, tok AS src, head - 1 AS dst, lower(pos) AS rel FROM toks WHERE head > 0
       UNION ALL SELECT doc_id, sent, head - 1, tok, lower(pos) FROM toks WHERE head > 0),
     walk(doc_id, sent, src, dst, seen, path, last_rel, hops) AS (
       SELECT doc_id, sent, tok, tok, [tok], '', '', 0 FROM toks a WHERE {start}
@@ -207,10 +220,17 @@ def paths_sql(hops: int, start: str, end: str) -> str:
       WHERE w.hops > 0 AND {end})"""
 
 
-_IN = "a.low IN (FROM wl)", "b.low IN (FROM wl)"
-PAIRS = paths_sql(HOPS, f"{_IN[0]} AND a.pos LIKE 'N%'", f"{_IN[1]} AND b.pos LIKE 'N%'") + ", pairs AS (SELECT word_a AS noun1, word_b AS noun2, source, path, count(*) AS cnt FROM found GROUP BY ALL)"
+PAIRS = paths_sql(HOPS, "a.pos LIKE 'N%'", "b.pos LIKE 'N%'") + ", pairs AS (SELECT word_a AS noun1, word_b AS noun2, source, path, count(*) AS cnt FROM found GROUP BY ALL)"
 _CONLL = "concat_ws(chr(9), tok + 1, word, '_', pos, pos, '_', tok, lower(pos))"
 
+
+def _contexts(counted: str) -> str:
+    counted = counted.replace("low", "b.low").replace("pos", "b.pos") if "gpos" not in counted else counted.replace("low", "b.low")
+    return f"""WITH {TOK}, {listed(40)}, hits AS (SELECT doc_id, gpos, low, pos FROM toks WHERE low IN (FROM wl)),
+        c AS (SELECT a.doc_id, a.gpos, {counted} AS other, count(*) AS n FROM hits a JOIN hits b ON a.doc_id = b.doc_id AND b.gpos BETWEEN a.gpos - {WIDTH} AND a.gpos + {WIDTH} AND a.gpos <> b.gpos GROUP BY ALL)
+        SELECT h.doc_id, h.gpos, h.low AS word, coalesce(string_agg(n || ',' || c.other, '|' ORDER BY c.other), '') AS context FROM hits h LEFT JOIN c ON h.doc_id = c.doc_id AND h.gpos = c.gpos GROUP BY ALL"""
+
+
 ORACLES = {
     "token_count": f"WITH {COUNTED} SELECT word, n FROM counted",
     "scan_corpus": f"WITH {CORPUS} SELECT row_key, key, doc_id AS id, source AS source_corpus, length(title) AS title_chars, length(text) AS chars FROM corpus WHERE source = 'src3'",
@@ -245,16 +265,18 @@ ORACLES = {
     "cooc_window_ordered": f"WITH {NEAR} SELECT word, other || '-' || distance AS other, count(*) AS n FROM near GROUP BY ALL",
     "cooc_window_pos": f"WITH {NEAR} SELECT word || '-' || pos AS word, other || '-' || other_pos AS other, count(*) AS n FROM near GROUP BY ALL",
     "cooc_window_totals": f"WITH {TOK}, {listed()}, s AS (SELECT doc_id, count(*) AS len FROM toks GROUP BY doc_id) SELECT low AS word, CAST(sum(least(gpos, {WIDTH}) + least(len - 1 - gpos, {WIDTH})) AS BIGINT) AS n FROM toks JOIN s USING (doc_id) WHERE low IN (FROM wl) GROUP BY low",
-    "dep_cooc": f"WITH RECURSIVE {paths_sql(2, *_IN)} SELECT word_a AS word, word_b || '-' || last_rel AS other, count(*) AS n FROM found GROUP BY ALL",
+    "dep_cooc": f"WITH RECURSIVE {paths_sql(2, "true", "true")} SELECT word_a AS word, word_b || '-' || last_rel AS other, count(*) AS n FROM found GROUP BY ALL",
     "dep_path_count": f"WITH RECURSIVE {PAIRS} SELECT path, CAST(sum(cnt) AS BIGINT) AS n FROM pairs GROUP BY path",
     "relation_tuples": f"WITH {TOK}, {listed()} SELECT h.low AS head_word, lower(c.pos) AS rel, c.low AS dependent, count(*) AS n FROM toks h JOIN toks c ON h.doc_id = c.doc_id AND h.sent = c.sent AND c.head = h.tok + 1 WHERE c.head > 0 AND h.low IN (FROM wl) AND h.pos[1] IN ('N', 'V', 'J') GROUP BY ALL",
     "tag_occurrence": f"WITH {CORPUS} SELECT tag, count(*) AS n FROM (SELECT unnest(categories) AS tag FROM corpus) GROUP BY tag",
     "tag_network": f"WITH {CORPUS}, t AS (SELECT doc_id, unnest(categories) AS tag FROM corpus) SELECT a.tag AS tag_a, b.tag AS tag_b, count(*) AS n FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.tag < b.tag GROUP BY ALL",
     "tag_word_stats": f"WITH {CORPUS}, {TOK}, t AS (SELECT doc_id, unnest(categories) AS tag FROM corpus) SELECT tag, word, count(*) AS n FROM t JOIN toks USING (doc_id) GROUP BY ALL",
     "noun_pairs": f"WITH RECURSIVE {PAIRS} SELECT * FROM pairs",
-    "wordsi_contexts": f"""WITH {TOK}, {listed(40)}, hits AS (SELECT doc_id, gpos, low FROM toks WHERE low IN (FROM wl)),
-        c AS (SELECT a.doc_id, a.gpos, b.low, count(*) AS n FROM hits a JOIN hits b ON a.doc_id = b.doc_id AND b.gpos BETWEEN a.gpos - {WIDTH} AND a.gpos + {WIDTH} AND a.gpos <> b.gpos GROUP BY ALL)
-        SELECT h.doc_id, h.gpos, h.low AS word, coalesce(string_agg(n || ',' || c.low, '|' ORDER BY c.low), '') AS context FROM hits h LEFT JOIN c ON h.doc_id = c.doc_id AND h.gpos = c.gpos GROUP BY ALL""",
+    "wordsi_contexts": _contexts("low"),
+    "wordsi_contexts_pos": _contexts("low || '-' || pos"),
+    "wordsi_contexts_order": _contexts("low || '-' || (b.gpos - a.gpos)"),
+    "wordsi_contexts_dep": f"""WITH RECURSIVE {paths_sql(2, 'a.low IN (SELECT w FROM wl)', 'true').replace("), edges AS", f"), {listed(40)}, edges AS", 1)}, c AS (SELECT doc_id, sent, src, word_a AS word, word_b || '-' || last_rel AS other, count(*) AS n FROM found GROUP BY ALL)
+        SELECT doc_id, sent, src, word, string_agg(n || ',' || other, '|' ORDER BY other) AS context FROM c GROUP BY ALL""",
     "term_frequency": f"WITH {COUNTED} SELECT word, n, round(n / (SELECT sum(n) FROM counted), 12) AS frequency FROM counted",
     "wsd_agreement": f"""WITH {TOK}, v AS (SELECT 'a' AS model, concat_ws(' ', doc_id, gpos, pos) AS line FROM toks UNION ALL SELECT 'b', concat_ws(' ', doc_id, gpos, CASE WHEN regexp_matches(low, '(ing|ed)$') THEN 'VB' ELSE 'NN' END) FROM toks
         UNION ALL SELECT 'c', concat_ws(' ', doc_id, gpos, 'NN') FROM toks) SELECT line, count(DISTINCT model) AS models FROM v GROUP BY line HAVING count(DISTINCT model) = 2""",

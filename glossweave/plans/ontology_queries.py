@@ -16,7 +16,7 @@ from glossweave.plans.corpus_queries import PAIRS, TOK, WIDTH, _docs, _listed, _
 from glossweave.plans.scratch import checkpointed
 from glossweave.sources.corpus import table
 
-DEPTH, LEXICON_DEPTH, NOUN_DEPTH = 4, 12, 3
+DEPTH, LEXICON_DEPTH, NOUN_DEPTH, RANK_ROUNDS = 4, 12, 3, 30
 
 
 # --- tables -----------------------------------------------------------------------------------------------
@@ -53,7 +53,9 @@ def tax(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def lexicon(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    return onto.gloss_lexicon(spark, table(spark, sf, "benchmark").select("item_id", words(F.lower("text")).alias("words")))
+    """The lexicon's tables, each made once: queries use them many times."""
+    lex = onto.gloss_lexicon(spark, table(spark, sf, "benchmark").select("item_id", words(F.lower("text")).alias("words")))
+    return {**lex, **{k: checkpointed(lex[k]) for k in ("synset", "sense", "relation")}}
 
 
 def lexicon_closure(lex: dict[str, DataFrame]) -> DataFrame:
@@ -76,7 +78,7 @@ def evidence(spark: SparkSession, sf: str) -> DataFrame:
     pairs = noun_pairs(spark, sf).groupBy("noun1", "noun2").agg(F.sum("cnt").alias("cnt"))
     rows = pairs.join(sense.select(F.col("lemma").alias("noun1")).distinct(), "noun1", "left_anti")
     rows = rows.join(sense.where("pos = 'n' and number = 1").select(F.col("lemma").alias("noun2"), "id"), "noun2")
-    return rows.groupBy(F.col("noun1").alias("term"), "id").agg(F.sum("cnt").alias("n")).select("term", "id", (F.lit(0.9) * F.col("n") / (F.col("n") + 5)).alias("q"))
+    return checkpointed(rows.groupBy(F.col("noun1").alias("term"), "id").agg(F.sum("cnt").alias("n")).select("term", "id", (F.lit(0.9) * F.col("n") / (F.col("n") + 5)).alias("q")))
 
 
 def lexicon_paths(lex: dict[str, DataFrame]) -> DataFrame:
@@ -99,7 +101,7 @@ def phrases(spark, sf):
 
 def lookup_synsets(spark, sf):
     lex = lexicon(spark, sf)
-    return onto.lookup(phrases(spark, sf), lex["sense"], lex["exceptions"], "n").distinct()
+    return onto.lookup(checkpointed(phrases(spark, sf)), lex["sense"], lex["exceptions"], "n").distinct()
 
 
 def morphy_forms(spark, sf):
@@ -123,7 +125,7 @@ def merge_pairs(lex):
 
 def merge_synsets(spark, sf):
     lex = lexicon(spark, sf)
-    kept, moved = onto.merge_synsets(lex["synset"], lex["relation"], merge_pairs(lex))
+    kept, moved = onto.merge_synsets(lex["synset"].select("id", "pos", "definition"), lex["relation"], merge_pairs(lex))
     n = moved.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n_out"))
     return kept.join(n, "id", "left").select("id", "pos", "definition", F.coalesce("n_out", F.lit(0).cast("long")).alias("n_out"))
 
@@ -224,7 +226,7 @@ def lex_links(lex):
 
 def pagerank(spark, sf):
     rel = onto.with_inverse(taxonomy(spark, sf).select("src", F.lit("@").alias("rel"), "dst"))
-    return graph.pagerank(nodes(rel), rel, 0.85, 4).select("id", F.round("rank", 12).alias("rank"))
+    return graph.pagerank(nodes(rel), rel, 0.85, RANK_ROUNDS).select("id", F.round("rank", 12).alias("rank"))
 
 
 def lesk(kernel):
@@ -257,7 +259,7 @@ def term_order(spark, sf):
 
 def builder_score(spark, sf):
     lex = lexicon(spark, sf)
-    ev = checkpointed(evidence(spark, sf))
+    ev = evidence(spark, sf)
     assigned = learn.best(learn.attachments(ev, lexicon_paths(lex)))
     truth = ev.groupBy("term").agg(F.min("id").alias("id"))
     pairs = assigned.select("term", F.col("id").alias("y")).join(truth.select("term", F.col("id").alias("x")), "term").select("x", "y").distinct()
@@ -297,6 +299,15 @@ def trade_edges(spark, sf, year):
     return rows.select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).distinct()
 
 
+def held_out_parents(spark, sf):
+    """The lexicon's first lemmas of every fifth item as test nouns: what it knew of their parents."""
+    lex = lexicon(spark, sf)
+    terms = lex["lemma"].where("rank = 0 and pos = 'n' and item_id % 5 = 0").select("lemma")
+    truth, senses, relation = learn.held_out(lex["sense"], lex["relation"], terms)
+    left = senses.select(F.col("id").alias("parent")).distinct().withColumn("stays", F.lit(True))
+    return truth.join(left, "parent", "left").select("lemma", "parent", F.coalesce("stays", F.lit(False)).alias("stays"))
+
+
 def network_kappa(spark, sf):
     return graph.kappa(trade_edges(spark, sf, 1996), trade_edges(spark, sf, 1997), F.lit(25))
 
@@ -400,6 +411,7 @@ QUERIES = {
     "builder_score": builder_score,
     "snow_features": snow_features,
     "sense_pairs": lambda s, d: learn.sense_pairs(lexicon(s, d)["sense"]),
+    "held_out_parents": held_out_parents,
     "network_kappa": network_kappa,
     "network_confluence": network_confluence,
     "tag_synset_link": tag_synset_link,
@@ -483,10 +495,11 @@ _PR_STEP = "r{k} AS (SELECT o.dst AS id, sum(0.85 * r.rank / deg) + 0.15 / (SELE
 _MOVES = "mv AS (SELECT * FROM (VALUES (0,'u',1,0),(0,'d',3,0),(0,'s',2,0),(1,'u',1,0),(1,'d',4,1),(1,'s',2,1),(2,'s',2,0),(2,'d',4,1),(3,'d',4,0),(3,'s',5,1),(4,'d',4,0),(5,'s',5,0)) m(state, way, nxt, cost))"
 
 
-def _hso(links: str) -> str:
-    return f"""{_MOVES}, st AS (SELECT DISTINCT src, CASE rel WHEN '@' THEN 'u' ELSE 'd' END AS way, dst FROM {links}),
-      hw(x, y, state, turns, d) AS (SELECT DISTINCT src, src, 0, 0, 0 FROM {links} UNION SELECT x, st.dst, mv.nxt, turns + cost, d + 1 FROM hw JOIN st ON st.src = hw.y JOIN mv ON mv.state = hw.state AND mv.way = st.way WHERE d < 5),
-      hso AS (SELECT x, y, greatest(max(8 - d - turns), 0) / 8 AS score FROM hw WHERE d > 0 GROUP BY x, y)"""
+def _hso(links: str, starts: str | None = None, name: str = "") -> str:
+    starts = starts or f"SELECT DISTINCT src AS x FROM {links}"
+    return f"""st{name} AS (SELECT DISTINCT src, CASE rel WHEN '@' THEN 'u' ELSE 'd' END AS way, dst FROM {links}),
+      hw{name}(x, y, state, turns, d) AS (SELECT x, x, 0, 0, 0 FROM ({starts}) UNION SELECT x, st{name}.dst, mv.nxt, turns + cost, d + 1 FROM hw{name} hw JOIN st{name} ON st{name}.src = hw.y JOIN mv ON mv.state = hw.state AND mv.way = st{name}.way WHERE d < 5),
+      hso{name} AS (SELECT x, y, greatest(max(8 - d - turns), 0) / 8 AS score FROM hw{name} WHERE d > 0 GROUP BY x, y)"""
 
 
 def _edges(name: str, year: int) -> str:
@@ -549,13 +562,14 @@ ORACLES = {
     "sim_resnik": f"{T} SELECT x, y, round(resnik, 9) AS score FROM res",
     "sim_jcn": f"{T} SELECT x, y, round(CASE WHEN ic1 = -1 OR ic2 = -1 THEN 0 WHEN ic1 + ic2 - 2 * resnik = 0 THEN 1.7976931348623157e308 ELSE 1 / (ic1 + ic2 - 2 * resnik) END, 9) AS score FROM ics",
     "sim_lin": f"{T} SELECT x, y, round(CASE WHEN ic1 = -1 OR ic2 = -1 OR ic1 + ic2 = 0 THEN 0 ELSE 2 * resnik / (ic1 + ic2) END, 9) AS score FROM ics",
-    "sim_lesk": f"{L}, {_LESK} SELECT * FROM lesk",
+    "sim_lesk": f"{L}, {_LESK} SELECT * FROM lesk WHERE score > 0",
     "sim_ext_lesk": f"{L}, {_KERNEL} SELECT * FROM ext",
-    "sim_hso": f"WITH RECURSIVE {_TAX}, lk AS (SELECT src, '@' AS rel, dst FROM rel WHERE src[1] NOT IN ('c', 's') UNION SELECT dst, '~', src FROM rel WHERE src[1] NOT IN ('c', 's')), {_hso('lk')} SELECT * FROM hso",
+    "sim_hso": f"WITH RECURSIVE {_TAX}, lk AS (SELECT src, '@' AS rel, dst FROM rel WHERE src[1] NOT IN ('c', 's') UNION SELECT dst, '~', src FROM rel WHERE src[1] NOT IN ('c', 's')), {_MOVES}, {_hso('lk')}, "
+    + f"{_TRADED}, la AS (SELECT src, '@' AS rel, dst FROM rel UNION SELECT dst, '~', src FROM rel), {_hso('la', 'SELECT DISTINCT x FROM pairs', '2')} SELECT * FROM hso UNION ALL SELECT x, y, coalesce(score, 0) FROM pairs LEFT JOIN hso2 USING (x, y)",
     "info_content": f"{T} SELECT id, round(ic, 9) AS ic FROM ic",
     "pagerank": f"WITH RECURSIVE {_TAX}, both_d AS (SELECT src, '@' AS k, dst FROM rel UNION SELECT dst, '~', src FROM rel), outl AS (SELECT DISTINCT src, dst, count(*) OVER (PARTITION BY src) AS deg FROM both_d), r0 AS (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS rank FROM nodes), "
-    + ", ".join(_PR_STEP.format(k=k, j=k - 1) for k in range(1, 5))
-    + " SELECT id, round(coalesce(rank, 0), 12) AS rank FROM nodes LEFT JOIN r4 USING (id)",
+    + ", ".join(_PR_STEP.format(k=k, j=k - 1) for k in range(1, RANK_ROUNDS + 1))
+    + f" SELECT id, round(coalesce(rank, 0), 12) AS rank FROM nodes LEFT JOIN r{RANK_ROUNDS} USING (id)",
     "wsd_lesk": _wsd("lesk", _LESK),
     "wsd_ext_lesk": _wsd("ext", _KERNEL),
     "evidence_buckets": f"""WITH RECURSIVE {PAIRS}, {_LEX}, {_STATUS}, wl50 AS (SELECT low AS w FROM (SELECT DISTINCT doc_id, low FROM toks) GROUP BY low ORDER BY count(*) DESC, low LIMIT 50),
@@ -569,13 +583,15 @@ ORACLES = {
         sm AS (SELECT b.term, max(CASE WHEN x.anc IS NOT NULL THEN 1 / (x.dmin + y.dmin + 1) END) AS sim FROM best b JOIN tr USING (term) LEFT JOIN lclos x ON x.id = tr.id LEFT JOIN lclos y ON y.id = b.id AND y.anc = x.anc GROUP BY b.term)
         SELECT count(*) AS answered, round(sum(coalesce(sim, 0)), 6) AS total, round(avg(coalesce(sim, 0)), 6) AS average FROM sm""",
     "snow_features": f"""{L}, pairs AS (SELECT DISTINCT a.id AS x, b.id AS y FROM sense a JOIN sense b ON a.lemma = b.lemma AND a.pos = b.pos AND a.number < b.number),
-        {_MET.replace('clos', 'lclos')}, {_LEN}, {_LCS.replace('deep', 'ldeep')}, {_hso('both_ways')}, sc AS (SELECT a.id AS x, b.id AS y, max(n) AS n FROM (SELECT *, count(*) OVER (PARTITION BY lemma, pos) AS n FROM sense) a JOIN sense b USING (lemma) GROUP BY a.id, b.id),
+        {_MET.replace('clos', 'lclos')}, {_LEN}, {_LCS.replace('deep', 'ldeep')}, {_MOVES}, {_hso('both_ways')}, sc AS (SELECT a.id AS x, b.id AS y, max(n) AS n FROM (SELECT *, count(*) OVER (PARTITION BY lemma, pos) AS n FROM sense) a JOIN sense b USING (lemma) GROUP BY a.id, b.id),
         mx AS (SELECT max(max_depth) AS deep FROM ldeep)
         SELECT len.x, len.y, round(coalesce(hso.score, 0), 9) AS hso, round(CASE WHEN shortest < 0 THEN 0 ELSE 0 - ln((shortest + 1) / (2 * deep)) END / -ln(1 / (2 * deep)), 9) AS lch,
           round(CASE WHEN depth IS NULL THEN 0 ELSE 2 * (depth + 2) / (xmin + ymin + 2 * (depth + 2)) END, 9) AS wup, round(CASE WHEN shortest < 0 THEN 0 ELSE 1 / (shortest + 1) END, 9) AS path,
           coalesce(least(xmin, ymin), 0) AS mn, coalesce(least(xmax, ymax), 0) AS maxmn, coalesce(sc.n, 0) AS sensecount, (ix.item_id // 4 = iy.item_id // 4)::BIGINT AS class
         FROM len LEFT JOIN one USING (x, y) LEFT JOIN hso USING (x, y) LEFT JOIN sc USING (x, y) CROSS JOIN mx JOIN item ix ON ix.id = len.x JOIN item iy ON iy.id = len.y""",
     "sense_pairs": f"{L} SELECT a.lemma, a.pos, a.id AS x, b.id AS y FROM sense a JOIN sense b ON a.lemma = b.lemma AND a.pos = b.pos AND a.number < b.number",
+    "held_out_parents": f"""{L}, t AS (SELECT DISTINCT lemma FROM lem WHERE rank = 0 AND pos = 'n' AND item_id % 5 = 0), g AS (SELECT DISTINCT lemma, id FROM sense WHERE pos = 'n' AND lemma IN (FROM t))
+        SELECT DISTINCT g.lemma, r.dst AS parent, r.dst IN (SELECT id FROM sense WHERE id NOT IN (SELECT id FROM g)) AS stays FROM g JOIN lrel r ON r.src = g.id""",
     "network_kappa": f"WITH {_edges('e1', 1996)}, {_edges('e2', 1997)} {_kappa('e1', 'e2')}",
     "network_confluence": f"WITH {_edges('e1', 1996)}, {_edges('e2', 1997)}, {_confluent('f1', 'e1', 'e2')}, {_confluent('f2', 'e2', 'e1')} SELECT *, 'before' AS step FROM ({_kappa('e1', 'e2')}) UNION ALL SELECT *, 'after' FROM ({_kappa('f1', 'f2')})",
     "tag_synset_link": f"""WITH RECURSIVE {_LEX}, {TOK}, {listed()}, hits AS (SELECT doc_id, gpos, low FROM toks WHERE low IN (FROM wl) OR low IN (SELECT lemma FROM sense)),

