@@ -10,7 +10,6 @@ verified by the weighted Jaccard similarity of their shingles (shared counts ove
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -48,15 +47,20 @@ def simhash(hashes: Column) -> Column:
     Every sum adds several bits at a time, in lanes: four of 16 bits, or two of 32 bits for arrays that could fill the former.
     """
 
+    def shifted(x: Column, by: Column) -> Column:
+        return F.call_function("shiftrightunsigned", x, by)
+
     def in_lanes(width: int) -> Column:
-        lanes, mask = range(64 // width), (1 << width) - 1
-        ones = sum(1 << (width * lane) for lane in lanes)
-        sums = F.array(*[F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, x: acc + F.shiftrightunsigned(x, j).bitwiseAND(ones)) for j in range(width)])
+        ones, mask = sum(1 << at for at in range(0, 64, width)), (1 << width) - 1
+        zero = F.lit(0).cast("long")
+        sums = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: F.aggregate(hashes, zero, lambda acc, x: acc + shifted(x, j).bitwiseAND(ones)))
 
         def bits(s: Column) -> Column:
-            n = F.size(hashes)
-            spots = [F.when(F.shiftrightunsigned(s[j], width * lane).bitwiseAND(mask) * 2 > n, F.lit(_signed(1 << (width * lane + j)))).otherwise(F.lit(0).cast("long")) for j in range(width) for lane in lanes]
-            return reduce(lambda a, b: a.bitwiseOR(b), spots)
+            def more(acc: Column, b: Column) -> Column:
+                count = shifted(F.get(s, b % width), b - b % width).bitwiseAND(mask)
+                return acc.bitwiseOR(F.when(count * 2 > F.size(hashes), F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(zero))
+
+            return F.aggregate(F.sequence(F.lit(0), F.lit(63)), zero, more)
 
         return F.get(F.transform(F.array(sums), bits), F.lit(0))
 
@@ -84,7 +88,7 @@ def item_keys(fingerprint: Column) -> Column:
     def keys(k: int, at: int, width: int) -> Column:
         flips = [sum(1 << b for b in some) for n in range(FLIPS + 1) for some in combinations(range(width), n)]
         value = _block(fingerprint, at, width)
-        return F.transform(F.array(*[F.lit(x).cast("long") for x in flips]), lambda x: F.struct(F.lit(k).alias("block"), value.bitwiseXOR(x).alias("value")))
+        return F.transform(F.expr(f"array({', '.join(f'{x}L' for x in flips)})"), lambda x: F.struct(F.lit(k).alias("block"), value.bitwiseXOR(x).alias("value")))
 
     return F.flatten(F.array(*[keys(k, at, width) for k, (at, width) in enumerate(block_layout())]))
 
@@ -106,8 +110,8 @@ def _marked(docs: DataFrame, places: DataFrame) -> DataFrame:
     known = places.select("hash").distinct()
     few = known.limit(SET_LIMIT + 1).collect()  # at most SET_LIMIT + 1 numbers
     if len(few) <= SET_LIMIT:
-        values = [r.hash for r in few] or [0]
-        found = F.filter(F.transform("sh", lambda x, i: F.when(x.isin(values), F.struct(i.alias("pos"), x.alias("hash")))), lambda s: s.isNotNull())
+        values = ", ".join(f"{r.hash}L" if r.hash > -(1 << 63) else "bigint(-9223372036854775808)" for r in few) or "0L"
+        found = F.expr(f"filter(transform(sh, (x, i) -> if(x IN ({values}), named_struct('pos', i, 'hash', x), NULL)), s -> s IS NOT NULL)")  # parsed at once
         rows = rows.withColumn("hits", found).where(F.size("hits") > 0)
     else:
         rows = written(rows.withColumn("uid", F.monotonically_increasing_id()), "shingles")
@@ -136,6 +140,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFram
     index = own.select("item", F.size("item_sh").alias("size"), "item_fp", F.explode(item_keys(F.col("item_fp"))).alias("key")).select("item", "size", "item_fp", "key.block", "key.value")
     hamming = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
     near = keyed.join(index, ["size", "block", "value"]).where(hamming <= RADIUS).select("window", "item", hamming.alias("hamming")).distinct()
+    near = written(near, "near")
     near = near.join(windows.select("window", "doc_id", "start", "win_sh"), "window").join(own.select("item", "item_id", "item_sh"), "item")
     scores = weighted_jaccard(near, ["window", "item"], "win_sh", "item_sh").where(F.col("similarity") >= threshold)
     found = near.select("window", "item", "item_id", "doc_id", "start", F.size("win_sh").alias("n"), "hamming").join(scores, ["window", "item"])
