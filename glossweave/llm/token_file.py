@@ -20,7 +20,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import islice
+from itertools import accumulate, chain, pairwise
 from urllib.parse import urlparse
 
 import numpy as np
@@ -39,10 +39,16 @@ REMEMBERED = 250_000
 MET = 1 << 21
 #: A single space splits a text exactly unless white space is on both of its sides.
 WIDE_SPACE = re.compile(r"\s \s")
-WITH_SPACE = re.compile(r"[^\0]*?\s[^\0]*")
-#: A mark after letters is split off before merging, so that a word's ids serve with and without it.
+#: A line end between words splits it too, unless other white space is next to it or it is one of more than two.
+OTHER_SPACE = re.compile(r"[^\S \n]")
+BESIDE = ("  ", " \n", "\n ", "\n\n\n")
+WITH_SPACE = re.compile(r"\s")
+#: A chunk that begins with this one stands after a line end instead of a space.
+LINE = "\0"
+#: A word's ids come from the model alone; a mark after it is split off before merging, so they serve with and without it.
 MARKS = ".,"
-LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+LETTERS = [chr(c) for c in range(0x41, 0x100) if chr(c).isalpha() and chr(c) not in "ªµº"]
+WORD = re.compile(rf"{LINE}?[{''.join(LETTERS)}]+[{MARKS}]?").fullmatch
 
 _state: dict[str, tuple] = {}
 
@@ -61,38 +67,76 @@ def _coder(path: str) -> tuple:
         newline = tokenizer.encode("\n", add_special_tokens=False).ids
         pieces = [tokenizer.encode(x, add_special_tokens=False).ids for x in ("a", " b\n", " c,", " d.\n\ne  f")]
         # chunking needs a byte-level split that starts words at a space; else texts are encoded whole
-        exact = len(newline) == 1 and sum(pieces, []) == whole
+        exact = tokenizer.normalizer is None and len(newline) == 1 and sum(pieces, []) == whole
         _state[path] = (tokenizer, remember("token_file", {}), newline[0] if exact else None, bytearray(MET), special)
     return _state[path]
 
 
-def _learn(tokenizer, known: dict[str, bytes], fresh: set[str], newline: int) -> None:
-    """Encode chunks not met before, many joined by line ends to one call; a line end is one id and splits words."""
-    odd = set(WITH_SPACE.findall("\0".join(fresh)))
-    odd.add("")
-    odd.intersection_update(fresh)
-    plain = fresh - odd
-    marked = [(x, x[:-1]) for x in plain if x[-1] in MARKS and LETTERS(x, 0, len(x) - 1)]
-    plain.difference_update([x for x, _ in marked])
-    plain.update([stem for _, stem in marked if stem not in known])
-    words = list(plain)
-    joined = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
-    for part, got in zip(joined, tokenizer.encode_batch_fast(["\n".join([" " + x for x in p]) for p in joined], add_special_tokens=False)):
+def _spelling(tokenizer) -> dict[int, str]:
+    """How the model spells the letters of words, by the tokenizer's own splitting; empty if it doesn't keep words whole."""
+    split = tokenizer.pre_tokenizer
+    if split is None or len(split.pre_tokenize_str(" " + "".join(LETTERS))) != 1:
+        return {}
+    return {ord(c): split.pre_tokenize_str(c)[0][0] for c in [" ", *LETTERS]}
+
+
+def _packed(got: list[list[int]]) -> list[bytes]:
+    raw = np.fromiter(chain.from_iterable(got), dtype="<u4").tobytes()
+    ends = list(accumulate(map(len, got), initial=0))
+    return [raw[4 * x : 4 * y] for x, y in pairwise(ends)]
+
+
+def _learn(tokenizer, known: dict[str, bytes], fresh: set[str], newline: int) -> dict[str, bytes]:
+    """Ids of chunks that aren't known and of their words: words by the model, the others joined by line ends to one call; a line end is one id and splits words."""
+    line = np.array([newline], dtype="<u4").tobytes()
+    spelling = _spelling(tokenizer)
+    words, marked, plain, odd = [], [], [], []
+    new: dict[str, bytes] = {}
+    for x in fresh:
+        if spelling and WORD(x):
+            if x[-1] in MARKS:
+                marked.append(x)
+                x = x[:-1]
+                if x in fresh or x in new or x in known:
+                    continue
+                new[x] = b""
+            words.append(x)
+        elif x in ("", LINE) or WITH_SPACE.search(x):
+            odd.append(x)
+        else:
+            plain.append(x)
+    merge = tokenizer.model.tokenize
+    spelt = [(x[1:] if x[0] == LINE else " " + x).translate(spelling) for x in words]
+    for x, got in zip(words, _packed([[t.id for t in merge(y)] for y in spelt])):
+        new[x] = line + got if x[0] == LINE else got
+    joined = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
+    for part, got in zip(joined, tokenizer.encode_batch_fast(["\n".join([x[1:] if x[0] == LINE else " " + x for x in p]) for p in joined], add_special_tokens=False)):
         ids = np.array(got.ids, dtype="<u4")
         ends = np.flatnonzero(ids == newline).tolist()
         if len(ends) != len(part) - 1:
-            odd.update(part)
+            odd.extend(part)
             continue
         raw, begin = ids.tobytes(), 0
         ends.append(len(ids))
         for chunk, end in zip(part, ends):
-            known[chunk] = raw[4 * begin : 4 * end]
+            new[chunk] = line * (chunk[0] == LINE) + raw[4 * begin : 4 * end]
             begin = end + 1
-    rest = list(odd)
-    for chunk, got in zip(rest, tokenizer.encode_batch_fast([" " + x for x in rest], add_special_tokens=False)):
-        known[chunk] = np.array(got.ids, dtype="<u4").tobytes()
-    mark = {c: np.array(tokenizer.encode(c, add_special_tokens=False).ids, dtype="<u4").tobytes() for c in MARKS}
-    known.update([(x, known[stem] + mark[x[-1]]) for x, stem in marked])
+    whole = ["\n" + x[1:] if x[:1] == LINE else " " + x for x in odd]
+    for chunk, got in zip(odd, tokenizer.encode_batch_fast(whole, add_special_tokens=False)):
+        new[chunk] = np.array(got.ids, dtype="<u4").tobytes()
+    mark_ids = {c: np.array(tokenizer.encode(c, add_special_tokens=False).ids, dtype="<u4").tobytes() for c in MARKS}
+    for x in marked:
+        new[x] = (known.get(x[:-1]) or new[x[:-1]]) + mark_ids[x[-1]]
+    return new
+
+
+def _chunks(text: str) -> list[str] | None:
+    """What spaces and, as LINE, line ends divide ``text`` into; None if white space doesn't divide it exactly."""
+    if LINE in text:
+        return None
+    if not (any(x in text for x in BESIDE) or text.endswith("\n\n") or OTHER_SPACE.search(text)):
+        return text.replace("\n", " " + LINE).split(" ")
+    return None if WIDE_SPACE.search(text) else text.split(" ")
 
 
 def encode_texts(path: str, texts: list[str]) -> list[bytes]:
@@ -101,31 +145,32 @@ def encode_texts(path: str, texts: list[str]) -> list[bytes]:
     out: list[bytes | None] = [None] * len(texts)
     split: list[tuple[int, str, list[str]]] = []
     for i, text in enumerate(texts):
-        if newline is None or WIDE_SPACE.search(text) or any(x in text for x in special):
+        chunks = None if newline is None or any(x in text for x in special) else _chunks(text)
+        if chunks is None:
             out[i] = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
         else:
-            first, *rest = text.split(" ")
+            first, *rest = chunks
             split.append((i, first, rest))
     if not split:
         return out
     got = [list(map(known.get, rest)) for _, _, rest in split]
-    missed = [k for k, ids in enumerate(got) if None in ids]
-    fresh = {x for k in missed for x, ids in zip(split[k][2], got[k]) if ids is None}
-    room, old = REMEMBERED - len(known), len(known)
-    if fresh:
-        _learn(tokenizer, known, fresh, newline)
+    missed = [[j for j, ids in enumerate(row) if ids is None] for row in got]
+    fresh = {rest[j] for (_, _, rest), gaps in zip(split, missed) for j in gaps}
+    new = _learn(tokenizer, known, fresh, newline) if fresh else {}
     heads = tokenizer.encode_batch_fast([first for _, first, _ in split], add_special_tokens=False)
-    for k in missed:
-        got[k] = map(known.__getitem__, split[k][2])
+    for (_, _, rest), row, gaps in zip(split, got, missed):
+        for j in gaps:
+            row[j] = new[rest[j]]
     for (i, _, _), ids, head in zip(split, got, heads):
         out[i] = np.array(head.ids, dtype="<u4").tobytes() + b"".join(ids)
-    for x in list(islice(reversed(known), len(known) - old)):  # those just learned are the last in the table
+    room = REMEMBERED - len(known)
+    for x, ids in new.items() if room > 0 else ():
         slot = hash(x) & (MET - 1)
-        if met[slot] and room > 0:
-            room -= 1
-        else:
+        if not met[slot]:
             met[slot] = 1
-            del known[x]
+        elif room > 0:
+            room -= 1
+            known[x] = ids
     return out
 
 
@@ -200,7 +245,7 @@ def read_shard(uri: str, ranked: np.ndarray) -> Iterator[tuple[int, int, np.ndar
         before, c, d = before + k, c + a, d + b
 
 
-def _batches(texts: list, chars: int = 1 << 20) -> Iterator[slice]:
+def _batches(texts: list, chars: int = 1 << 21) -> Iterator[slice]:
     """Runs of texts of about so many characters."""
     begin = held = 0
     for i, text in enumerate(texts):

@@ -9,7 +9,7 @@ from glossweave.llm import sp_tokenizers, token_file
 from glossweave.llm.queries import tokenizer_path
 
 BPE, PIECES = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
-HARD = ["", " ", "  ", "a", " a", "a ", "a  b", "a\nb", "a \n b", "x\n \ny", "\n", "\t x", "a, b.", "don't we'll 's", "w. w, w", "日本 🏽", "a\x00b", "<|endoftext|>", "▁a ▁", "x y z", "é é", "x\r\n y", "12 3.4,", "."]
+HARD = ["", " ", "  ", "a", " a", "a ", "a  b", "a\nb", "a \n b", "x\n \ny", "\n", "\t x", "a, b.", "don't we'll 's", "w. w, w", "日本 🏽", "a\x00b", "<|endoftext|>", "▁a ▁", "x y z", "é é", "x\r\n y", "12 3.4,", ".", "a\n\nb", "a\n\n\nb", "a\n\n", "Zé.\nThe the.\nthe,", "a\n###\n's", "µx ºx ×\nÿ"]
 
 
 @pytest.fixture(scope="module")
