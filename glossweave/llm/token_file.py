@@ -35,6 +35,8 @@ MAGIC, VERSION = b"GWTF", 1
 JOINED = 48
 #: Chunks that a worker remembers at most; a chunk is remembered from the second batch that has it.
 REMEMBERED = 250_000
+#: Ids of a shard that are decoded at once, by whole documents.
+BLOCK = 1 << 18
 #: Slots, a power of two, that tell whether a chunk was met before.
 MET = 1 << 21
 #: A single space splits a text exactly unless white space is on both of its sides.
@@ -190,11 +192,17 @@ def vbyte_encode(ranks: np.ndarray) -> tuple[bytes, bytes]:
 LENGTHS = np.stack([(np.arange(256) >> s & 3) + 1 for s in (0, 2, 4, 6)], axis=1).astype(np.int64)
 
 
-def vbyte_decode(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The uint32 array back: lengths by table lookup, then one gather for each byte position."""
-    if not n:
+def vbyte_decode(control: bytes, data: bytes, *counts: int) -> np.ndarray:
+    """The uint32 arrays of so many ids each, one after the other: lengths by table lookup, then one gather for each byte position."""
+    n = np.array(counts, dtype=np.int64)
+    if not n.any():
         return np.zeros(0, dtype="<u4")
-    size = LENGTHS[np.frombuffer(control, dtype=np.uint8)].ravel()[:n]
+    size = LENGTHS[np.frombuffer(control, dtype=np.uint8)].ravel()
+    padding, ends = -n % 4, np.cumsum(n + -n % 4)
+    kept = np.ones(len(size), dtype=bool)
+    for k in (1, 2, 3):
+        kept[ends[padding >= k] - k] = False
+    size = size[kept]
     at = np.cumsum(size) - size
     raw = np.frombuffer(data, dtype=np.uint8).astype(np.uint32)
     raw = np.concatenate([raw, np.zeros(3, dtype=np.uint32)])
@@ -240,9 +248,18 @@ def read_shard(uri: str, ranked: np.ndarray) -> Iterator[tuple[int, int, np.ndar
     count, control, data = (np.frombuffer(raw[at + 4 * n * k : at + 4 * n * (k + 1)], dtype="<u4").tolist() for k in range(3))
     c = at + 12 * n
     d = c + sum(control)
-    for doc, k, a, b in zip(ids, count, control, data):
-        yield doc, before, ranked[vbyte_decode(raw[c : c + a], raw[d : d + b], k)]
-        before, c, d = before + k, c + a, d + b
+    begin = 0
+    while begin < n:
+        end, held = begin, 0
+        while end < n and held < BLOCK:
+            held += count[end]
+            end += 1
+        a, b = sum(control[begin:end]), sum(data[begin:end])
+        got, at = ranked[vbyte_decode(raw[c : c + a], raw[d : d + b], *count[begin:end])], 0
+        for doc, k in zip(ids[begin:end], count[begin:end]):
+            yield doc, before, got[at : at + k]
+            before, at = before + k, at + k
+        begin, c, d = end, c + a, d + b
 
 
 def _batches(texts: list, chars: int = 1 << 21) -> Iterator[slice]:
@@ -303,7 +320,7 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int
     the vocabulary, the driver sees one count a shard.
     """
     spark = docs.sparkSession
-    encoded = written(encode(docs, tokenizer, end_id), "token-ids")
+    encoded = written(encode(docs, tokenizer, end_id), "token-ids", codec="zstd")
     counts = id_counts(encoded).toPandas().sort_values(["n", "id"], ascending=[False, True])
     ranked = counts["id"].to_numpy(dtype="<u4")
     rank = np.zeros(int(ranked.max()) + 1 if len(ranked) else 1, dtype="<u4")

@@ -53,6 +53,22 @@ def test_vbyte_round_trip(values):
     assert len(control) == -(-len(ids) // 4)
 
 
+@given(st.lists(st.lists(st.integers(0, 2**32 - 1), max_size=9), max_size=6))
+def test_vbyte_round_trip_of_documents(docs):
+    parts = [token_file.vbyte_encode(np.array(x, dtype="<u4")) for x in docs]
+    got = token_file.vbyte_decode(b"".join(c for c, _ in parts), b"".join(d for _, d in parts), *map(len, docs))
+    assert got.tolist() == sum(docs, [])
+
+
+@pytest.mark.parametrize("block", [1, 5, 1 << 18])
+def test_shards_are_read_in_blocks(tmp_path, monkeypatch, block):
+    monkeypatch.setattr(token_file, "BLOCK", block)
+    docs = [(7, [1, 2, 300]), (8, []), (9, [4] * 7), (9, [0])]
+    token_file.write_shard(f"{tmp_path}/s", 11, [(i, len(x), *token_file.vbyte_encode(np.array(x, dtype="<u4"))) for i, x in docs])
+    got = [(i, before, x.tolist()) for i, before, x in token_file.read_shard(f"{tmp_path}/s", np.arange(400, dtype="<u4"))]
+    assert got == [(7, 11, [1, 2, 300]), (8, 14, []), (9, 14, [4] * 7), (9, 21, [0])]
+
+
 def test_files_round_trip(odd, library):
     got = sorted([tuple(r) for r in token_file.token_file_digests(odd.repartition(3), BPE).collect()], key=lambda r: r[1])
     rows = sorted([(r.doc_id, r.text or "") for r in odd.collect()], key=lambda r: (r[0] is not None, r[0] or 0))
