@@ -318,27 +318,33 @@ def verify(groups: DataFrame, sets: DataFrame, threshold: float, pairs: bool = F
 def components(links: DataFrame) -> DataFrame:
     """key, root of every linked key: the smallest key that links lead to.
 
-    Each round hands every key the smallest root next to it and then the root of that root, until nothing changes.
+    Each round ties every key to the smallest key next to it, or to what that one is tied to, and puts it in the key's place:
+    links within a tree vanish, so rounds have ever fewer keys and links.  The rounds' ties, last to first, give the roots.
     """
-    edges = written(links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b"), "edges")
-    n = edges.count()
-    few = n <= FEW_EDGES  # no more keys than edges, so the tables of roots may then be broadcast
-
-    def small(df: DataFrame) -> DataFrame:
-        return written(df.coalesce(1 + n // 250_000) if few else df, "roots")
-
-    def side(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if few else df
-
-    roots = small(edges.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("least")).select("key", F.least("key", "least").alias("root")))
-    while True:
-        near = edges.join(side(roots.select(F.col("key").alias("b"), "root")), "b").groupBy("a").agg(F.min("root").alias("near"))
-        hop = near.join(side(roots.select(F.col("key").alias("a"), F.col("root").alias("old"))), "a").select("a", "old", F.least("old", "near").alias("mid"))
-        step = small(hop.join(side(roots.select(F.col("key").alias("mid"), F.col("root").alias("jump"))), "mid").select(F.col("a").alias("key"), "old", F.least("mid", "jump").alias("root")))
-        moved = step.where("old != root").limit(1).count()
-        roots = step.select("key", "root")
-        if not moved:
-            return roots
+
+    def united(df: DataFrame) -> DataFrame:
+        return written(df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+
+    edges, ties = united(links), []
+    while n := edges.count():
+        few = 2 * n <= FEW_EDGES  # a link has two keys at most, so the tables of ties may then be broadcast
+        ends = edges.select(F.explode(F.array(F.struct(F.col("b").alias("key"), "a"), F.struct(F.col("a").alias("key"), "a"))).alias("e"))
+        near = ends.groupBy("e.key").agg(F.min("e.a").alias("near"))
+        step = near.join(_side(near.select(F.col("key").alias("near"), F.col("near").alias("root")), few), "near").select("key", "root")
+        tie = written(step.coalesce(1 + n // 125_000) if few else step, "ties")
+        ties.append((tie, few))
+        for end in ("a", "b"):
+            edges = edges.join(_side(tie.select(F.col("key").alias(end), F.col("root").alias("tied")), few), end).withColumn(end, F.col("tied")).select("a", "b")
+        edges = united(edges)
+    roots = edges.select(F.col("a").alias("key"), F.col("b").alias("root"))
+    for tie, few in reversed(ties):  # a later round has no more keys than this one
+        last = _side(roots.select(F.col("key").alias("root"), F.col("root").alias("last")), few)
+        roots = written(tie.join(last, "root", "left").select("key", F.coalesce("last", "root").alias("root")), "roots")
+    return roots
+
+
+def _side(df: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(df) if few else df
 
 
 def similarity_join(docs: DataFrame, threshold: float = 0.8, pairs: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:

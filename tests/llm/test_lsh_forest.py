@@ -121,6 +121,32 @@ def test_rows_grow_with_a_group_and_not_with_its_pairs(spark, monkeypatch):
     assert counts[1] <= 2.1 * counts[0] and counts[2] <= 2.1 * counts[1]
 
 
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_rounds_of_components_shrink(spark, monkeypatch, few):
+    """Roots as by hand, and tables of all rounds together no larger than a few times the links: a path, a star around its largest key, doubled and looped links."""
+    monkeypatch.setattr(lsh_forest, "FEW_EDGES", few)
+    rng = random.Random(8)
+    keys = [rng.randbytes(16) for _ in range(300)]
+    star = sorted(rng.randbytes(16) for _ in range(80))
+    links = [*zip(keys, keys[1:]), *((x, star[-1]) for x in star[:-1]), (keys[1], keys[0]), (keys[0], keys[1]), (keys[5], keys[5])]
+    plain, made = lsh_forest.written, []
+
+    def seen(df, name):
+        out = plain(df, name)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(lsh_forest, "written", seen)
+    got = {bytes(r.key): bytes(r.root) for r in lsh_forest.components(spark.createDataFrame(links, "a binary, b binary")).collect()}
+    assert got == {**dict.fromkeys(keys, min(keys)), **dict.fromkeys(star, star[0])}
+    assert sum(made) <= 6 * len(links)
+
+
+def test_no_links_have_no_components(spark):
+    got = lsh_forest.components(spark.createDataFrame([], "a binary, b binary"))
+    assert got.columns == ["key", "root"] and got.count() == 0
+
+
 def test_empty_table(none):
     assert lsh_forest.near_duplicates(none).count() == 0
 
