@@ -15,16 +15,20 @@ one of a document is padded with zero bits.  The rank table is a file of its own
 
 from __future__ import annotations
 
+import codecs
+import gc
 import os
 import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate, chain, pairwise
+from contextlib import contextmanager
+from itertools import pairwise
 from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +37,8 @@ from glossweave.llm.common import claim, remember, scratch_path, written
 MAGIC, VERSION = b"GWTF", 1
 #: Ids in a batch's text that are encoded by the library in one call.
 JOINED = 48
+#: Words that the model merges in one call.
+MERGED = 512
 #: Chunks that a worker remembers at most; a chunk is remembered from the second batch that has it.
 REMEMBERED = 250_000
 #: Ids of a shard that are decoded at once, by whole documents.
@@ -42,7 +48,7 @@ MET = 1 << 21
 #: A single space splits a text exactly unless white space is on both of its sides.
 WIDE_SPACE = re.compile(r"\s \s")
 #: A line end between words splits it too, unless other white space is next to it or it is one of more than two.
-OTHER_SPACE = re.compile(r"[^\S \n]")
+OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 BESIDE = ("  ", " \n", "\n ", "\n\n\n")
 WITH_SPACE = re.compile(r"\s")
 #: A chunk that begins with this one stands after a line end instead of a space.
@@ -74,18 +80,37 @@ def _coder(path: str) -> tuple:
     return _state[path]
 
 
-def _spelling(tokenizer) -> dict[int, str]:
-    """How the model spells the letters of words, by the tokenizer's own splitting; empty if it doesn't keep words whole."""
-    split = tokenizer.pre_tokenizer
-    if split is None or len(split.pre_tokenize_str(" " + "".join(LETTERS))) != 1:
-        return {}
-    return {ord(c): split.pre_tokenize_str(c)[0][0] for c in [" ", *LETTERS]}
-
-
-def _packed(got: list[list[int]]) -> list[bytes]:
-    raw = np.fromiter(chain.from_iterable(got), dtype="<u4").tobytes()
-    ends = list(accumulate(map(len, got), initial=0))
-    return [raw[4 * x : 4 * y] for x, y in pairwise(ends)]
+def _spelling(tokenizer) -> str:
+    """How the model spells each byte of words and line ends, a table for the charmap codec; empty if the tokenizer's own splitting doesn't keep words whole."""
+    split, letters = tokenizer.pre_tokenizer, " " + "".join(LETTERS)
+    whole = split.pre_tokenize_str(letters) if split is not None else []
+    line = split.pre_tokenize_str("\n") if split is not None else []
+    if len(whole) != 1 or len(line) != 1 or len(line[0][0]) != 1:
+        return ""
+    table = dict(zip(letters.encode(), whole[0][0])) | {ord("\n"): line[0][0]}
+    spelling = "".join(table.get(b, "\ufffe") for b in range(256))  # U+FFFE: no such byte
+    return spelling if codecs.charmap_decode(letters.encode(), "strict", spelling)[0] == whole[0][0] else ""
+
+
+def _merged(tokenizer, newline: int, spelling: str, words: list[str]) -> list[bytes]:
+    """The ids of words, by the model alone: line ends join them to few calls and part their ids."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    mark = spelling[ord("\n")]
+    model = Tokenizer(tokenizer.model)
+    model.pre_tokenizer = pre_tokenizers.Split(mark, "isolated")
+    parts = [words[i : i + MERGED] for i in range(0, len(words), MERGED)]
+    spelt = [codecs.charmap_decode("\n".join(p).encode(), "strict", spelling)[0] for p in parts]
+    out: list[bytes] = []
+    for part, got in zip(spelt, model.encode_batch_fast(spelt, add_special_tokens=False)):
+        ids = np.array(got.ids, dtype="<u4")
+        ends = np.flatnonzero(ids == newline)
+        if len(ends) != part.count(mark):
+            out += [np.array([t.id for t in model.model.tokenize(x)], dtype="<u4").tobytes() for x in part.split(mark)]
+            continue
+        raw = ids.tobytes()
+        out += [raw[x + 4 : y] for x, y in pairwise([-4, *(4 * ends).tolist(), len(raw)])]
+    return out
 
 
 def _learn(tokenizer, known: dict[str, bytes], fresh: set[str], newline: int) -> dict[str, bytes]:
@@ -107,9 +132,7 @@ def _learn(tokenizer, known: dict[str, bytes], fresh: set[str], newline: int) ->
             odd.append(x)
         else:
             plain.append(x)
-    merge = tokenizer.model.tokenize
-    spelt = [(x[1:] if x[0] == LINE else " " + x).translate(spelling) for x in words]
-    for x, got in zip(words, _packed([[t.id for t in merge(y)] for y in spelt])):
+    for x, got in zip(words, _merged(tokenizer, newline, spelling, [x[1:] if x[0] == LINE else " " + x for x in words])):
         new[x] = line + got if x[0] == LINE else got
     joined = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
     for part, got in zip(joined, tokenizer.encode_batch_fast(["\n".join([x[1:] if x[0] == LINE else " " + x for x in p]) for p in joined], add_special_tokens=False)):
@@ -132,39 +155,68 @@ def _learn(tokenizer, known: dict[str, bytes], fresh: set[str], newline: int) ->
     return new
 
 
-def _chunks(text: str) -> list[str] | None:
-    """What spaces and, as LINE, line ends divide ``text`` into; None if white space doesn't divide it exactly."""
+def _parted(text: str) -> str | None:
+    """``text`` with a space before every chunk but the first, line ends turned to `` LINE``; None if white space doesn't divide it exactly."""
     if LINE in text:
         return None
-    if not (any(x in text for x in BESIDE) or text.endswith("\n\n") or OTHER_SPACE.search(text)):
-        return text.replace("\n", " " + LINE).split(" ")
-    return None if WIDE_SPACE.search(text) else text.split(" ")
+    if not (any(x in text for x in BESIDE) or text.endswith("\n\n") or any(map(text.__contains__, OTHER_SPACE))):
+        return text.replace("\n", " " + LINE)
+    return None if WIDE_SPACE.search(text) else text
 
 
+@contextmanager
+def _no_collection():
+    """Millions of strings live for a batch and form no cycles: the collector would walk their lists again and again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
+@_no_collection()
 def encode_texts(path: str, texts: list[str]) -> list[bytes]:
-    """Each text's ids as little-endian uint32, the same as the library gives for the whole text."""
+    """Each text's ids as little-endian uint32, the same as the library gives for the whole text.
+
+    Every distinct chunk of ``texts`` is looked up once, and one gather lays out the ids of all chunks.
+    """
     tokenizer, known, newline, met, special = _coder(path)
     out: list[bytes | None] = [None] * len(texts)
-    split: list[tuple[int, str, list[str]]] = []
+    heads: list[tuple[int, str]] = []
+    rest: list[tuple[int, str]] = []
     for i, text in enumerate(texts):
-        chunks = None if newline is None or any(x in text for x in special) else _chunks(text)
-        if chunks is None:
+        parted = None if newline is None or any(x in text for x in special) else _parted(text)
+        if parted is None:
             out[i] = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
         else:
-            first, *rest = chunks
-            split.append((i, first, rest))
-    if not split:
+            head, space, tail = parted.partition(" ")
+            heads.append((i, head))
+            if space:
+                rest.append((i, tail))
+    for (i, _), got in zip(heads, tokenizer.encode_batch_fast([x for _, x in heads], add_special_tokens=False)):
+        out[i] = np.array(got.ids, dtype="<u4").tobytes()
+    if not rest:
         return out
-    got = [list(map(known.get, rest)) for _, _, rest in split]
-    missed = [[j for j, ids in enumerate(row) if ids is None] for row in got]
-    fresh = {rest[j] for (_, _, rest), gaps in zip(split, missed) for j in gaps}
-    new = _learn(tokenizer, known, fresh, newline) if fresh else {}
-    heads = tokenizer.encode_batch_fast([first for _, first, _ in split], add_special_tokens=False)
-    for (_, _, rest), row, gaps in zip(split, got, missed):
-        for j in gaps:
-            row[j] = new[rest[j]]
-    for (i, _, _), ids, head in zip(split, got, heads):
-        out[i] = np.array(head.ids, dtype="<u4").tobytes() + b"".join(ids)
+    lists = pc.split_pattern(pa.array([x for _, x in rest], pa.large_string()), " ")
+    coded = lists.values.dictionary_encode()
+    # no chunk holds a space, so one string brings all distinct ones over
+    chunks = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), pa.scalar(" ", pa.large_string()))[0].as_py().split(" ")
+    ids = list(map(known.get, chunks))
+    missed = [k for k, x in enumerate(ids) if x is None]
+    new = _learn(tokenizer, known, {chunks[k] for k in missed}, newline) if missed else {}
+    for k in missed:
+        ids[k] = new[chunks[k]]
+    sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+    flat, starts = np.frombuffer(b"".join(ids), dtype="<u4"), np.cumsum(sizes) - sizes
+    codes = coded.indices.to_numpy()
+    n = sizes[codes]
+    ends = np.cumsum(n)
+    raw = flat[np.repeat(starts[codes] - (ends - n), n) + np.arange(n.sum())].tobytes()
+    places = 4 * np.concatenate([[0], ends])[lists.offsets.to_numpy()]
+    for (i, _), (x, y) in zip(rest, pairwise(places.tolist())):
+        out[i] += raw[x:y]
     room = REMEMBERED - len(known)
     for x, ids in new.items() if room > 0 else ():
         slot = hash(x) & (MET - 1)

@@ -1,3 +1,4 @@
+import gc
 import zlib
 
 import numpy as np
@@ -45,6 +46,22 @@ def test_forgetting_chunks_changes_nothing(library, monkeypatch):
         assert [np.frombuffer(x, "<u4").tolist() for x in token_file.encode_texts(BPE, texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_each_distinct_chunk_is_looked_up_once(library, monkeypatch):
+    class Counting(dict):
+        gets = 0
+
+        def get(self, key, default=None):
+            Counting.gets += 1
+            return dict.get(self, key, default)
+
+    coder = token_file._coder(BPE)
+    monkeypatch.setitem(token_file._state, BPE, (coder[0], Counting(), *coder[2:]))
+    texts = ["one the cat and\nthe dog " + "the cat and the dog " * 200 + "end"] * 5 + ["alone", "", " ", "\nx"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in token_file.encode_texts(BPE, texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert Counting.gets <= 20
+    assert gc.isenabled()
+
+
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=50))
 def test_vbyte_round_trip(values):
     ids = np.array(values, dtype="<u4")
