@@ -23,7 +23,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from contextlib import contextmanager
-from itertools import pairwise
+from itertools import accumulate, pairwise
 from urllib.parse import urlparse
 
 import numpy as np
@@ -230,14 +230,23 @@ def encode_texts(path: str, texts: list[str]) -> list[bytes]:
 
 def vbyte_encode(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of an array of uint32."""
-    ranks = ranks.astype("<u4")
-    size = 1 + (ranks > 0xFF) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    code = np.zeros(-(-len(ranks) // 4) * 4, dtype=np.uint8)
-    code[: len(ranks)] = size - 1
-    quads = code.reshape(-1, 4)
-    control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
-    keep = np.arange(4) < size[:, None]
-    return control.astype(np.uint8).tobytes(), ranks.view(np.uint8).reshape(-1, 4)[keep].tobytes()
+    return next(vbyte_parts(ranks, len(ranks)))
+
+
+def vbyte_parts(ranks: np.ndarray, *counts: int) -> Iterator[tuple[bytes, bytes]]:
+    """Control bytes and data bytes of each of the documents of so many uint32 that follow one another in ``ranks``."""
+    ranks, n = ranks.astype("<u4"), np.array(counts, dtype=np.int64)
+    size = 1 + (ranks > 0xFF).view(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
+    quads, ends = -(-n // 4), np.cumsum(n)
+    code = np.zeros(4 * quads.sum(), dtype=np.uint8)
+    code[np.arange(len(ranks)) + np.repeat(4 * (np.cumsum(quads) - quads) - (ends - n), n)] = size - 1
+    code = code.reshape(-1, 4)
+    control = (code[:, 0] | code[:, 1] << 2 | code[:, 2] << 4 | code[:, 3] << 6).tobytes()
+    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]].tobytes()
+    at = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[np.concatenate([[0], ends])].tolist()
+    cut = [0, *np.cumsum(quads).tolist()]
+    for k in range(len(counts)):
+        yield control[cut[k] : cut[k + 1]], data[at[k] : at[k + 1]]
 
 
 #: Lengths of the four ids that each control byte stands for.
@@ -314,6 +323,16 @@ def read_shard(uri: str, ranked: np.ndarray) -> Iterator[tuple[int, int, np.ndar
         begin, c, d = end, c + a, d + b
 
 
+def blocks(counts: list[int]) -> Iterator[int]:
+    """Ends of runs of documents of at least BLOCK ids, but the last."""
+    held = 0
+    for k, n in enumerate(counts, 1):
+        held += n
+        if held >= BLOCK or k == len(counts):
+            yield k
+            held = 0
+
+
 def _batches(texts: list, chars: int = 1 << 21) -> Iterator[slice]:
     """Runs of texts of about so many characters."""
     begin = held = 0
@@ -329,15 +348,22 @@ def _batches(texts: list, chars: int = 1 << 21) -> Iterator[slice]:
 def encode(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """doc_id, n, ids (uint16 or uint32 little-endian, by ``wide``) of every document, the end id last; a null text is empty."""
 
+    end = np.uint32(end_id).astype("<u4").tobytes()
+
     def run(batches):
         claim("token_file")
         for batch in batches:
             ids, texts = batch.column(0), [x or "" for x in batch.column(1).to_pylist()]
             for part in _batches(texts):
-                out = [np.append(np.frombuffer(x, dtype="<u4"), np.uint32(end_id)) for x in encode_texts(tokenizer, texts[part])]
-                wide = [bool(len(x) and x.max() > 0xFFFF) for x in out]
-                raw = [x.astype("<u4" if w else "<u2").tobytes() for x, w in zip(out, wide)]
-                yield pa.record_batch([ids[part], pa.array([*map(len, out)], pa.int64()), pa.array(wide), pa.array(raw, pa.binary())], names=["doc_id", "n", "wide", "ids"])
+                out = [x + end for x in encode_texts(tokenizer, texts[part])]
+                counts = [len(x) // 4 for x in out]
+                flat = np.frombuffer(b"".join(out), dtype="<u4")
+                wide = [False] * len(out)
+                if flat.max() > 0xFFFF:
+                    wide = [bool(np.frombuffer(x, dtype="<u4").max() > 0xFFFF) for x in out]
+                short, at = flat.astype("<u2").tobytes(), accumulate(counts, initial=0)
+                raw = [x if w else short[2 * a : 2 * (a + n)] for x, w, n, a in zip(out, wide, counts, at)]
+                yield pa.record_batch([ids[part], pa.array(counts, pa.int64()), pa.array(wide), pa.array(raw, pa.binary())], names=["doc_id", "n", "wide", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, wide boolean, ids binary")
 
@@ -398,12 +424,15 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int
             held, size, seq, total = [], 0, seq + 1, total + n
 
         for batch in batches:
-            for doc_id, n, wide, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                control, data = vbyte_encode(shared.value[_unpack(raw, wide)])
-                held.append((doc_id, n, control, data))
-                size += len(control) + len(data)
-                if size >= 64 << 20:
-                    flush()
+            rows = list(zip(*(c.to_pylist() for c in batch.columns)))
+            for begin, end in pairwise([0, *blocks([x[1] for x in rows])]):
+                part = rows[begin:end]
+                ranks = [shared.value[_unpack(raw, wide)] for _, _, wide, raw in part]
+                for (doc_id, n, _, _), (control, data) in zip(part, vbyte_parts(np.concatenate(ranks), *map(len, ranks))):
+                    held.append((doc_id, n, control, data))
+                    size += len(control) + len(data)
+                    if size >= 64 << 20:
+                        flush()
         if held:
             flush()
         yield pa.RecordBatch.from_pylist([dict(zip(("shard", "seq", "path", "docs", "ids", "within"), x)) for x in files], schema=pa.schema([("shard", pa.int64()), ("seq", pa.int64()), ("path", pa.string()), ("docs", pa.int64()), ("ids", pa.int64()), ("within", pa.int64())]))
@@ -428,7 +457,7 @@ def read_token_files(spark: SparkSession, manifest: DataFrame, out_dir: str) ->
     def run(batches):
         for batch in batches:
             for path, shift in zip(*(c.to_pylist() for c in batch.columns)):
-                rows = [(None if doc == -(1 << 63) else doc, start + shift, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for doc, start, ids in read_shard(path, ranked.value)]
+                rows = [(None if doc == -(1 << 63) else doc, start + shift, len(ids), zlib.crc32(np.ascontiguousarray(ids, dtype="<u4"))) for doc, start, ids in read_shard(path, ranked.value)]
                 yield pa.record_batch([pa.array(x, pa.int64()) for x in (zip(*rows) if rows else [[]] * 4)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     n = max(1, manifest.count())

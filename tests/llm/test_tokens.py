@@ -77,6 +77,17 @@ def test_vbyte_round_trip_of_documents(docs):
     assert got.tolist() == sum(docs, [])
 
 
+@given(st.lists(st.lists(st.sampled_from([0, 255, 256, 65535, 65536, (1 << 24) - 1, 1 << 24, 2**32 - 1]), max_size=9), max_size=6))
+def test_documents_in_a_block_are_coded_as_alone(docs):
+    flat = np.array(sum(docs, []), dtype="<u4")
+    parts = list(token_file.vbyte_parts(flat, *map(len, docs)))
+    assert parts == [token_file.vbyte_encode(np.array(x, dtype="<u4")) for x in docs]
+    for (control, data), x in zip(parts, docs):
+        size = [max(1, (v.bit_length() + 7) // 8) for v in x]
+        assert data == b"".join(v.to_bytes(n, "little") for v, n in zip(x, size))
+        assert control == bytes(sum((n - 1) << 2 * k for k, n in enumerate(size[i : i + 4])) for i in range(0, len(x), 4))
+
+
 @pytest.mark.parametrize("block", [1, 5, 1 << 18])
 def test_shards_are_read_in_blocks(tmp_path, monkeypatch, block):
     monkeypatch.setattr(token_file, "BLOCK", block)
