@@ -1,11 +1,13 @@
 """Steps that grow with their input and not with its square."""
 
 import random
+import re
 from collections import Counter
 
 from pyspark.sql import functions as F
 
-from glossweave.operators import depend, learn
+from glossweave.functions import text
+from glossweave.operators import depend, graph, iterative, learn, wsd
 
 
 def rows_of(df):
@@ -52,3 +54,58 @@ def test_terms_are_placed_by_ranges(spark):
     want = sorted(rows.collect(), key=lambda r: (-r.in_ontology, -r.in_list, r.term))
     assert [(r.term, r.place) for r in got.orderBy("place").collect()] == [(r.term, k + 1) for k, r in enumerate(want)]
     assert "Window" not in got._jdf.queryExecution().toString() and learn.placed(rows.where("false")).count() == 0
+
+
+def test_spans_of_a_long_sentence(spark):
+    """Once the gaps were split again for each word."""
+    said = "  ".join(f"é{k}" for k in range(20_000))
+    got = spark.createDataFrame([(said,), (None,), ("",)], ["s"]).select(text.word_spans(F.col("s")).alias("p")).collect()
+    assert [(x.start, x.end) for x in got[0].p] == [m.span() for m in re.finditer(r"\S+", said)] and got[1].p is None and got[2].p == []
+
+
+def test_searches_at_one_place_move_once(spark):
+    """3,000 searches at a node with 3,000 links: once nine million moves."""
+    n = 3000
+    starts = spark.createDataFrame([(k, "hub", "goal") for k in range(n)], ["search", "at", "goal"])
+    edges = spark.createDataFrame([("hub", f"n{k}") for k in range(n)] + [("n7", "goal")], ["src", "dst"])
+    near = spark.createDataFrame([("n7", "goal", 1)], ["a", "b", "n"])
+    rows = []
+    old = iterative.checkpointed
+    try:
+        iterative.checkpointed = lambda df: rows.append(old(df)) or rows[-1]
+        got = iterative.greedy_search(starts, edges, near, 2).collect()
+    finally:
+        iterative.checkpointed = old
+    assert {tuple(r)[1:] for r in got} == {("goal", 2, True)} and len(got) == n and max(df.count() for df in rows) <= n + 1
+
+
+def test_common_ancestors_below_a_hub(spark):
+    """Pairs stay one row each, whatever their ancestors; a root of all, two lines and a tie of two lowest ones."""
+    rel = spark.createDataFrame([(f"x{k}", f"m{k % 3}") for k in range(30)] + [(f"x{k}", f"l{k % 2}") for k in range(30)] + [(m, "root") for m in ("m0", "m1", "m2", "l0", "l1")], ["src", "dst"])
+    ids = rel.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    close = graph.closure(ids, rel, 4)
+    pairs = spark.createDataFrame([(f"x{a}", f"x{b}") for a in range(30) for b in range(30)], ["x", "y"])
+    got = {}
+    for r in graph.lcs(pairs, close, graph.depths(close, rel)).collect():
+        got.setdefault((r.x, r.y), set()).add((r.anc, r.depth, r.xmin, r.ymax))
+    for a in range(30):
+        for b in range(30):
+            shared = {f"{s}{a % m}" for s, m in (("m", 3), ("l", 2)) if a % m == b % m}
+            want = {(f"x{a}", 2, 0, 0)} if a == b else {(s, 1, 1, 1) for s in shared} or {("root", 0, 2, 2)}
+            assert got[f"x{a}", f"x{b}"] == want
+
+
+def test_windows_scored_in_workers(spark, monkeypatch):
+    """The same senses as by joins, which remain for lexicons too large to hand out, and no shuffle of tokens."""
+    deal = random.Random(3)
+    sense = spark.createDataFrame([(f"w{k}", "n", f"s{k}{j}", j + 1) for k in range(6) for j in range(3)] + [("w1", "v", "v1", 1)], "lemma string, pos string, id string, number long")
+    ids = [r.id for r in sense.collect()]
+    scores = spark.createDataFrame([(a, b, deal.randrange(4)) for a in ids for b in ids], "x string, y string, score long")
+    docs = spark.createDataFrame([(d, " ".join(deal.choice(["w0", "w1", "w2", "w3", "w4", "w5", "no"]) for _ in range(40))) for d in range(8)] + [(99, ""), (100, "w1")], ["doc_id", "text"])
+    lemmas = [f"w{k}" for k in range(6)]
+    monkeypatch.setattr(wsd, "SLICE", 16)
+    got = wsd.window_lesk(docs, sense, scores, lemmas)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = rows_of(got)
+    monkeypatch.setattr(wsd, "MOST_CELLS", 0)
+    assert rows == rows_of(wsd.window_lesk(docs, sense, scores, lemmas)) and len(rows) > 200
