@@ -109,3 +109,18 @@ def test_windows_scored_in_workers(spark, monkeypatch):
     rows = rows_of(got)
     monkeypatch.setattr(wsd, "MOST_CELLS", 0)
     assert rows == rows_of(wsd.window_lesk(docs, sense, scores, lemmas)) and len(rows) > 200
+
+
+def test_kept_walks_and_ranks_choose_the_same_senses():
+    """Against searches and rank rounds for each sentence alone, on graphs with circles, lone senses and repeated candidates."""
+    deal = random.Random(9)
+    for _ in range(12):
+        names = [f"s{k}" for k in range(14)]
+        links = sorted({(deal.choice(names), deal.choice(names)) for _ in range(40)})
+        net, plain = wsd.Net(links, kept=True), wsd.Net(links)
+        for _ in range(12):
+            words = [(3 * k, deal.sample([*names, "lone"], deal.randrange(1, 4))) for k in range(deal.randrange(1, 6))]
+            for method in ("degree", "pagerank", "personal"):
+                want = wsd.disambiguate_sentence(words, plain, method)
+                assert wsd.disambiguate_sentence(words, net, method) == want == wsd.disambiguate_sentence(words, net, method)
+        assert net.walks and net.pulses and net.done
