@@ -7,7 +7,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from glossweave.functions import text
-from glossweave.operators import depend, graph, iterative, learn, wsd
+from glossweave.operators import depend, graph, iterative, learn, stats, wsd
 
 
 def rows_of(df):
@@ -124,3 +124,22 @@ def test_kept_walks_and_ranks_choose_the_same_senses():
                 want = wsd.disambiguate_sentence(words, plain, method)
                 assert wsd.disambiguate_sentence(words, net, method) == want == wsd.disambiguate_sentence(words, net, method)
         assert net.walks and net.pulses and net.done
+
+
+def test_counts_of_repeated_and_long_documents(spark):
+    """Windows, compounds and terms counted in the workers, against plain loops; identifiers may be repeated."""
+    deal = random.Random(4)
+    said = [" ".join(deal.choice(["A", "b", "c", "x"]) for _ in range(n)) for n in (0, 1, 7, 300, 2000)] + [None]
+    docs = spark.createDataFrame([(k % 4, x) for k, x in enumerate(said)], "doc_id long, text string")
+    tokens = [(x or "").lower().split() for x in said]
+    want, totals = Counter(), Counter()
+    for t in tokens:
+        for i, a in enumerate(t):
+            totals.update({a: min(i, 5) + min(len(t) - 1 - i, 5)} if a in "abc" else {})
+            want.update((a, t[j], j - i) for j in range(max(0, i - 5), min(len(t), i + 6)) if j != i and a in "abc" and t[j] in "abc")
+    assert {(r.word, r.other, r.distance): r.n for r in stats.window_counts(docs, ["a", "b", "c"], 5).collect()} == want
+    assert {r.word: r.n for r in stats.window_totals(docs, ["a", "b", "c"], 5).collect()} == {w: n for w, n in totals.items() if n}
+    want = Counter((k % 4, w) for k, x in enumerate(said) for w in (x or "").split())
+    assert {(r.doc_id, r.word): r.n for r in stats.term_document(docs).collect()} == want
+    once = stats.term_document(docs.where("doc_id > 1"))
+    assert "Aggregate" not in once._jdf.queryExecution().executedPlan().toString() and once.count() == len([k for k in want if k[0] > 1])
